@@ -368,9 +368,9 @@ def v_questions(d):
     return f"""
     select question_id as id, vec_id, cast(vec_id % 100 as string) as call_id,
            case when vec_id % 9 = 0 then null else 'u' || question_id end as utterance_id,
-           substr(text, 1, 200) as raw_text,
-           case when vec_id % 10 = 0 then '' else trim(substr(text, 1, 200)) end as normalized_text,
-           case when vec_id % 4 = 0 then null else 'gloss ' || cast(vec_id % 37 as string) || ' ' || substr(text, 1, 140) end as english_gloss,
+           text as raw_text,
+           case when vec_id % 10 = 0 then '' else trim(text) end as normalized_text,
+           case when vec_id % 4 = 0 then null else 'gloss ' || cast(vec_id % 37 as string) || ' ' || text end as english_gloss,
            {d.pick("vec_id % 4", C.QUESTION_TYPES)} as question_type,
            {ints} as intent,
            case when vec_id % 3 = 0 then {sec} else {d.empty_strings} end as secondary_intents,
@@ -518,7 +518,7 @@ def v_responses(d):
     from (
       select call_id, {items} as full_json, {bare} as bare_json, {aliased} as alias_json
       from (select call_id, idx, {full} as item, {alias} as short_item
-            from (select call_id, idx, substr(text, 1, 60) as excerpt from v_utterances where speaker = 'CUSTOMER'
+            from (select call_id, idx, text as excerpt from v_utterances where speaker = 'CUSTOMER'
                   union all
                   select call_id, 100 + min(idx) as idx, 'an invented line that nobody said' as excerpt
                   from v_utterances group by call_id) x) y
@@ -554,7 +554,7 @@ def v_multilang(d):
                                    "mera claim kyun nahi hua hai "])
     return f"""
     select cast(doc_id as string) as doc_id, lang as supplied,
-           case when doc_id % 31 = 0 then 'پالیسی ' else '' end || {prefix} || substr(text, 1, 60) as text
+           case when doc_id % 31 = 0 then 'پالیسی ' else '' end || {prefix} || text as text
     from documents"""
 
 
