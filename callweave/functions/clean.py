@@ -27,24 +27,22 @@ def clean_na(c: Column) -> Column:
 
 
 def normalize_mobile(c: Column) -> Column:
-    """Canonical ten-digit mobile, null when the number is unreachable."""
-    digits = F.regexp_replace(F.regexp_replace(clean_na(c), r"\.0$", ""), r"\P{Nd}", "")
-    national = (
-        F.when((F.length(digits) == 12) & digits.startswith("91"), F.substring(digits, 3, 10))
-        .when((F.length(digits) == 11) & digits.startswith("0"), F.substring(digits, 2, 10))
-        .otherwise(digits)
-    )
-    return F.when(national.rlike(r"^[6-9]\p{Nd}{9}$"), national)
+    """Canonical ten-digit mobile, null when the number is unreachable.
+
+    One chain of replacements: each step uses its input once, so the expression
+    stays small however often it is nested.
+    """
+    digits = F.regexp_replace(F.regexp_replace(trim_blank(c.cast("string")), r"\.0$", ""), r"\P{Nd}", "")
+    national = F.regexp_replace(digits, r"^(?:91|0)(?=\p{Nd}{10}$)", "")
+    return F.nullif(F.regexp_extract(national, r"^[6-9]\p{Nd}{9}$", 0), F.lit(""))
 
 
 def parse_started_at(c: Column) -> Column:
     """Timestamp without zone from ISO text or a day-first layout; null when neither fits."""
-    text = clean_na(c)
     iso = F.regexp_replace(
-        text, r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})( \d{1,2}:\d{1,2}:\d{1,2})?$", "$4-$3-$1$5")
-    shaped = iso.rlike(
-        r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?$")
-    return F.when(shaped, iso).try_cast("timestamp_ntz")
+        trim_blank(c), r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})( \d{1,2}:\d{1,2}:\d{1,2})?$", "$4-$3-$1$5")
+    shape = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?$"
+    return F.regexp_extract(iso, shape, 0).try_cast("timestamp_ntz")
 
 
 def parse_direction(c: Column) -> Column:
