@@ -554,7 +554,8 @@ def v_multilang(d):
                                    "mera claim kyun nahi hua hai "])
     return f"""
     select cast(doc_id as string) as doc_id, lang as supplied,
-           case when doc_id % 31 = 0 then 'پالیسی ' else '' end || {prefix} || text as text
+           case when doc_id % 31 = 0 then 'پالیسی ' else '' end || {prefix} || text as text,
+           case when doc_id % 31 = 0 then {d.repeat("'پالیسی '", 40)} else '' end || {d.repeat(prefix, 12)} || text as call_text
     from documents"""
 
 
