@@ -103,20 +103,20 @@ def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, right_rows: i
     right_blocks = max(1, math.ceil(right_rows / block_rows))
 
     def spread(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(own_n))).withColumn(
+        return df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(own_n))).withColumn(
             other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other_n - 1).cast("bigint"))))
 
     a = spread(lhs, "lb", left_blocks, "rb", right_blocks)
-    b = spread(rhs, "rb", right_blocks, "lb", left_blocks)
+    b = spread(rhs.select(F.col("id").alias("rid"), F.col("v").alias("rv")), "rb", right_blocks, "lb", left_blocks)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             empty = task(([], np.zeros((0, 1))), ([], np.zeros((0, 1))))
             return pa.Table.from_batches([empty])
-        left, right = left.sort_by("id"), right.sort_by("id")
+        left, right = left.sort_by("id"), right.sort_by("rid")
         return pa.Table.from_batches([task(
             (left.column("id").to_pylist(), kernels.matrix(left.column("v"), unit)),
-            (right.column("id").to_pylist(), kernels.matrix(right.column("v"), unit)))])
+            (right.column("rid").to_pylist(), kernels.matrix(right.column("rv"), unit)))])
 
     return a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInArrow(both, schema)
 
