@@ -19,13 +19,24 @@ from callweave.operators.vectors import BLOCK_ROWS, block_product
 from callweave.session import cut
 
 NOISE = "-1"
+GROUP_END = "\u0001"  # ends the group part of an id when groups are clustered separately
+
+
+def _close(a, b, similarity: float) -> np.ndarray:
+    """Which rows of two (ids, matrix) blocks lie within the radius and in the same group."""
+    close = np.round(a[1] @ b[1].T, 9) >= similarity
+    if GROUP_END in a[0][0]:
+        left = np.array([i.split(GROUP_END)[0] for i in a[0]])
+        right = np.array([i.split(GROUP_END)[0] for i in b[0]])
+        close &= left[:, None] == right[None, :]
+    return close
 
 
 def neighbour_counts(vectors: DataFrame, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, n): vectors within the radius of each vector, itself included."""
 
     def count(a, b):
-        n = (np.round(a[1] @ b[1].T, 9) >= similarity).sum(axis=1) if len(a[0]) and len(b[0]) else np.zeros(len(a[0]), dtype=int)
+        n = _close(a, b, similarity).sum(axis=1) if len(a[0]) and len(b[0]) else np.zeros(len(a[0]), dtype=int)
         return pa.RecordBatch.from_arrays([pa.array(a[0], pa.string()), pa.array(n, pa.int64())], names=["id", "n"])
 
     parts = block_product(vectors, vectors, block_rows, vectors.count(), count, "id string, n bigint")
@@ -41,7 +52,7 @@ def close_edges(vectors: DataFrame, similarity: float, block_rows: int = BLOCK_R
 
     def forest(a, b):
         if len(a[0]) and len(b[0]):
-            rows, cols = kernels.spanning_forest(np.round(a[1] @ b[1].T, 9) >= similarity)
+            rows, cols = kernels.spanning_forest(_close(a, b, similarity))
         else:
             rows = cols = np.zeros(0, dtype=int)
         left = np.asarray(a[0], dtype=object)[rows] if len(rows) else []
@@ -80,11 +91,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def density_cluster(embeddings: DataFrame, similarity: float, min_size: int = C.DENSITY_MIN_CLUSTER_SIZE,
-                    min_samples: int = C.DENSITY_MIN_SAMPLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                    min_samples: int = C.DENSITY_MIN_SAMPLES, block_rows: int = BLOCK_ROWS, group: str | None = None) -> DataFrame:
     """(question_id, cluster): cluster is the smallest member id, '-1' for noise.
 
-    ``similarity`` is the cosine of the radius.
+    ``similarity`` is the cosine of the radius.  With ``group`` the rows of every
+    value of that column are clustered among themselves only.
     """
+    if group is not None:
+        tagged = embeddings.withColumn("question_id", F.concat(F.col(group), F.lit(GROUP_END), F.col("question_id")))
+        placed = density_cluster(tagged, similarity, min_size, min_samples, block_rows)
+        return placed.select(*[F.substring_index(c, GROUP_END, -1).alias(c) for c in ("question_id", "cluster")])
     vectors = embeddings.select(F.col("question_id").alias("id"), F.col("vector").alias("v"))
     dense = neighbour_counts(vectors, similarity, block_rows).where(F.col("n") >= min_samples).select("id")
     core = cut(vectors.join(dense, "id"))
@@ -111,29 +127,35 @@ def density_sweep(embeddings: DataFrame, similarities: list[float], min_size: in
     stages = [cut(lv.select("question_id", F.concat(F.lit(f"L{i}:"), F.col("cluster")).alias("node"))) for i, lv in enumerate(levels)]
     sizes = [cut(st.groupBy("node").agg(F.count("*").alias("n"))) for st in stages]
 
-    best = None
+    judged: list[DataFrame] = []
+    links: list[DataFrame] = []
     for i in reversed(range(len(grid))):
         gain = min(inverse[i + 1], inverse[i] * 4) - inverse[i]
         own = sizes[i].select("node", (F.col("n") * gain).alias("own"))
-        if best is None:
-            best = own.select("node", F.col("own").alias("mass"), F.col("own").alias("chain"), F.array("node").alias("kept"))
+        if not judged:
+            level = own.select("node", F.col("own").alias("mass"), F.col("own").alias("chain"), F.lit(True).alias("keep"))
         else:
-            link = stages[i + 1].join(stages[i].withColumnRenamed("node", "parent"), "question_id").select("node", "parent").distinct()
-            below = best.join(link, "node").groupBy(F.col("parent").alias("node")).agg(
-                F.count("*").alias("children"), F.sum("mass").alias("mass_below"), F.max("chain").alias("chain_below"),
-                F.flatten(F.collect_list("kept")).alias("kept_below"))
-            joined = own.join(below, "node", "left")
+            link = cut(stages[i + 1].join(stages[i].withColumnRenamed("node", "parent"), "question_id").select("node", "parent").distinct())
+            links.append(link)
+            below = judged[-1].join(link, "node").groupBy(F.col("parent").alias("node")).agg(
+                F.count("*").alias("children"), F.sum("mass").alias("mass_below"), F.max("chain").alias("chain_below"))
             chain = F.when(F.col("children") == 1, F.col("own") + F.col("chain_below")).otherwise(F.col("own"))
-            joined = joined.withColumn("chain", chain).withColumn("mass_below", F.coalesce("mass_below", F.lit(0.0)))
-            keep_own = F.col("chain") >= F.col("mass_below")
-            best = joined.select(
-                "node", F.when(keep_own, F.col("chain")).otherwise(F.col("mass_below")).alias("mass"), "chain",
-                F.when(keep_own, F.array("node")).otherwise(F.col("kept_below")).alias("kept"))
-        best = cut(best)
-    chosen = best.select(F.explode("kept").alias("node")).distinct()
-    everywhere = stages[0]
-    for st in stages[1:]:
-        everywhere = everywhere.unionByName(st)
-    placed = everywhere.join(chosen, "node").groupBy("question_id").agg(F.min("node").alias("cluster"))
+            joined = own.join(below, "node", "left").withColumn("chain", chain).withColumn(
+                "mass_below", F.coalesce("mass_below", F.lit(0.0)))
+            level = joined.select("node", F.greatest("chain", "mass_below").alias("mass"), "chain",
+                                  (F.col("chain") >= F.col("mass_below")).alias("keep"))
+        judged.append(cut(level))
+
+    # Top down: a kept cluster ends its branch, otherwise its pieces stay open.
+    judged.reverse()
+    links.reverse()
+    open_nodes, placed = judged[0], None
+    for i, stage in enumerate(stages):
+        chosen = stage.join(open_nodes.where("keep").select("node"), "node", "left_semi").select(
+            F.col("question_id").alias("question_id"), F.col("node").alias("cluster"))
+        placed = chosen if placed is None else placed.unionByName(chosen)
+        if i + 1 < len(stages):
+            inside = links[i].join(open_nodes.where("not keep").select(F.col("node").alias("parent")), "parent", "left_semi")
+            open_nodes = cut(judged[i + 1].join(inside.select("node"), "node", "left_semi"))
     return embeddings.select("question_id").join(placed, "question_id", "left").select(
         "question_id", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))

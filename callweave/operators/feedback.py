@@ -119,7 +119,7 @@ def split_clusters(feedback, members, embeddings, similarity: float, **tuning) -
     """
     marked = feedback.where("action = 'split_cluster'").select(payload("cluster_id").alias("cluster_id")).distinct()
     inside = members.select("question_id", "cluster_id").join(marked, "cluster_id", "left_semi")
-    pieces = density_cluster(embeddings.join(inside.select("question_id"), "question_id", "left_semi"), similarity, **tuning)
+    pieces = density_cluster(embeddings.select("question_id", "vector").join(inside, "question_id"), similarity, group="cluster_id", **tuning)
     return inside.join(pieces, "question_id").select(
         "question_id", "cluster_id", F.when(F.col("cluster") != NOISE, F.concat("cluster_id", F.lit("/"), "cluster")).alias("piece"))
 

@@ -104,7 +104,7 @@ facts as (
                      lambda p: p is not null) as products
   from resolved r left join lead_nos n on n.phone = r.join_phone left join lead_products p on p.phone = r.join_phone)
 """
-KG_NODES = KG_FACTS + """,
+NODE_CTES = """,
 occ as (
   select call_id as seq, 'call:' || call_id as id, 'call' as type, 'Call ' || call_id as label,
          'call_date=' || call_date || ';escalation=' || cast(escalation as string) || case when mismatch then ';phone_mismatch=true' else '' end as attrs from facts
@@ -119,6 +119,7 @@ occ as (
   union all select seq, 'product:' || p, 'product', p, '' from (select call_id as seq, unnest(products) as p from facts) u),
 nodes as (select id, type, label, attrs from (select *, row_number() over (partition by id order by seq) as rn from occ) x where rn = 1)
 """
+KG_NODES = KG_FACTS + NODE_CTES
 KG_EDGES = KG_FACTS + """,
 pr as (select call_id, join_phone, unnest(products) as p from facts),
 eocc as (
