@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from callweave import constants as C
 
-_BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
+# Every character that counts as white space in Unicode text.
+BLANKS = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+          "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def trim_blank(c: Column) -> Column:
     """Trim every Unicode blank at both ends."""
-    return F.regexp_replace(c, f"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def text_or_null(c: Column) -> Column:

@@ -16,10 +16,18 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Inside ``transform`` an outer expression would be evaluated again for every
+    element; passing it through a one-element array binds it first.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(a: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
-    length = F.greatest(norm(a), F.lit(EPS))
-    return F.transform(a, lambda x: x / length)
+    return let(F.greatest(norm(a), F.lit(EPS)), lambda n: F.transform(a, lambda x: x / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

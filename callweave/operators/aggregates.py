@@ -28,10 +28,9 @@ def call_stats(calls: DataFrame, hits: DataFrame, utterances: DataFrame) -> Data
         F.count("*").alias("total"),
         F.coalesce(F.avg(F.when(F.col("violation_count") > 0, 100.0).otherwise(0.0)), F.lit(0.0)).alias("flagged_percent"))
     confidence = utterances.agg(F.coalesce(F.avg("confidence") * 100, F.lit(75.0)).alias("avg_confidence"))
-    one = F.lit(1)
-    return flagged.withColumn("k", one).join(confidence.withColumn("k", one), "k").select(
-        "total", F.when(F.col("total") == 0, 75.0).otherwise(F.col("avg_confidence")).alias("avg_confidence"),
-        "flagged_percent")
+    mean = confidence.scalar()
+    return flagged.select(
+        "total", F.when(F.col("total") == 0, 75.0).otherwise(mean).alias("avg_confidence"), "flagged_percent")
 
 
 def call_keywords(questions: DataFrame) -> DataFrame:
@@ -237,5 +236,5 @@ def reextract_plan(calls: DataFrame, questions: DataFrame, statuses: list[str])
     picked = calls.where(F.col("status").isin(statuses)).select(F.col("id").alias("call_id"))
     owned = questions.join(picked, "call_id", "left_semi").agg(
         F.count("*").alias("n_questions"), F.count_if("human_override").alias("n_gold"))
-    n = picked.agg(F.count("*").alias("n_calls"))
-    return n.withColumn("k", F.lit(1)).join(owned.withColumn("k", F.lit(1)), "k").drop("k")
+    n = picked.agg(F.count("*").alias("n_calls")).scalar()
+    return owned.select(n.alias("n_calls"), "n_questions", "n_gold")

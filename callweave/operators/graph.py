@@ -47,6 +47,6 @@ def evidence(members: DataFrame, questions: DataFrame) -> DataFrame:
     a = per_cluster.select(F.col("cluster_id").alias("source"), F.col("calls").alias("calls_a"))
     b = per_cluster.select(F.col("cluster_id").alias("target"), F.col("calls").alias("calls_b"))
     return (
-        rows.join(a, "source").join(b, "target").withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k")
+        rows.join(a, "source").join(b, "target")
         .select("relation", "source", "target", "support",
-                (F.col("support") * F.col("total") / (F.col("calls_a") * F.col("calls_b"))).alias("lift")))
+                (F.col("support") * total.scalar() / (F.col("calls_a") * F.col("calls_b"))).alias("lift")))

@@ -222,9 +222,8 @@ def graph_view(clusters: DataFrame, edges: DataFrame, least: float, fallback: in
     """Clusters touched by strong edges, or the most frequent ones when no edge is strong enough."""
     kept = edges.where(F.col("weight") >= least)
     touched = incident_clusters(clusters, kept)
-    some = kept.select(F.lit(1).alias("one")).limit(1)
-    spare = top(clusters, "frequency", "id", fallback).withColumn("one", F.lit(1))
-    return touched.unionByName(spare.join(some, "one", "left_anti").drop("one"))
+    strong = kept.agg(F.count("*").alias("n")).scalar()
+    return touched.unionByName(top(clusters, "frequency", "id", fallback).where(strong == 0))
 
 
 def by_severity(segments: DataFrame) -> DataFrame:

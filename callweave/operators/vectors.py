@@ -16,7 +16,8 @@ from callweave import constants as C
 from callweave.functions import kernels
 from callweave.functions import vec as V
 
-BROADCAST_CELLS = 4_000_000   # numbers in a matrix that may be sent to every task (32 MB)
+BROADCAST_ROWS = 4096         # rows of a matrix that may be sent to every task
+BROADCAST_CELLS = 4_000_000   # and its numbers (32 MB)
 BLOCK_ROWS = 2048             # rows of one side of a block product
 
 NEAREST = "left_id string, right_id string, score double, position bigint"
@@ -35,11 +36,6 @@ def pair_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 # --- nearest neighbours ----------------------------------------------------------------
-def shape_of(df: DataFrame, vector: str) -> tuple[int, int]:
-    row = df.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
-    return row["n"], row["d"] or 0
-
-
 def _scores(left: np.ndarray, right: np.ndarray, left_ids, right_ids, skip_self: bool) -> np.ndarray:
     scores = np.round(left @ right.T, 9)
     if skip_self:
@@ -62,19 +58,19 @@ def _side(df: DataFrame, ident: str, vector: str) -> DataFrame:
 
 def nearest(left: DataFrame, right: DataFrame, k: int, *, left_id="question_id", left_vector="vector",
             right_id="question_id", right_vector="vector", skip_self=False, unit=True,
-            broadcast_cells: int = BROADCAST_CELLS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+            broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact ``k`` nearest right rows of every left row by cosine (dot product if not ``unit``).
 
-    A right side whose measured size is small is sent to every task once and
+    A right side that proves small (its rows are fetched up to the limit, no further) is sent to every task once and
     multiplied with each Arrow batch of the left side: no shuffle at all.  Beyond
     that both sides are hashed into blocks, every pair of blocks is one bounded
     matrix product in its own task, and only the ``k`` best per row and block
     pair are merged.
     """
     lhs, rhs = _side(left, left_id, left_vector), _side(right, right_id, right_vector)
-    rows, dim = shape_of(rhs, "v")
-    if rows * dim <= broadcast_cells:
-        table = rhs.orderBy("id").toArrow()
+    table = rhs.limit(broadcast_rows + 1).toArrow()
+    if table.num_rows <= broadcast_rows and len(table.column("v").combine_chunks().flatten()) <= BROADCAST_CELLS:
+        table = table.sort_by("id")
         ids = table.column("id").to_pylist()
         shared = left.sparkSession.sparkContext.broadcast((ids, kernels.matrix(table.column("v"), unit)))
 
@@ -90,7 +86,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, *, left_id="question_id",
         return lhs.mapInArrow(per_batch, NEAREST)
 
     merged = block_product(
-        lhs, rhs, block_rows, rows,
+        lhs, rhs, block_rows, rhs.count(),
         lambda a, b: _answer(a[0], b[0], _scores(a[1], b[1], a[0], b[0], skip_self), k), NEAREST, unit)
     order = W.partitionBy("left_id").orderBy(F.desc("score"), F.asc("right_id"))
     return merged.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).withColumn(

@@ -92,6 +92,6 @@ def st_batch_recluster(ws):
     actions = VX.reconcile(fresh, ws["v_clusters"]).groupBy().pivot("action", ["create", "merge", "dissolve"]).count()
     quality = VX.silhouette(labelled, "cluster")
     zero = F.lit(0).cast("bigint")
-    return actions.withColumn("k", F.lit(1)).join(quality.withColumn("k", F.lit(1)), "k").select(
+    return actions.select(
         *[F.coalesce(a, zero).alias(n) for a, n in (("create", "created"), ("merge", "updated"), ("dissolve", "dissolved"))],
-        r("silhouette").alias("silhouette"), "n_samples")
+        quality.select(r("silhouette")).scalar().alias("silhouette"), quality.select("n_samples").scalar().alias("n_samples"))

@@ -334,10 +334,10 @@ def v_embeddings(d):
 def v_planted(d):
     if d.name == "spark":
         return """
-        select question_id, vec_id, label, transform(raw, x -> x / norm) as vector
+        select question_id, vec_id, label, vector
         from (
-          select question_id, vec_id, label, raw,
-                 sqrt(aggregate(raw, 0e0, (s, x) -> s + x * x)) as norm
+          select question_id, vec_id, label,
+                 element_at(transform(array(sqrt(aggregate(raw, 0e0, (s, x) -> s + x * x))), n -> transform(raw, x -> x / n)), 1) as vector
           from (
             select cast(e.vec_id as string) as question_id, e.vec_id, e.label,
                    case when e.label = 9 then transform(e.embedding, x -> cast(x as double))
@@ -384,7 +384,7 @@ def v_questions(d):
 def v_clusters(d):
     if d.name == "spark":
         centroid = """
-          select label, frequency, transform(m, x -> x / sqrt(aggregate(m, 0e0, (s, y) -> s + y * y))) as centroid
+          select label, frequency, element_at(transform(array(sqrt(aggregate(m, 0e0, (s, y) -> s + y * y))), n -> transform(m, x -> x / n)), 1) as centroid
           from (select label, max(n) as frequency,
                        transform(array_sort(collect_list(struct(pos, v))), x -> x.v) as m
                 from (select label, pos, avg(x) as v, count(*) as n
@@ -410,9 +410,8 @@ def v_clusters(d):
            cast(frequency as bigint) as frequency,
            {d.as_of} - {d.days("case when label = 99 then 40 else label * 2 end")} as last_updated,
            label <> 7 as is_stable
-    from (select label, frequency, centroid from ({centroid}) k
-          union all
-          select 99 as label, 4 as frequency, centroid from ({centroid}) z where label = 0) u"""
+    from (select case when spare = 0 then label else 99 end as label, case when spare = 0 then frequency else 4 end as frequency, centroid
+          from (select k.*, {d.sequence("0", "case when label = 0 then 1 else 0 end")} as spare from ({centroid}) k) w) u"""
 
 
 @view("v_planted", "v_clusters", "events")
@@ -444,15 +443,14 @@ def v_faqs(d):
 @view("v_clusters")
 def v_edges(d):
     return f"""
-    select a.id as source, b.id as target, b1.batch,
+    select a.id as source, b.id as target, a.batch,
            {d.pick("(a.num + b.num) % 6", C.CLUSTER_RELATIONS)} as relation,
-           ((a.num * 7 + b.num * 3 + (b1.batch - 1) * 4) % 10) / 10e0 as weight,
-           'reason ' || a.id || '-' || b.id || ' b' || cast(b1.batch as string) as reason,
+           ((a.num * 7 + b.num * 3 + (a.batch - 1) * 4) % 10) / 10e0 as weight,
+           'reason ' || a.id || '-' || b.id || ' b' || cast(a.batch as string) as reason,
            a.num * 1000 + b.num as seq
-    from v_clusters a join v_clusters b on a.num < b.num
-    join (select 1 as batch union all select 2 as batch) b1
-      on b1.batch = 1 or (a.num + b.num) % 2 = 0
-    where a.num < 99 and b.num < 99"""
+    from (select p.*, {d.sequence("1", "case when (num + other) % 2 = 0 then 2 else 1 end")} as batch
+          from (select id, num, {d.sequence("num + 1", "8")} as other from v_clusters where num < 8) p) a
+    join v_clusters b on b.num = a.other"""
 
 
 @view("v_clusters")
@@ -470,8 +468,8 @@ def v_verdicts(d):
            {d.pick("(a.num * 2 + b.num) % 7", [" Related_To "] + C.CLUSTER_RELATIONS[1:] + ["friend_of"])} as relation,
            case when b.num % 3 = 0 then '  ' else ' because ' || b.id || ' ' end as reason,
            {d.as_of} - {d.days("(a.num + b.num) % 14")} as cached_at
-    from v_clusters a join v_clusters b on a.num <> b.num
-    where a.num < 99 and b.num < 99"""
+    from (select id, num, centroid, {d.sequence("0", "8")} as other from v_clusters where num < 99) a
+    join v_clusters b on b.num = a.other where a.num <> b.num"""
 
 
 @view("events")
