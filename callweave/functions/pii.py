@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callweave import constants as C
+from callweave.functions.vec import let
 
 HIT_TYPE = "array<struct<start:int,stop:int,rank:int,type:string,value:string>>"
 
@@ -19,14 +20,13 @@ def _positions(text: Column, kind: str) -> Column:
     """Hits of one kind in text order.
 
     A start offset is the length of everything before it: the pieces between
-    hits (``split``) and the hits themselves run in step.
+    hits (``split``) and the hits themselves run in step.  Texts without a hit of
+    this kind are not split.
     """
     pattern = wide_pattern(C.PII_PATTERNS[kind])
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     rank = list(C.PII_PATTERNS).index(kind)
-    pairs = F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as {HIT_TYPE})").alias("hits"))
+    none = F.expr(f"cast(array() as {HIT_TYPE})")
+    start = F.struct(F.lit(0).alias("pos"), none.alias("hits"))
 
     def step(acc, pair):
         begin = acc["pos"] + pair["gap"]
@@ -35,9 +35,12 @@ def _positions(text: Column, kind: str) -> Column:
                        F.lit(kind).alias("type"), pair["value"].alias("value"))
         return F.struct(stop.alias("pos"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
-    found = F.filter(pairs, lambda p: p["value"].isNotNull())
-    return F.when(F.size(values) > 0, F.aggregate(found, start, step)["hits"]).otherwise(
-        F.expr(f"cast(array() as {HIT_TYPE})"))
+    def located(values):
+        pairs = F.zip_with(F.split(text, pattern, -1), values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
+        found = F.filter(pairs, lambda p: p["value"].isNotNull())
+        return F.when(F.size(values) == 0, none).otherwise(F.aggregate(found, start, step)["hits"])
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
 
 
 def all_hits(text: Column) -> Column:
@@ -45,13 +48,14 @@ def all_hits(text: Column) -> Column:
 
     A phone hit is skipped when its start or its end lies inside an SSN hit.
     """
-    ssn = _positions(text, "SSN")
-    phone = F.filter(
-        _positions(text, "PHONE"),
-        lambda p: ~F.exists(ssn, lambda s: ((s["start"] <= p["start"]) & (p["start"] < s["stop"]))
-                            | ((s["start"] < p["stop"]) & (p["stop"] <= s["stop"]))))
-    rest = [_positions(text, k) for k in ("EMAIL", "AADHAR", "PAN")]
-    return F.array_sort(F.concat(ssn, phone, *rest))
+
+    def with_ssn(ssn):
+        inside = lambda p: F.exists(ssn, lambda s: (
+            (s["start"] <= p["start"]) & (p["start"] < s["stop"])) | ((s["start"] < p["stop"]) & (p["stop"] <= s["stop"])))
+        phone = F.filter(_positions(text, "PHONE"), lambda p: ~inside(p))
+        return F.array_sort(F.concat(ssn, phone, *[_positions(text, k) for k in ("EMAIL", "AADHAR", "PAN")]))
+
+    return let(_positions(text, "SSN"), with_ssn)
 
 
 def keep_disjoint(hits: Column) -> Column:

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from callweave import constants as C
 from callweave.functions.clean import trim_blank
+from callweave.functions.vec import let
 
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_']*[\p{L}\p{N}_])?"
 DEVANAGARI = "[ऀ-ॿ]"
 TAMIL = "[஀-௿]"
 TELUGU = "[ఀ-౿]"
 ARABIC = "[؀-ۿ]"
+ANY_INDIC = "[ऀ-ॿ஀-௿ఀ-౿]"
 LANGUAGE_SAMPLE_CHARS = 4000
 
 
@@ -46,23 +48,26 @@ def interrogatives(c: Column) -> Column:
 
 def detect_language(c: Column) -> Column:
     """Script and word-list language label of one text."""
-    low = F.lower(c)
-    tokens = F.regexp_count(low, F.lit("[a-z]+"))
-    hits = F.regexp_count(low, F.lit(rf"(?<![a-z])(?:{alternation(C.ROMAN_HINDI_TOKENS)})(?![a-z])"))
-    ratio = hits / tokens
-    roman = (
-        F.when(ratio >= 0.20, F.when(low.rlike("[a-z]{3}"), F.lit("hi-en")).otherwise(F.lit("hi-roman")))
-        .when(ratio >= 0.10, F.lit("hi-en"))
-        .otherwise(F.lit("en"))
-    )
+
+    def roman(tokens):
+        ratio = F.size(F.filter(tokens, lambda t: t.isin(C.ROMAN_HINDI_TOKENS))) / F.size(tokens)
+        return (
+            F.when(ratio >= 0.20, F.when(F.exists(tokens, lambda t: F.length(t) > 2), F.lit("hi-en")).otherwise(F.lit("hi-roman")))
+            .when(ratio >= 0.10, F.lit("hi-en"))
+            .otherwise(F.lit("en")))
+
+    words = F.filter(F.split(F.lower(c), "[^a-z]+"), lambda t: t != "")
+    latin = F.when(c.rlike("[A-Za-z]"), let(words, roman)).otherwise(F.lit("other"))
+    indic = (
+        F.when(c.rlike(TAMIL), F.lit("ta"))
+        .when(c.rlike(TELUGU), F.lit("te"))
+        .when(~c.rlike(DEVANAGARI), latin)
+        .when(c.rlike("[A-Za-z]"), F.lit("hi-en"))
+        .otherwise(F.lit("hi")))
     return (
         F.when(c.isNull() | (trim_blank(c) == ""), F.lit("other"))
-        .when(c.rlike(TAMIL), F.lit("ta"))
-        .when(c.rlike(TELUGU), F.lit("te"))
-        .when(c.rlike(DEVANAGARI) & c.rlike("[A-Za-z]"), F.lit("hi-en"))
-        .when(c.rlike(DEVANAGARI), F.lit("hi"))
-        .when(c.rlike("[A-Za-z]"), roman)
-        .otherwise(F.lit("other"))
+        .when(c.rlike(ANY_INDIC), indic)  # one scan settles the common case
+        .otherwise(latin)
     )
 
 
@@ -75,26 +80,27 @@ def language_bucket(c: Column, supplied: Column | None = None) -> Column:
 
     ``supplied`` is an outside language code (a statistical identifier's answer);
     without one, Latin text counts as English unless it holds Hindi function words.
+    The decision looks at the opening of the text only, as its thresholds are
+    stated for that length.
     """
-    sample = F.substring(c, 1, LANGUAGE_SAMPLE_CHARS)
-    need = F.greatest(F.lit(20), F.floor(F.length(sample) / 50))
-    blank = r"[\s\p{Z}]"
-    tokens = F.regexp_count(sample, F.lit(rf"[^\s\p{{Z}}]+"))
-    marks = r"""[.,?!"']*"""
-    hits = F.regexp_count(
-        F.lower(sample),
-        F.lit(rf"(?:^|(?<={blank})){marks}(?:{alternation(C.HINGLISH_MARKERS)}){marks}(?={blank}|$)"))
     code = F.coalesce(F.lower(supplied), F.lit("en")) if supplied is not None else F.lit("en")
-    return (
-        F.when(c.isNull() | (trim_blank(c) == ""), F.lit("en"))
-        .when(_count_of(sample, DEVANAGARI) >= need, F.lit("hi"))
-        .when(_count_of(sample, ARABIC) >= need, F.lit("ur"))
-        .when(code == "hi", F.lit("hi"))
-        .when(code.isin("ur", "ar", "fa"), F.lit("ur"))
-        .when(hits >= F.greatest(F.lit(3), F.floor(tokens / 25)), F.lit("hi"))
-        .when(code == "en", F.lit("en"))
-        .otherwise(F.lit("other"))
-    )
+
+    def decide(sample):
+        need = F.greatest(F.lit(20), F.floor(F.length(sample) / 50))
+        tokens = F.filter(F.split(sample, r"[\s\p{Z}]+"), lambda t: t != "")
+        mixed = let(tokens, lambda ts: F.size(F.filter(
+            ts, lambda t: F.btrim(F.lower(t), F.lit(".,?!\"'")).isin(C.HINGLISH_MARKERS))) >= F.greatest(F.lit(3), F.floor(F.size(ts) / 25)))
+        return (
+            F.when(_count_of(sample, DEVANAGARI) >= need, F.lit("hi"))
+            .when(_count_of(sample, ARABIC) >= need, F.lit("ur"))
+            .when(code == "hi", F.lit("hi"))
+            .when(code.isin("ur", "ar", "fa"), F.lit("ur"))
+            .when(mixed, F.lit("hi"))
+            .when(code == "en", F.lit("en"))
+            .otherwise(F.lit("other")))
+
+    return F.when(c.isNull() | (trim_blank(c) == ""), F.lit("en")).otherwise(
+        let(F.substring(c, 1, LANGUAGE_SAMPLE_CHARS), decide))
 
 
 def stt_language(code: Column, text: Column, redetect_other: bool) -> Column:

@@ -186,15 +186,16 @@ def match_leads(resolved: DataFrame, leads: DataFrame) -> DataFrame:
     base = leads.select(
         normalize_mobile(F.col("MOBILE_NO")).alias("join_phone"), "ordinal",
         clean_na(F.col("LEAD_NO")).alias("lead_no"), normalize_product(F.col("PRODUCT_TYPE")).alias("product"))
-    base = base.where(F.col("join_phone").isNotNull())
+    values = F.array(F.struct(F.lit("lead_no").alias("kind"), F.col("lead_no").alias("v")),
+                     F.struct(F.lit("product").alias("kind"), F.col("product").alias("v")))
+    seen = (
+        base.where(F.col("join_phone").isNotNull()).select("join_phone", "ordinal", F.inline(values)).where(F.col("v").isNotNull())
+        .groupBy("join_phone", "kind", "v").agg(F.min("ordinal").alias("o")))
 
-    def ordered(value: str, name: str) -> DataFrame:
-        seen = base.where(F.col(value).isNotNull()).groupBy("join_phone", value).agg(F.min("ordinal").alias("o"))
-        return seen.groupBy("join_phone").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("o", F.col(value).alias("v")))),
-                        lambda x: x["v"]).alias(name))
+    def ordered(kind: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("o", "v")))), lambda x: x["v"])
 
-    folded = ordered("lead_no", "lead_nos").join(ordered("product", "products"), "join_phone", "full")
+    folded = seen.groupBy("join_phone").agg(ordered("lead_no").alias("lead_nos"), ordered("product").alias("products"))
     none = F.expr("cast(array() as array<string>)")
     return (
         resolved.join(folded, "join_phone", "left")
