@@ -229,14 +229,14 @@ def _anchor(c: Column) -> Column:
 
 
 def contained_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """(inner_id, outer_id) where the inner text lies inside an outer text of the same call.
+    """(call_id, inner_id, outer_id) where the inner text lies inside an outer text of the same call.
 
-    Inputs hold call_id, id, t.  A word with blanks around it inside the inner text
-    must occur as a whole word in the outer one, so candidates meet on (call,
-    word) and not call by call; only texts of one or two words, which have no such
-    word, are compared within their call.
+    Inputs hold call_id, id, t, one row per distinct text of a call.  A word with
+    blanks around it inside the inner text must occur as a whole word in the outer
+    one, so candidates meet on (call, word) and not call by call; only texts of one
+    or two words, which have no such word, are compared within their call.
     """
-    inner = inner.where("t <> ''").withColumn("anchor", _anchor(F.col("t")))
+    inner = inner.withColumn("anchor", _anchor(F.col("t")))
     long, short = inner.where("anchor is not null"), inner.where("anchor is null").drop("anchor")
     wanted = long.select("call_id", "anchor").distinct()
     words = outer.select("call_id", F.col("id").alias("outer_id"), F.explode(F.array_distinct(_tokens(F.col("t")))).alias("anchor")).join(
@@ -244,22 +244,29 @@ def contained_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
     texts = outer.select("call_id", F.col("id").alias("outer_id"), F.col("t").alias("outer_text"))
     near = long.join(words, ["call_id", "anchor"]).join(texts, ["call_id", "outer_id"])
     direct = short.join(texts, "call_id")
-    pairs = near.select("id", "t", "outer_id", "outer_text").unionByName(direct.select("id", "t", "outer_id", "outer_text"))
-    return pairs.where(F.contains("outer_text", "t")).select(F.col("id").alias("inner_id"), "outer_id")
+    columns = ["call_id", "id", "t", "outer_id", "outer_text"]
+    pairs = near.select(*columns).unionByName(direct.select(*columns))
+    return pairs.where(F.contains("outer_text", "t")).select("call_id", F.col("id").alias("inner_id"), "outer_id")
 
 
 def ground(questions: DataFrame, utterances: DataFrame) -> DataFrame:
-    """Adds ``utterance_id``: the first turn holding the question's text, else the first turn held in it."""
-    questions = cut(questions, "questions")  # parsed once, used by several candidate joins
-    needle = questions.select("call_id", F.col("item_id").alias("id"), F.lower(trim_blank(F.col("raw_text"))).alias("t")).where("t <> ''")
-    turns = utterances.select("call_id", F.col("utterance_id").alias("id"), F.lower(trim_blank(F.col("text"))).alias("t"), "idx")
-    order = turns.select(F.col("id").alias("utterance_id"), "idx")
-    inside = contained_pairs(needle, turns).select(F.col("inner_id").alias("item_id"), F.col("outer_id").alias("utterance_id"), F.lit(1).alias("tier"))
-    around = contained_pairs(turns.select("call_id", "id", "t"), needle).select(
-        F.col("outer_id").alias("item_id"), F.col("inner_id").alias("utterance_id"), F.lit(2).alias("tier"))
-    best = inside.unionByName(around).join(order, "utterance_id").groupBy("item_id").agg(
-        F.min(F.struct("tier", "idx", "utterance_id")).alias("m"))
-    return questions.join(best.select("item_id", F.col("m.utterance_id").alias("utterance_id"), F.col("m.tier").alias("tier")), "item_id", "left")
+    """Adds ``utterance_id``: the first turn holding the question's text, else the first turn held in it.
+
+    Equal texts of a call are folded to one (with its first turn) before any
+    matching, so copies of a sentence cost one comparison.
+    """
+    folded = lambda c: F.lower(trim_blank(F.col(c)))
+    asked = cut(questions.withColumn("t", folded("raw_text")).withColumn("text_id", F.md5("t")), "questions")
+    needles = asked.where("t <> ''").select("call_id", F.col("text_id").alias("id"), "t").distinct()
+    said = utterances.select("call_id", "idx", "utterance_id", folded("text").alias("t")).where("t <> ''").groupBy("call_id", "t").agg(
+        F.min(F.struct("idx", "utterance_id")).alias("first")).withColumn("id", F.md5("t"))
+    said = cut(said, "turns")
+    inside = contained_pairs(needles, said).select("call_id", F.col("inner_id").alias("text_id"), F.col("outer_id").alias("id"), F.lit(1).alias("tier"))
+    around = contained_pairs(said, needles).select("call_id", F.col("outer_id").alias("text_id"), F.col("inner_id").alias("id"), F.lit(2).alias("tier"))
+    best = inside.unionByName(around).join(said.select("call_id", "id", "first"), ["call_id", "id"]).groupBy("call_id", "text_id").agg(
+        F.min(F.struct("tier", "first")).alias("m"))
+    return asked.join(best, ["call_id", "text_id"], "left").select(
+        *questions.columns, F.col("m.first.utterance_id").alias("utterance_id"), F.col("m.tier").alias("tier"))
 
 
 def ground_questions(coerced: DataFrame, utterances: DataFrame, drop: bool = True) -> DataFrame:

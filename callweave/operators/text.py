@@ -9,6 +9,7 @@ from callweave import constants as C
 from callweave.functions import pii
 from callweave.functions import text as T
 from callweave.functions.numbers import one_decimal
+from callweave.functions.vec import let
 
 
 # --- personal data -----------------------------------------------------------------
@@ -134,24 +135,22 @@ def turn_chunks(utterances: DataFrame, budget: int = C.CHUNK_BUDGET) -> DataFram
     """Greedy chunk number of every turn: a chunk closes when the next turn would pass the budget.
 
     The running size restarts at every chunk, which no running window can say, so
-    the fold runs over the turn sizes of a call (numbers only; the texts stay put
-    and join back on the turn).
+    a fold runs over the turn sizes of a call and keeps only the first turn of each
+    chunk (numbers only; the texts stay put and join back on the turn).
     """
     size = F.length("text") + F.length("speaker") + 10
     turns = utterances.select("call_id", "idx", size.cast("bigint").alias("size"))
-    start = F.struct(F.lit(0).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("filled"),
-                     F.expr("cast(array() as array<struct<idx:bigint,chunk:bigint>>)").alias("out"))
+    start = F.struct(F.lit(0).cast("bigint").alias("filled"), F.expr("cast(array() as array<bigint>)").alias("starts"))
 
     def step(acc, t):
-        opens = (acc["filled"] > 0) & (acc["filled"] + t["size"] > budget)
-        chunk = F.when(opens, acc["chunk"] + 1).otherwise(acc["chunk"])
-        filled = F.when(opens, t["size"]).otherwise(acc["filled"] + t["size"])
-        return F.struct(chunk.alias("chunk"), filled.alias("filled"),
-                        F.concat(acc["out"], F.array(F.struct(t["idx"].alias("idx"), chunk.alias("chunk")))).alias("out"))
+        opens = (F.size(acc["starts"]) == 0) | (acc["filled"] + t["size"] > budget)
+        return F.when(opens, F.struct(t["size"].alias("filled"), F.concat(acc["starts"], F.array(t["idx"])).alias("starts"))).otherwise(
+            F.struct((acc["filled"] + t["size"]).alias("filled"), acc["starts"].alias("starts")))
 
     folded = turns.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("idx", "size"))).alias("turns"))
-    chunks = folded.select("call_id", F.inline(F.aggregate("turns", start, step)["out"]))
-    return utterances.join(chunks, ["call_id", "idx"])
+    numbered = let(F.aggregate("turns", start, step)["starts"], lambda starts: F.transform(
+        "turns", lambda t: F.struct(t["idx"].alias("idx"), (F.size(F.filter(starts, lambda s: s <= t["idx"])) - 1).cast("bigint").alias("chunk"))))
+    return utterances.join(folded.select("call_id", F.inline(numbered)), ["call_id", "idx"])
 
 
 def embed_keys(questions: DataFrame, role: str = "passage") -> DataFrame:

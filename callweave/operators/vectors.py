@@ -93,10 +93,16 @@ def nearest(left: DataFrame, right: DataFrame, k: int, *, left_id="question_id",
         "position", F.col("position").cast("bigint"))
 
 
+def block_count(rows: int, most: int, parallelism: int) -> int:
+    """Blocks of at most ``most`` rows, and enough pairs of them to use every core on mid-size input."""
+    return max(1, math.ceil(rows / most), min(math.ceil(rows / 512), math.isqrt(parallelism)))
+
+
 def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, right_rows: int, task, schema: str, unit=True) -> DataFrame:
     """Run ``task((ids, matrix), (ids, matrix))`` for every pair of hash blocks of two (id, v) tables."""
-    left_blocks = max(1, math.ceil(lhs.count() / block_rows))
-    right_blocks = max(1, math.ceil(right_rows / block_rows))
+    cores = lhs.sparkSession.sparkContext.defaultParallelism
+    left_blocks = block_count(lhs.count(), block_rows, cores)
+    right_blocks = block_count(right_rows, block_rows, cores)
 
     def spread(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(own_n))).withColumn(
@@ -104,6 +110,11 @@ def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, right_rows: i
 
     a = spread(lhs, "lb", left_blocks, "rb", right_blocks)
     b = spread(rhs.select(F.col("id").alias("rid"), F.col("v").alias("rv")), "rb", right_blocks, "lb", left_blocks)
+    return cogrouped(a, b, ["lb", "rb"], task, schema, unit)
+
+
+def cogrouped(a: DataFrame, b: DataFrame, keys: list[str], task, schema: str, unit=True) -> DataFrame:
+    """One task call per key: left rows (id, v) against right rows (rid, rv), both in id order."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
@@ -114,7 +125,7 @@ def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, right_rows: i
             (left.column("id").to_pylist(), kernels.matrix(left.column("v"), unit)),
             (right.column("rid").to_pylist(), kernels.matrix(right.column("rv"), unit)))])
 
-    return a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInArrow(both, schema)
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(both, schema)
 
 
 def search(questions: DataFrame, embeddings: DataFrame, members: DataFrame, query: list[float], *,
