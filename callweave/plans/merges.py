@@ -14,13 +14,13 @@ from callweave.plans.views import AS_OF
 
 MOVES = f"""
 updates as (select question_id, cast((vec_id + 1) % 9 as string) as cluster_id, 5e-1 as similarity, timestamp '{AS_OF}' as assigned_at
-            from v_planted where vec_id % 3 = 0 or label = 9)
+            from v_planted where label >= 6)
 """
 
 
 def moves(ws):
-    """A change batch: every third question moves, unplaced ones arrive."""
-    return ws["v_planted"].where("vec_id % 3 = 0 or label = 9").select(
+    """A change batch: questions of three labels move and those without a cluster arrive."""
+    return ws["v_planted"].where("label >= 6").select(
         "question_id", ((F.col("vec_id") + 1) % 9).cast("string").alias("cluster_id"), F.lit(0.5).alias("similarity"),
         F.lit(AS_OF).cast("timestamp_ntz").alias("assigned_at"))
 
@@ -47,12 +47,12 @@ def merge_edges(ws):
 
 
 @query("v_clusters", """
-select id, case when num % 2 = 0 then 'fresh ' || id else label end as label,
-       case when num % 3 = 0 then 'ta' else dominant_language end as dominant_language, frequency from v_clusters""")
+select id, case when dominant_language = 'en' then 'fresh ' || id else label end as label,
+       case when not is_stable then 'ta' else dominant_language end as dominant_language, frequency from v_clusters""")
 def merge_partial_update(ws):
-    changes = ws["v_clusters"].where("num % 2 = 0 or num % 3 = 0").select(
-        "id", F.when(F.col("num") % 2 == 0, F.concat(F.lit("fresh "), F.col("id"))).alias("label"),
-        F.when(F.col("num") % 3 == 0, F.lit("ta")).alias("dominant_language"))
+    changes = ws["v_clusters"].select(
+        "id", F.when(F.col("dominant_language") == "en", F.concat(F.lit("fresh "), F.col("id"))).alias("label"),
+        F.when(~F.col("is_stable"), F.lit("ta")).alias("dominant_language"))
     return M.partial_update(ws["v_clusters"], changes, "id").select("id", "label", "dominant_language", "frequency")
 
 

@@ -177,9 +177,9 @@ def agg_extract_status(ws):
 turns as (
   select call_id, idx, text from v_utterances
   union all
-  select call_id, 1000, 'this is ' || full_name || ' reach me at ' || substr(phone, 1, 5) || ' ' || substr(phone, 6) from v_analyses where cast(call_id as bigint) % 3 = 0
+  select call_id, 1000, 'this is ' || full_name || ' reach me at ' || substr(phone, 1, 5) || ' ' || substr(phone, 6) from v_analyses where sentiment = 'negative'
   union all
-  select call_id, 1001, 'policy ' || lower(policy_no) from v_analyses where cast(call_id as bigint) % 5 = 0),
+  select call_id, 1001, 'policy ' || lower(policy_no) from v_analyses where escalation),
 said as (select call_id, lower(string_agg(text, ' ' order by idx)) as said from turns group by 1),
 m as (
   select a.*, coalesce(full_name <> '' and contains(said, lower(full_name)), false) as n_ok, coalesce(email <> '' and contains(said, lower(email)), false) as e_ok,
@@ -193,9 +193,9 @@ select call_id, case when n_ok or full_name = '' then full_name end as full_name
 from m""")
 def llm_ground_lead(ws):
     a = ws["v_analyses"]
-    intro = a.where("cast(call_id as bigint) % 3 = 0").select("call_id", F.lit(1000).cast("bigint").alias("idx"), F.concat(
+    intro = a.where("sentiment = 'negative'").select("call_id", F.lit(1000).cast("bigint").alias("idx"), F.concat(
         F.lit("this is "), "full_name", F.lit(" reach me at "), F.substring("phone", 1, 5), F.lit(" "), F.substring("phone", 6, 5)).alias("text"))
-    policy = a.where("cast(call_id as bigint) % 5 = 0").select("call_id", F.lit(1001).cast("bigint").alias("idx"),
+    policy = a.where("escalation").select("call_id", F.lit(1001).cast("bigint").alias("idx"),
                                                                F.concat(F.lit("policy "), F.lower("policy_no")).alias("text"))
     turns = ws["v_utterances"].select("call_id", "idx", "text").unionByName(intro).unionByName(policy)
     return MJ.ground_lead(a, turns).select("call_id", "full_name", "email", "policy_no", "phone",

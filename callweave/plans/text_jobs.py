@@ -99,7 +99,7 @@ def text_transcript_block(ws):
 
 
 EMBED_TEXTS = """
-texts as (select id, 'passage: ' || trim(coalesce(nullif(normalized_text, ''), nullif(raw_text, ''), '')
+texts as (select id, language, 'passage: ' || trim(coalesce(nullif(normalized_text, ''), nullif(raw_text, ''), '')
          || case when coalesce(english_gloss, '') <> '' then ' || ' || english_gloss else '' end, ' ') as embed_text from v_questions)
 """
 

@@ -213,9 +213,9 @@ def vec_embed(ws):
 
 @query("v_questions", EMBED_TEXTS + """,
 keys as (select embed_text, sha1(embed_text) as cache_key, count(*) as n_questions from texts group by 1),
-cache as (select distinct sha1(embed_text) as cache_key from texts where cast(id as bigint) % 3 = 0)
+cache as (select distinct sha1(embed_text) as cache_key from texts where language = 'en')
 select cache_key, n_questions from keys where cache_key not in (select cache_key from cache)""")
 def vec_embed_misses(ws):
     keys = TX.embed_keys(ws["v_questions"])
-    cached = TX.embed_keys(ws["v_questions"].where("vec_id % 3 = 0")).select("cache_key", F.lit("m1").alias("model"))
+    cached = TX.embed_keys(ws["v_questions"].where("language = 'en'")).select("cache_key", F.lit("m1").alias("model"))
     return VX.embed_misses(keys, cached, "m1").select("cache_key", "n_questions")
