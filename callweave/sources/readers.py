@@ -153,7 +153,11 @@ def read_analyses(spark: SparkSession, path: str) -> DataFrame:
 
 # --- upload listing --------------------------------------------------------------------
 def file_listing(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of files below a folder; their content is never read."""
+    """(path, length) of files below a folder; their content is never read.
+
+    Spark leaves empty files out of every file scan, so an outside inventory is
+    needed to see those rejected.
+    """
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
 
 
