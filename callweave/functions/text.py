@@ -120,8 +120,8 @@ def first_text(*columns: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(text == "", F.lit("untitled")).otherwise(text)
+    text = F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit("untitled"))
 
 
 def like_escape(needle: str) -> str:
