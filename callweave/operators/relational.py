@@ -70,8 +70,12 @@ def gloss(width: int = 120) -> Column:
 
 
 def duration_slice(calls: DataFrame, least: float, buckets: list[str] | None = None) -> DataFrame:
-    """Calls of at least ``least`` seconds; an empty bucket list means every bucket."""
-    kept = calls.where(F.coalesce("duration_seconds", F.lit(0.0)) >= least)
+    """Calls of at least ``least`` seconds; an empty bucket list means every bucket.
+
+    A missing duration counts as 0.  The bare comparison reaches the file scan.
+    """
+    long = F.col("duration_seconds") >= least
+    kept = calls.where(long if least > 0 else long | (F.col("duration_seconds").isNull() & F.lit(least <= 0)))
     return kept.where(F.col("bucket").isin(buckets)) if buckets else kept
 
 
