@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import quality_rules
+from callweave.llm import decontaminate, mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,50 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (~quality_rules.passes(F.col("fail_bits"), 1)).alias("base_failed"),
                        quality_rules.passes(F.col("fail_bits"), 3).alias("kept"), "n_lines", "fail_bits")
+
+
+@_register(r"""
+with recursive s as (select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as size,
+        ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as dice from documents),
+n as (select count(*) as docs, coalesce(sum(size), 0)::bigint as words, greatest(1, round(sqrt(count(*)))::bigint) as groups,
+        least(256, greatest(1, coalesce(sum(size), 0)::bigint // 65536)) as block from s),
+t as (select source, sum(size)::bigint as source_size from s group by source),
+r as (select *, row_number() over (order by source is null, source) - 1 as place from t),
+w as (select *, [5, 2, 1][place % 3 + 1]::double as weight from r),
+l as (select *, (sum(source_size) over () - 3 * coalesce(sum(source_size) over (order by source_size / weight, place rows between unbounded preceding and 1 preceding), 0))
+        / (sum(weight) over () - coalesce(sum(weight) over (order by source_size / weight, place rows between unbounded preceding and 1 preceding), 0)) as level from w),
+f as (select level as fit from l where level * weight <= 3 * source_size order by source_size / weight, place limit 1),
+g as (select source, place, source_size, least(weight * fit, 3.0 * source_size)::double as target from l left join f on true),
+h as (select *, sum(target) over (order by place) / sum(target) over () as high, lead(place) over (order by place) is null as ends from g where target > 0),
+i as (select place, coalesce(lag(high) over (order by place), 0) as low, case when ends then 2.0 else high end as high from h),
+b as (select 0 as k union all select k + 1 from b where k < 31),
+o as (select slot, sum(((slot >> k) & 1) / pow(2.0, k + 1)) as x from (select unnest(range(0, (select (words + block - 1) // block from n))) as slot) cross join b group by slot),
+c as (select place, count(*) as slots from o join i on x >= low and x < high group by place),
+d as (select s.doc_id, s.source, s.size, g.source_size, g.target, coalesce(c.slots, 0) * (select block from n) as upto,
+        sum(s.size) over (partition by s.source order by s.dice % (select groups from n), s.dice, s.doc_id nulls first, s.size rows between unbounded preceding and current row) - s.size as start
+      from s join g on g.source is not distinct from s.source left join c on c.place = g.place)
+select doc_id, size, source_size, target, (least(greatest(upto - start, 0), size) + least(greatest(upto - start - source_size, 0), size)
+        + least(greatest(upto - start - 2 * source_size, 0), size))::bigint as taken, source
+from d""")
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken(_table(spark, folder, "documents"))
+
+
+@_register(r"""
+with dw as (select row_number() over () as rid, doc_id, regexp_extract_all(lower_az(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+bw as (select row_number() over () as bid, item_id, regexp_extract_all(lower_az(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+b13 as (select distinct item_id, array_to_string(ws[i:i + 12], ' ') as win from (select item_id, ws, unnest(range(1, len(ws) - 11)) as i from bw where len(ws) >= 13)),
+d13 as (select rid, i, array_to_string(ws[i:i + 12], ' ') as win from (select rid, ws, unnest(range(1, len(ws) - 11)) as i from dw where len(ws) >= 13)),
+short as (select distinct item_id, ws, len(ws) as n from bw where len(ws) between 1 and 12),
+lens as (select distinct n from short),
+ds as (select rid, i, n, array_to_string(ws[i:i + n - 1], ' ') as win from (select rid, ws, n, unnest(range(1, len(ws) - n + 2)) as i from dw, lens where len(ws) >= n)),
+m as (select rid, i, 13 as n, item_id from d13 join b13 using (win)
+      union all select rid, i, ds.n, item_id from ds join short on short.n = ds.n and array_to_string(short.ws, ' ') = ds.win),
+p as (select distinct rid, unnest(range(i, i + n)) as at from m),
+h as (select rid, count(*) as n_hit from p group by rid),
+t as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct rid, item_id::varchar as item from m where item_id is not null) group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from dw left join h on h.rid = dw.rid left join t on t.rid = dw.rid""".replace("lower_az(coalesce(text, ''))", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.verdicts(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
