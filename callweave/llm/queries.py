@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import decontaminate, mixing, quality_rules
+from callweave.llm import decontaminate, mixing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,3 +98,9 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from dw left join h on h.rid = dw.rid left join t on t.rid = dw.rid""".replace("lower_az(coalesce(text, ''))", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.verdicts(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_register()
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.grouped(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
