@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import decontaminate, mixing, quality_rules, simhash
+from callweave.llm import decontaminate, license_scan, line_dedup, mixing, quality_rules, simhash
+from callweave.llm.license_texts import TEXTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,3 +105,46 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.grouped(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+_HTML = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'g'), '[\n\r]+', ' ', 'g'),
+  '(?i)</?(p|div|li|ul|ol|nav|header|footer|article|section|h[1-6]|br|tr|table|title|body|head|html)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'),
+  ' *\n[ \n]*', chr(10), 'g')"""
+
+
+@_register(rf"""
+with p as (select row_number() over () as rid, page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') as host,
+             {_HTML} as text from pages),
+l as (select rid, host, k, ls[k] as line, trim(ls[k], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as own
+      from (select rid, host, ls, unnest(range(1, len(ls) + 1)) as k from (select rid, host, string_split(text, chr(10)) as ls from p))),
+c as (select host, own, count(distinct rid) as n from l where own <> '' group by host, own having count(distinct rid) >= 3),
+t as (select host, count(*) as total from p group by host),
+f as (select c.host, own from c join t on t.host is not distinct from c.host where n > 0.07 * total),
+m as (select rid, k, line, l.own, f.own is not null as gone from l left join f on f.host is not distinct from l.host and f.own = l.own),
+r as (select rid, count(*) filter (where own <> '')::bigint as n_lines, count(*) filter (where gone)::bigint as n_removed,
+        string_agg(line, chr(10) order by k) filter (where not gone) as kept from m group by rid)
+select page_id, host, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed,
+       case when text is not null then sha256(coalesce(kept, '')) end as kept_sha256
+from p left join r on r.rid = p.rid""")
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", line_dedup.host(F.col("url")).alias("host"), line_dedup.visible_lines(F.col("html")).alias("text"))
+    found = line_dedup.line_counts(pages, "host", "text")
+    return found.select("page_id", "host", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _known_sql(texts: list[tuple[str, str]]) -> str:
+    rows = ", ".join(f"('{name}', '{text.replace("'", "''")}')" for name, text in texts)
+    return f"select sha256({license_scan.canonical_sql('text')}) as digest, min(license) as license from (values {rows}) v(license, text) group by 1"
+
+
+@_register(rf"""
+with k as ({_known_sql(TEXTS)}), n as ({_known_sql(license_scan.notices())}),
+d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+l as (select rid, line from (select rid, unnest(string_split(t, chr(10))) as line from d) where trim(line, ' ') <> ''),
+m as (select rid, license from (select rid, sha256({license_scan.canonical_sql('line')}) as digest from l) join n using (digest)),
+r as (select rid, count(*)::bigint as n_notices, string_agg(distinct license, ',' order by license) as notices from m group by rid)
+select doc_id, sha256({license_scan.canonical_sql('t')}) as canonical_sha256, k.license, coalesce(notices, '') as notices, coalesce(n_notices, 0)::bigint as n_notices
+from d left join k on k.digest = sha256({license_scan.canonical_sql('t')}) left join r on r.rid = d.rid""")
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scanned(_table(spark, folder, "documents"))
