@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import decontaminate, license_scan, line_dedup, mixing, quality_rules, simhash
+from callweave.llm import decontaminate, license_scan, line_dedup, mixing, quality_rules, simhash, substring_dedup
 from callweave.llm.license_texts import TEXTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,19 @@ select doc_id, sha256({license_scan.canonical_sql('t')}) as canonical_sha256, k.
 from d left join k on k.digest = sha256({license_scan.canonical_sql('t')}) left join r on r.rid = d.rid""")
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scanned(_table(spark, folder, "documents"))
+
+
+@_register(r"""
+with d as (select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+w as (select rid, doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as h from (select rid, doc_id, ws, unnest(range(1, len(ws) - 48)) as i from d where len(ws) >= 50)),
+m as (select h, min(coalesce(doc_id, 9223372036854775807)) as least from w group by h having count(*) > 1),
+g as (select rid, i from w join m using (h) where coalesce(doc_id, 9223372036854775807) > least),
+c as (select distinct rid, unnest(range(i, i + 50)) as pos from g),
+k as (select rid, ws[pos] as word, pos from (select rid, ws, unnest(range(1, len(ws) + 1)) as pos from d)),
+r as (select k.rid, count(c.pos)::bigint as n_removed, string_agg(word, ' ' order by k.pos) filter (where c.pos is null) as kept
+      from k left join c on c.rid = k.rid and c.pos = k.pos group by k.rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join r on r.rid = d.rid""")
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.deduplicated(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
