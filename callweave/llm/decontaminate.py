@@ -25,7 +25,7 @@ from callweave.llm.batches import LOWER, chunks, text_bytes, word_hashes, words
 from callweave.session import cut
 
 WINDOW = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_WINDOWS = 1 << 17  # windows of test items sent to the shards at once: 14 MB
 CANDIDATES = 1 << 20  # places examined at once in a shard
 
