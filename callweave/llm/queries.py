@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import decontaminate, license_scan, line_dedup, mixing, quality_rules, simhash, substring_dedup
+from callweave.llm import decontaminate, license_scan, line_dedup, mixing, pii_crf, quality_rules, simhash, substring_dedup
 from callweave.llm.license_texts import TEXTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,14 @@ from d left join r on r.rid = d.rid""")
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.deduplicated(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_register()
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii_crf.scanned(_table(spark, folder, "documents"))
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
