@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import decontaminate, license_scan, line_dedup, mixing, pii_crf, quality_rules, simhash, substring_dedup
+from callweave.llm import decontaminate, language_id, license_scan, line_dedup, mixing, pii_crf, quality_rules, simhash, substring_dedup
 from callweave.llm.license_texts import TEXTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,8 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
 
     counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@_register()
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identified(_table(spark, folder, "documents"))
