@@ -62,8 +62,8 @@ class _Words:
         return first, self.runs(first, short)
 
     def spread(self, replies: list) -> np.ndarray:
-        """Word numbers named by the replies: per text a list of packed places, or none."""
-        found = [np.frombuffer(blob, dtype=np.int32) + base for base, blobs in zip(self.before[:-1], replies) for blob in blobs or ()]
+        """Word numbers named by the replies: packed places per text, or none."""
+        found = [np.frombuffer(blob, dtype=np.int32) + base for base, blob in zip(self.before[:-1], replies) if blob]
         return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
 
     def alike(self, first: np.ndarray, hashes: np.ndarray, named: np.ndarray) -> np.ndarray:
@@ -95,7 +95,7 @@ WINDOW = [np.uint64, np.int64, np.uint64, np.int32, np.uint8]  # hash, id, key,
 
 
 def _shared_anchors(keyed: DataFrame, length: int) -> DataFrame:
-    """(key, places): per document the anchors that also occur in another one."""
+    """Packed (key, place) of the anchors that also occur in another document."""
     parts = partitions(keyed)
 
     def ask(batches):
@@ -123,9 +123,9 @@ def _shared_anchors(keyed: DataFrame, length: int) -> DataFrame:
         several = _several(keys[asked], begin, size)
         shared[asked] = np.repeat(several, size)
         shared |= state != ASK
-        yield per_key(keys[shared], places[shared], "key", "places")
+        yield packed(target(keys[shared], parts), [keys[shared], places[shared]])
 
-    return routed(keyed.mapInArrow(ask, PACKED)).mapInArrow(answer, "key long, places binary")
+    return routed(keyed.mapInArrow(ask, PACKED)).mapInArrow(answer, PACKED)
 
 
 def _several(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -136,11 +136,17 @@ def _several(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndar
 
 
 def _gathered(replies: DataFrame, name: str) -> DataFrame:
-    return replies.groupBy(F.col("key").alias("_key")).agg(F.collect_list("places").alias(name))
+    """One row per document that is named in packed replies, with all its places."""
+
+    def collect(batches):
+        keys, places = unpacked(blobs_of(batches), [np.uint64, np.int32])
+        yield per_key(keys, places, "_key", name)
+
+    return routed(replies).mapInArrow(collect, f"_key long, {name} binary")
 
 
 def _repeated_windows(candidates: DataFrame, length: int) -> DataFrame:
-    """(key, places): per document the windows that start in a document with a smaller id as well."""
+    """Packed (key, place) of the windows that start in a document with a smaller id as well."""
     parts = partitions(candidates)
 
     def ask(batches):
@@ -177,9 +183,9 @@ def _repeated_windows(candidates: DataFrame, length: int) -> DataFrame:
         gone = state == SETTLED
         if len(begin):
             gone[asked] = ids[asked] > np.repeat(np.minimum.reduceat(ids[asked], begin), size)
-        yield per_key(keys[gone], places[gone], "key", "places")
+        yield packed(target(keys[gone], parts), [keys[gone], places[gone]])
 
-    return routed(candidates.mapInArrow(ask, PACKED)).mapInArrow(answer, "key long, places binary")
+    return routed(candidates.mapInArrow(ask, PACKED)).mapInArrow(answer, PACKED)
 
 
 def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
