@@ -26,18 +26,19 @@ LEAST_SLOTS = 1 << 16
 CELLS = 4096  # of the unit interval, to look up the source of a point by an equi-join
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): size is the number of words."""
+def sized(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """(key, doc_id, source, size): size is the number of words; ``key`` (a long) finds the row again."""
 
     def count(batches):
         for batch in chunks(batches):
             _, _, before = words(*text_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(before[1:] - before[:-1])],
-                                             names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("source"), pa.array(before[1:] - before[:-1])],
+                                             names=["key", "doc_id", "source", "size"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+    doc_id = F.col("doc_id").cast("long")
+    picked = docs.select((doc_id if key is None else key).alias("key"), doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"),
                          F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(count, "doc_id long, source string, size long")
+    return picked.mapInArrow(count, "key long, doc_id long, source string, size long")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -113,13 +114,13 @@ def schedule(goals: DataFrame, n_slots: int) -> DataFrame:
     return _running(dealt, ["place"], "_stretch", ["slot"], F.lit(1), "rank").drop("_stretch")
 
 
-def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sized documents (doc_id, source, size, source_size, target, _start) and the scheduled pieces of them.
+def mix(docs: DataFrame, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The sized documents (key, doc_id, source, size, source_size, target, _start) and the scheduled pieces of them.
 
     A piece says which words of a document a slot takes: (slot, source, rank, doc_id, size, _start, first, n), ``first`` counted
     from 0 in the document.  ``_start`` is where the document begins on its source's line.
     """
-    sizes = cut(sized(docs), "sizes")
+    sizes = cut(sized(docs, key), "sizes")
     n_docs, n_words = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = min(BLOCK_WORDS, max(1, n_words // LEAST_SLOTS))
     goals = targets(sizes)
@@ -128,7 +129,7 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lined = sizes.withColumn("_dice", dice).withColumn("_group", F.pmod(F.col("_dice"), F.lit(groups)))
     lined = _running(lined, ["source"], "_group", ["_dice", "doc_id", "size"], F.col("size"), "_start")
     lined = lined.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select(
-        "doc_id", "d.source", "size", "source_size", "target", "_start", "place")
+        "key", "doc_id", "d.source", "size", "source_size", "target", "_start", "place")
     lined = cut(lined, "lined")
     n_slots = -(-n_words // block)
     slots = schedule(goals, n_slots).withColumnRenamed("place", "_place")
@@ -146,9 +147,9 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lined, pieces
 
 
-def taken(docs: DataFrame) -> DataFrame:
+def taken(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """Per document: how many of its words the mix takes, repeats counted."""
-    lined, pieces = mix(docs)
+    lined, pieces = mix(docs, key)
     got = pieces.groupBy(F.col("place").alias("_place"), F.col("_start").alias("_at")).agg(F.sum("n").alias("_n"))
     joined = lined.join(got, (F.col("place") == F.col("_place")) & (F.col("_start") == F.col("_at")) & (F.col("size") > 0), "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("_n", F.lit(0)).cast("long").alias("taken"), "source")
+    return joined.select("key", "doc_id", "size", "source_size", "target", F.coalesce("_n", F.lit(0)).cast("long").alias("taken"), "source")

@@ -78,7 +78,7 @@ select doc_id, size, source_size, target, (least(greatest(upto - start, 0), size
         + least(greatest(upto - start - 2 * source_size, 0), size))::bigint as taken, source
 from d""")
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.taken(_table(spark, folder, "documents"))
+    return mixing.taken(_table(spark, folder, "documents")).drop("key")
 
 
 @_register(r"""

@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.batches import LOWER, WORD_BYTE, chunks, text_bytes, words
@@ -63,16 +63,18 @@ def fingerprints_of(column: pa.Array, width: int = 3) -> np.ndarray:
     return prints
 
 
-def fingerprinted(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+def fingerprinted(docs: DataFrame, width: int = 3, key: Column | None = None) -> DataFrame:
+    """(key, doc_id, fp): the fingerprint as a signed 64-bit number; ``key`` (a long) finds the row again."""
 
     def mark(batches):
         for batch in chunks(batches):
             prints = fingerprints_of(batch.column("text"), width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(prints.astype(np.uint64).view(np.int64))],
+                                             names=["key", "doc_id", "fp"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(mark, "doc_id long, fp long")
+    doc_id = F.col("doc_id").cast("long")
+    picked = docs.select((doc_id if key is None else key).alias("key"), doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(mark, "key long, doc_id long, fp long")
 
 
 class _Forest:
@@ -158,12 +160,15 @@ def near_links(prints: DataFrame) -> DataFrame:
     return placed.repartition(parts, "cell").mapInArrow(meet, "a long, b long")
 
 
-def grouped(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of two bits or fewer."""
-    marked = cut(fingerprinted(docs, width), "prints")
+def grouped(docs: DataFrame, width: int = 3, key: Column | None = None) -> DataFrame:
+    """(key, doc_id, fp, component, component_id): component names the group, component_id is the smallest doc_id in it.
+
+    Fingerprints are linked when they differ in two bits or fewer; groups are what is reachable over links.
+    """
+    marked = cut(fingerprinted(docs, width, key), "prints")
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(near_links(distinct.select("fp")))
     placed = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    placed = placed.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(placed, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    placed = placed.join(least, "root").select(F.col("fp").alias("_fp"), F.col("root").alias("component"), "component_id")
+    return marked.join(placed, F.col("fp") == F.col("_fp")).select("key", "doc_id", "fp", "component", "component_id")
