@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callweave.llm import decontaminate, language_id, license_scan, line_dedup, mixing, pii_crf, quality_rules, simhash, substring_dedup
 from callweave.llm.license_texts import TEXTS
+from callweave.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,7 +130,7 @@ select page_id, host, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_remove
 from p left join r on r.rid = p.rid""")
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages").select("page_id", line_dedup.host(F.col("url")).alias("host"), line_dedup.visible_lines(F.col("html")).alias("text"))
-    found = line_dedup.line_counts(pages, "host", "text")
+    found = line_dedup.line_counts(cut(pages, "page_lines"), "host", "text")  # three passes read the lines: parse once
     return found.select("page_id", "host", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
