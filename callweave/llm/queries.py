@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import decontaminate, language_id, license_scan, line_dedup, mixing, pii_crf, quality_rules, simhash, substring_dedup
+from callweave.llm import decontaminate, language_id, license_scan, line_dedup, mixing, pii_crf, quality_rules, simhash, substring_dedup, suffix_dedup
 from callweave.llm.license_texts import TEXTS
 from callweave.session import cut
 
@@ -181,3 +181,9 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
 @_register()
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identified(_table(spark, folder, "documents"))
+
+
+@_register()
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
