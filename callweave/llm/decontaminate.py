@@ -142,16 +142,18 @@ def search(doc_words, terms, counts, positions, block, slop: int = 0) -> tuple[n
         ok = (doc >= 0) & (doc < len(doc_words) - 1)
         doc = np.where(ok, doc, 0)
         ok &= (place >= doc_words[doc]) & (place + sizes[row] <= doc_words[doc + 1])
-        w, row, place = w[ok], row[ok], place[ok]
+        w, row, place, doc = w[ok], row[ok], place[ok], doc[ok]
         for r in range(1, table.shape[1]):
             if not len(w):
                 break
             offset = rarity[w, r]
             number = table[row, offset]
-            wanted = (at[np.maximum(number, 0)].astype(np.int64) << 32) + place + offset
-            near = keys[np.minimum(np.searchsorted(keys, wanted - slop), len(keys) - 1)]
-            ok = (number < 0) | ((near >= wanted - slop) & (near <= wanted + slop))
-            w, row, place = w[ok], row[ok], place[ok]
+            term = at[np.maximum(number, 0)].astype(np.int64) << 32
+            low = term + np.maximum(place + offset - slop, doc_words[doc])
+            high = term + np.minimum(place + offset + slop, doc_words[doc + 1] - 1)
+            near = keys[np.minimum(np.searchsorted(keys, low), len(keys) - 1)]
+            ok = (number < 0) | ((near >= low) & (near <= high))
+            w, row, place, doc = w[ok], row[ok], place[ok], doc[ok]
         hits_w.append(row)
         hits_p.append(place)
     return np.concatenate(hits_w), np.concatenate(hits_p)

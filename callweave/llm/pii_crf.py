@@ -206,6 +206,7 @@ def fit(texts: list[str]) -> np.ndarray | None:
     if not any(gold for _, gold in examples):
         return None
     weights, speed = np.zeros((len(KINDS), len(FEATURES))), np.full((len(KINDS), len(FEATURES)), 1e-6)
+    weights[:, 0] = -3.0  # what is not like an example is no entity
     for _ in range(EPOCHS):
         step = sum(lattice.gradient(weights, gold) for lattice, gold in examples) / len(examples) - DECAY * weights
         speed += step * step
