@@ -174,8 +174,10 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     def joined(spans: str):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(kind) for kind in ("email", "ip", "card", "phone")], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 @_register()
