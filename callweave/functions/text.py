@@ -17,7 +17,6 @@ TAMIL = "[஀-௿]"
 TELUGU = "[ఀ-౿]"
 ARABIC = "[؀-ۿ]"
 ANY_INDIC = "[ऀ-ॿ஀-௿ఀ-౿]"
-LANGUAGE_SAMPLE_CHARS = 4000
 
 
 def alternation(words) -> str:
@@ -80,8 +79,7 @@ def language_bucket(c: Column, supplied: Column | None = None) -> Column:
 
     ``supplied`` is an outside language code (a statistical identifier's answer);
     without one, Latin text counts as English unless it holds Hindi function words.
-    The decision looks at the opening of the text only, as its thresholds are
-    stated for that length.
+    The decision looks at the whole text; its thresholds grow with the length.
     """
     code = F.coalesce(F.lower(supplied), F.lit("en")) if supplied is not None else F.lit("en")
 
@@ -100,7 +98,7 @@ def language_bucket(c: Column, supplied: Column | None = None) -> Column:
             .otherwise(F.lit("other")))
 
     return F.when(c.isNull() | (trim_blank(c) == ""), F.lit("en")).otherwise(
-        let(F.substring(c, 1, LANGUAGE_SAMPLE_CHARS), decide))
+        let(c, decide))
 
 
 def stt_language(code: Column, text: Column, redetect_other: bool) -> Column:

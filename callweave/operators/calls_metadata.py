@@ -30,7 +30,7 @@ def field_nulls(calls: DataFrame, fields: list[str]) -> DataFrame:
 
 def with_analysis(calls: DataFrame, limit: int) -> DataFrame:
     """Newest calls whose metadata holds an analysis document, date as YYYY-MM-DD."""
-    analysis = F.try_variant_get(F.parse_json("metadata"), "$.analysis", "variant")
+    analysis = F.try_variant_get(F.try_parse_json("metadata"), "$.analysis", "variant")
     kept = calls.withColumn("analysis", analysis).where(F.col("analysis").isNotNull())
     return kept.orderBy(F.desc("created_at"), "id").limit(limit).select(
         "id", "analysis", F.date_format("created_at", "yyyy-MM-dd").alias("call_date"))

@@ -105,15 +105,15 @@ def close_edges(vectors: DataFrame, similarity: float, block_rows: int = BLOCK_R
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every vertex of an edge list; the root is the smallest id.
 
     Alternating star contraction: neighbours hang on the least id they can see.
-    Rounds grow with the logarithm of the graph; each is checkpointed.
+    Rounds grow with the logarithm of the graph; each is checkpointed, and they end when nothing changes any more.
     """
     current = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -150,24 +150,19 @@ def _escape(c: Column) -> Column:
     return F.replace(F.replace(step, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
-def notes(nodes: DataFrame, edges: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """One markdown note per node: folder, unique name, body with its Related table.
+def notes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Markdown notes line by line: (id, folder, name, section, line, text), in the order (section, line) within a note.
 
-    A hub node would otherwise become one gigantic cell, so tables longer than
-    about ``part_rows`` rows are continued in further parts of the same note.
+    Section 0 is the head of the note, section 1 its Related table.  Rows of the table are ordered by direction, relation,
+    other end, weight and reason; ``line`` is that order as text, so a hub node needs no sort of its own and no cell that grows with it.
     """
-    rows = related(edges)
-    parts = rows.groupBy("node_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / part_rows)).alias("parts"))
     cell = F.concat(F.lit("| "), _escape(F.col("relation")), F.lit(" | [["), F.col("other"), F.lit("]] | "),
                     _escape(F.col("weight")), F.lit(" | "), _escape(F.col("reason")), F.lit(" |"))
-    lined = rows.join(parts, "node_id").withColumn("part", F.pmod(F.xxhash64("other"), F.col("parts"))).withColumn("cell", cell)
-    tables = lined.groupBy("node_id", "part").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("direction", "relation", "other", "weight", "reason", "cell"))),
-        lambda x: x["cell"]), "\n").alias("table"))
+    place = F.concat_ws("\u0001", "direction", "relation", "other", "weight", "reason")
+    table = related(edges).select(F.col("node_id").alias("id"), F.lit(1).alias("section"), place.alias("line"), cell.alias("text"))
     folder = F.coalesce(F.try_element_at(map_literal(C.NOTE_FOLDERS), F.col("type")), F.lit("misc"))
-    head = F.lit("| Relation | Linked Note | Weight | Reason |\n| --- | --- | --- | --- |")
-    named = nodes.join(note_names(nodes).select("id", "name"), "id")
-    joined = named.join(tables.withColumnRenamed("node_id", "id"), "id", "left")
-    body = F.concat(F.lit("# "), F.col("label"), F.lit("\n\n## Related\n\n"), head,
-                    F.coalesce(F.concat(F.lit("\n"), F.col("table")), F.lit("")), F.lit("\n"))
-    return joined.select("id", folder.alias("folder"), "name", F.coalesce("part", F.lit(0).cast("bigint")).alias("part"), body.alias("body"))
+    named = nodes.join(note_names(nodes).select("id", "name"), "id").select("id", folder.alias("folder"), "name", "label")
+    head = F.array(F.concat(F.lit("# "), F.col("label")), F.lit(""), F.lit("## Related"), F.lit(""), F.lit("| Relation | Linked Note | Weight | Reason |"),
+                   F.lit("| --- | --- | --- | --- |"))
+    top = named.select("id", "folder", "name", F.lit(0).alias("section"), F.posexplode(head).alias("line", "text")).withColumn("line", F.col("line").cast("string"))
+    return top.unionByName(table.join(named.select("id", "folder", "name"), "id"))

@@ -50,10 +50,11 @@ def partial_update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return joined.select(*table.columns)
 
 
-def set_status(calls: DataFrame, changes: DataFrame, as_of: str, width: int = 2000) -> DataFrame:
-    """Set status and error of changed calls; the error is overwritten even with null."""
+def set_status(calls: DataFrame, changes: DataFrame, as_of: str, width: int | None = None) -> DataFrame:
+    """Set status and error of changed calls; the error is overwritten even with null, and cut only if a ``width`` is asked for."""
+    error = F.col("error") if width is None else F.substring("error", 1, width)
     side = changes.select("id", F.col("status").alias("_status"),
-                          F.nullif(F.substring("error", 1, width), F.lit("")).alias("_error"), F.lit(True).alias("_hit"))
+                          F.nullif(error, F.lit("")).alias("_error"), F.lit(True).alias("_hit"))
     hit = F.coalesce("_hit", F.lit(False))
     joined = calls.join(side, "id", "left")
     return joined.withColumn("status", F.when(hit, F.col("_status")).otherwise(F.col("status"))).withColumn(
@@ -69,9 +70,18 @@ def set_json_member(table: DataFrame, values: DataFrame, key: str, column: str,
     side = values.select(key, F.col("document").alias("_doc"))
     members = F.from_json(F.coalesce(column, F.lit("{}")), "map<string,variant>")
     others = F.map_filter(members, lambda k, v: k != member)
-    fresh = F.to_json(F.map_concat(others, F.create_map(F.lit(member), F.parse_json("_doc"))))
+    fresh = F.to_json(F.map_concat(others, F.create_map(F.lit(member), F.try_parse_json("_doc"))))
+    # What is no JSON object, in the table or in the values, changes nothing.
+    whole = F.coalesce(F.schema_of_variant(F.try_parse_json(F.coalesce(column, F.lit("{}")))).startswith("OBJECT"), F.lit(False))
+    usable = whole & F.try_parse_json("_doc").isNotNull()
     joined = table.join(side, key, "left")
-    return joined.withColumn(column, F.when(F.col("_doc").isNotNull(), fresh).otherwise(F.col(column))).select(*table.columns)
+    return joined.withColumn(column, F.when(usable, fresh).otherwise(F.col(column))).select(*table.columns)
+
+
+def rejected_json(table: DataFrame, key: str, column: str) -> DataFrame:
+    """Rows whose JSON column holds text that is no JSON object: ``key`` and the text as it stands."""
+    kind = F.schema_of_variant(F.try_parse_json(column))
+    return table.where(F.col(column).isNotNull() & ~F.coalesce(kind.startswith("OBJECT"), F.lit(False))).select(key, column)
 
 
 def backfill_faq_labels(clusters: DataFrame, faqs: DataFrame, fresh: DataFrame, as_of: str, width: int = 120) -> tuple[DataFrame, DataFrame]:

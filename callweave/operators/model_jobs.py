@@ -36,9 +36,10 @@ def extract_requests(utterances: DataFrame, budget: int = C.CHUNK_BUDGET) -> Dat
     return blocks.join(words, "call_id").select("call_id", "chunk", "bucket", "block")
 
 
-def analyze_requests(utterances: DataFrame, width: int = C.ANALYSIS_BUDGET) -> DataFrame:
-    """One request per call; the block is cut at the prompt budget."""
-    return TX.transcript_block(utterances).withColumn("block", F.substring("block", 1, width))
+def analyze_requests(utterances: DataFrame, budget: int = C.ANALYSIS_BUDGET) -> DataFrame:
+    """Requests per call and chunk: a call longer than the prompt budget is asked in several parts, each of whole turns."""
+    blocks = TX.transcript_block(TX.turn_chunks(utterances, budget), ("call_id", "chunk"))
+    return blocks.select("call_id", "chunk", F.concat_ws("#", "call_id", F.col("chunk").cast("string")).alias("request"), "block")
 
 
 def faq_requests(clusters, members, embeddings, questions) -> DataFrame:

@@ -13,7 +13,7 @@ from callweave.functions.text import first_text, like_escape
 
 def json_field(column: str, name: str, kind: str = "string") -> Column:
     """One member of a JSON text column."""
-    return F.try_variant_get(F.parse_json(column), f"$.{name}", kind)
+    return F.try_variant_get(F.try_parse_json(column), f"$.{name}", kind)
 
 
 def search_calls(calls: DataFrame, needle: str) -> DataFrame:
@@ -26,7 +26,7 @@ def search_calls(calls: DataFrame, needle: str) -> DataFrame:
 
 
 def flag_calls(calls: DataFrame, hits: DataFrame, keep: str = "all") -> DataFrame:
-    """Calls with their number of personal-data hits; ``keep`` is all, flagged or clean."""
+    """Calls with their number of personal-data hits, unordered; ``keep`` is all, flagged or clean."""
     totals = hits.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("violation_count"))
     joined = calls.join(totals, "id", "left").withColumn(
         "violation_count", F.coalesce("violation_count", F.lit(0).cast("bigint")))
@@ -34,7 +34,7 @@ def flag_calls(calls: DataFrame, hits: DataFrame, keep: str = "all") -> DataFram
         joined = joined.where(F.col("violation_count") > 0)
     elif keep == "clean":
         joined = joined.where(F.col("violation_count") == 0)
-    return joined.orderBy(F.desc("created_at"), "id")
+    return joined
 
 
 def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:

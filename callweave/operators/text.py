@@ -31,12 +31,13 @@ def pii_segments(df: DataFrame, key: str, text: str, method: str = "mask") -> Da
 
 
 def pii_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Hits per document and type; documents without a hit are left out."""
-    counted = pii_hits(df, key, text).groupBy("doc_id").pivot("type", list(C.PII_PATTERNS)).count()
-    zero = F.lit(0).cast("bigint")
-    columns = [F.coalesce(F.col(k), zero).alias(k.lower()) for k in C.PII_PATTERNS]
-    total = sum((F.coalesce(F.col(k), zero) for k in C.PII_PATTERNS), F.lit(0))
-    return counted.select("doc_id", *columns, total.cast("bigint").alias("total"))
+    """Hits per document and type, counted within the row; documents without a hit are left out."""
+    found = df.select(F.col(key).alias("doc_id"), pii.all_hits(F.col(text)).alias("hits")).where(F.size("hits") > 0)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("hits", lambda h: h["type"] == kind)).cast("bigint").alias(kind.lower())
+
+    return found.select("doc_id", *[count(kind) for kind in C.PII_PATTERNS], F.size("hits").cast("bigint").alias("total"))
 
 
 def pii_redact(df: DataFrame, key: str, text: str, method: str = "mask") -> DataFrame:

@@ -59,7 +59,7 @@ def merge_partial_update(ws):
 @query("v_calls v_stage_events", f"""
 ch as (select * from (select *, row_number() over (partition by call_id order by ts desc, event_id desc) as rn from v_stage_events) x where rn = 1)
 select c.id, coalesce(ch.status, c.status) as status,
-       case when ch.call_id is not null then substr(ch.error, 1, 2000) else c.error_message end as error_message,
+       case when ch.call_id is not null then nullif(ch.error, '') else c.error_message end as error_message,
        strftime(case when ch.call_id is not null then timestamp '{AS_OF}' else c.updated_at end, '%Y-%m-%d %H:%M:%S') as updated_at
 from v_calls c left join ch on ch.call_id = c.id""")
 def merge_call_status(ws):

@@ -16,31 +16,43 @@ from callweave.plans.views import AS_OF
 from callweave.plans.windows import CENTRAL
 
 
-@query("v_utterances", f"""
+def chunked_sql(budget: int) -> str:
+    """CTEs: the chunk of every turn (walk) beside its row (sized)."""
+    return f"""
 sized as (select *, len(text) + len(speaker) + 10 as size, row_number() over (partition by call_id order by idx) as n from v_utterances),
 walk as (
   select call_id, n, size as filled, 0 as chunk from sized where n = 1
   union all
-  select s.call_id, s.n, case when w.filled + s.size > 600 then s.size else w.filled + s.size end,
-         case when w.filled + s.size > 600 then w.chunk + 1 else w.chunk end
+  select s.call_id, s.n, case when w.filled + s.size > {budget} then s.size else w.filled + s.size end,
+         case when w.filled + s.size > {budget} then w.chunk + 1 else w.chunk end
   from walk w join sized s on s.call_id = w.call_id and s.n = w.n + 1),
+blocks as (
+  select w.call_id, cast(w.chunk as bigint) as chunk,
+         string_agg('[' || printf('%.1f', s.start_ts) || 's] ' || s.speaker || ': ' || s.text, chr(10) order by s.idx) as block
+  from walk w join sized s on s.call_id = w.call_id and s.n = w.n group by 1, 2)"""
+
+
+@query("v_utterances", chunked_sql(600) + f""",
 words as (select call_id, coalesce(string_agg(text, ' ' order by idx) filter (where speaker = 'CUSTOMER'), string_agg(text, ' ' order by idx)) as t
           from v_utterances group by 1),
 buckets as (select call_id, {bucket_sql('t', "'en'")} as bucket from words)
-select w.call_id, cast(w.chunk as bigint) as chunk, b.bucket,
-       string_agg('[' || printf('%.1f', s.start_ts) || 's] ' || s.speaker || ': ' || s.text, chr(10) order by s.idx) as block
-from walk w join sized s on s.call_id = w.call_id and s.n = w.n join buckets b on b.call_id = w.call_id group by 1, 2, 3""")
+select w.call_id, w.chunk, b.bucket, w.block from blocks w join buckets b on b.call_id = w.call_id""")
 def llm_requests_extract(ws):
     return MJ.extract_requests(ws["v_utterances"], 600)
 
 
-@query("v_utterances", """
-select call_id, substr(string_agg('[' || printf('%.1f', start_ts) || 's] ' || speaker || ': ' || text, chr(10) order by idx), 1, 14000) as block
-from v_utterances group by 1""")
+@query("v_utterances", chunked_sql(C.ANALYSIS_BUDGET) + """
+select call_id, chunk, call_id || '#' || chunk as request, block from blocks""")
 def llm_requests_analyze(ws):
     return MJ.analyze_requests(ws["v_utterances"])
 
 
+@query("v_utterances", chunked_sql(900) + """
+select call_id, chunk, call_id || '#' || chunk as request, block from blocks""")
+def llm_requests_analyze_long(ws):
+    return MJ.analyze_requests(ws["v_utterances"], 900)
+
+
 @query("v_clusters v_members v_planted v_questions", CENTRAL + """,
 l as (select cluster_id, count(*) as n, string_agg('- ' || text, chr(10) order by position) as examples from central group by 1)
 select c.id as cluster_id, c.dominant_language as language, array_to_string(c.dominant_intents, ', ') as intents, coalesce(n, 0) as n,
@@ -74,13 +86,12 @@ def echo_model(text: str) -> str:
     return f'{{"length":{len(text)}}}'
 
 
-@query("v_utterances", """
-b as (select call_id, length(substr(string_agg('[' || printf('%.1f', start_ts) || 's] ' || speaker || ': ' || text, chr(10) order by idx), 1, 14000)) as n
-      from v_utterances group by 1)
-select call_id, case when n % 7 <> 0 then '{"length":' || n || '}' end as response,
+@query("v_utterances", chunked_sql(C.ANALYSIS_BUDGET) + """,
+b as (select call_id || '#' || chunk as request, length(block) as n from blocks)
+select request, case when n % 7 <> 0 then '{"length":' || n || '}' end as response,
        case when n % 7 = 0 then 'TimeoutError: upstream timed out' end as error, case when n % 7 = 0 then 3 else 1 end::bigint as attempts from b""")
 def llm_infer(ws):
-    return MJ.infer(MJ.analyze_requests(ws["v_utterances"]), "call_id", "block", echo_model)
+    return MJ.infer(MJ.analyze_requests(ws["v_utterances"]), "request", "block", echo_model)
 
 
 RECOVER = r"""

@@ -213,20 +213,22 @@ def sink_graph_json(ws):
 
 
 NOTES_SQL = KG_EDGES + NODE_CTES + "," + RELATED + """,
-listed as (select node_id, string_agg('| ' || replace(relation, '|', '\\|') || ' | [[' || other || ']] | ' || weight || ' | ' || replace(reason, '|', '\\|') || ' |', chr(10)
-                  order by direction, relation, other, weight, reason) as rows_text from related group by 1),
 based as (select *, type || '-' || regexp_replace(regexp_replace(lower(id), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as base from nodes),
 named as (select *, case when row_number() over (partition by base order by id) = 1 then base else base || '-' || substr(sha1(type || '|' || id), 1, 6) end as name from based)
-select type || 's' as folder, name, '# ' || label || chr(10) || chr(10) || '## Related' || chr(10) || chr(10) || '| Relation | Linked Note | Weight | Reason |' || chr(10)
-       || '| --- | --- | --- | --- |' || coalesce(chr(10) || rows_text, '') || chr(10) as body
-from named left join listed on node_id = id"""
+select type || 's' as folder, name, 0 as section, cast(p - 1 as string) as line,
+       ['# ' || label, '', '## Related', '', '| Relation | Linked Note | Weight | Reason |', '| --- | --- | --- | --- |'][p] as text
+from named cross join (select unnest([1, 2, 3, 4, 5, 6]) as p) o
+union all
+select type || 's', name, 1, direction || chr(1) || relation || chr(1) || other || chr(1) || weight || chr(1) || reason,
+       '| ' || replace(relation, '|', '\\|') || ' | [[' || other || ']] | ' || weight || ' | ' || replace(reason, '|', '\\|') || ' |'
+from related join named on node_id = id"""
 
 
 @query("v_analyses v_cdr v_leads", NOTES_SQL)
 def sink_notes(ws):
     path = scratch(ws.spark, "notes")
-    WR.write_notes(G.notes(kg_nodes(ws), kg_edges(ws), part_rows=10_000_000), path)
-    return ws.spark.read.schema("name string, part bigint, body string, folder string").json(path).select("folder", "name", "body")
+    WR.write_notes(G.notes(kg_nodes(ws), kg_edges(ws)), path)
+    return ws.spark.read.schema("name string, section int, line string, text string, folder string").json(path).select("folder", "name", "section", "line", "text")
 
 
 @query("v_members v_questions v_clusters v_planted", FINDINGS + """

@@ -67,7 +67,7 @@ def language_profile(ws):
 
 
 def bucket_sql(text: str, code: str) -> str:
-    s = f"substr({text}, 1, 4000)"
+    s = text
     tokens = f"list_filter(string_split_regex({s}, '\\s+'), lambda t: t <> '')"
     hits = (f"len(list_filter({tokens}, lambda t: list_contains({_tokens(C.HINGLISH_MARKERS)}, trim(lower(t), '.,?!\"'''))))")
     return f"""case when trim(coalesce({text}, '')) = '' then 'en'

@@ -15,10 +15,8 @@ class Workspace:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
-        """A driver table; one too small to give every core a split is dealt out first."""
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+        """A driver table, split as the session's file settings say."""
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def __getitem__(self, name: str) -> DataFrame:
         """A driver table or an input view, built once per workspace."""

@@ -28,8 +28,8 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def write_notes(notes: DataFrame, path: str) -> None:
-    """Notes partitioned by folder; every row holds name, part and body."""
-    notes.select("folder", "name", "part", "body").write.partitionBy("folder").json(path)
+    """Notes partitioned by folder; every row is one line of a note."""
+    notes.select("folder", "name", "section", "line", "text").write.partitionBy("folder").json(path)
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
