@@ -40,11 +40,17 @@ def normalize_mobile(c: Column) -> Column:
 
 
 def parse_started_at(c: Column) -> Column:
-    """Timestamp without zone from ISO text or a day-first layout; null when neither fits."""
-    iso = F.regexp_replace(
-        trim_blank(c), r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})( \d{1,2}:\d{1,2}:\d{1,2})?$", "$4-$3-$1$5")
-    shape = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?$"
-    return F.regexp_extract(iso, shape, 0).try_cast("timestamp_ntz")
+    """Timestamp without zone from ISO text or a day-first layout; null when neither fits.
+
+    Compact ISO (20240131, 20240131T1015) counts as ISO.  Of a zoned time the wall clock stays, its offset goes.
+    """
+    text = F.regexp_replace(trim_blank(c), r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
+    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(\d{2})(?:(\d{2}))?(?=$|[.Z+-])", "$1:$2:$3")
+    text = F.regexp_replace(text, r":(?=$|[.Z+-])", "")
+    text = F.regexp_replace(text, r"^(\d{4}-\d{1,2}-\d{1,2}[T ][\d:.]+)(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)$", "$1")
+    iso = F.regexp_replace(text, r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})( \d{1,2}:\d{1,2}:\d{1,2})?$", "$4-$3-$1$5")
+    shape = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}(:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?)?$"
+    return F.regexp_replace(F.regexp_extract(iso, shape, 0), r"^(\S+[T ]\d{1,2})$", "$1:00").try_cast("timestamp_ntz")
 
 
 def parse_direction(c: Column) -> Column:

@@ -198,7 +198,9 @@ def match_leads(resolved: DataFrame, leads: DataFrame) -> DataFrame:
     folded = seen.groupBy("join_phone").agg(ordered("lead_no").alias("lead_nos"), ordered("product").alias("products"))
     none = F.expr("cast(array() as array<string>)")
     return (
-        resolved.join(folded, "join_phone", "left")
+        # A call without a phone gets a key of its own, which meets nothing: such calls do not gather in one task.
+        resolved.withColumn("_lead_key", F.coalesce("join_phone", F.concat(F.lit("none:"), "call_id")))
+        .join(folded.withColumnRenamed("join_phone", "_lead_key"), "_lead_key", "left").drop("_lead_key")
         .withColumn("lead_nos", F.coalesce("lead_nos", none)).withColumn("products", F.coalesce("products", none)))
 
 

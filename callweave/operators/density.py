@@ -8,8 +8,6 @@ equals cutting the density hierarchy at that radius.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,91 +15,42 @@ from pyspark.sql import functions as F
 
 from callweave import constants as C
 from callweave.functions import kernels
-from callweave.operators.vectors import BLOCK_ROWS, block_product, cogrouped, nearest
+from callweave.operators.vectors import BLOCK_ROWS, block_product
 from callweave.session import cut
 
 NOISE = "-1"
-GROUP_END = "\u0001"  # ends the group part of an id when groups are clustered separately
-
 
 def _close(a, b, similarity: float) -> np.ndarray:
-    """Which rows of two (ids, matrix) blocks lie within the radius and in the same group."""
-    close = np.round(a[1] @ b[1].T, 9) >= similarity
-    if GROUP_END in a[0][0]:
-        left = np.array([i.split(GROUP_END)[0] for i in a[0]])
-        right = np.array([i.split(GROUP_END)[0] for i in b[0]])
-        close &= left[:, None] == right[None, :]
-    return close
-
-
-def near_blocks(vectors: DataFrame, similarity: float, task, schema: str, block_rows: int, most_pivots: int = 512) -> DataFrame:
-    """Run ``task`` on block pairs of one (id, v) table that can hold vectors within the radius.
-
-    Small tables are hashed into blocks and all block pairs run.  Large ones are
-    first dealt to the cell of their nearest pivot.  By the triangle inequality
-    two cells whose pivots are further apart than both cell radii plus the search
-    radius share no close pair, so those block pairs are left out; the result
-    stays exact.  A crowded cell is cut into hash blocks, so no task grows with it.
-    """
-    rows = vectors.count()
-    if rows <= 4 * block_rows:
-        return block_product(vectors, vectors, block_rows, rows, task, schema)
-    spark = vectors.sparkSession
-    pivots = vectors.orderBy(F.xxhash64("id"), "id").limit(min(most_pivots, 4 * math.ceil(rows / block_rows)))
-    home = nearest(vectors, pivots, 1, left_id="id", left_vector="v", right_id="id", right_vector="v")
-    celled = cut(vectors.join(home.select(F.col("left_id").alias("id"), F.col("right_id").alias("cell"), "score"), "id"), "cells")
-    reach = F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("score")))
-    stats = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max(reach).alias("radius"))
-    # One row per pivot (a bounded number): which cells can touch is worked out here.
-    cells = stats.join(pivots.withColumnRenamed("id", "cell"), "cell").orderBy("cell").toArrow()
-    names, sizes = cells.column("cell").to_pylist(), np.array(cells.column("n").to_pylist())
-    radii, centres = np.array(cells.column("radius").to_pylist()), kernels.matrix(cells.column("v"))
-    apart = np.sqrt(np.clip(2 - 2 * centres @ centres.T, 0, None))
-    limit = radii[:, None] + radii[None, :] + math.sqrt(max(0.0, 2 - 2 * similarity)) + 1e-6
-    subs = np.maximum(1, np.ceil(sizes / block_rows)).astype(int)
-    touching = [(names[i], names[j], int(subs[i]), int(subs[j])) for i, j in zip(*np.nonzero(apart <= limit))]
-    pairs = spark.createDataFrame(touching, "lc string, rc string, ln int, rn int")
-
-    def side(own: str, own_n: str, own_sub: str, other_n: str, other_sub: str, ident: str, vec: str) -> DataFrame:
-        rows_ = celled.select(F.col("id").alias(ident), F.col("v").alias(vec), F.col("cell").alias(own))
-        return (rows_.join(F.broadcast(pairs), own)
-                .withColumn(own_sub, F.pmod(F.xxhash64(ident), F.col(own_n)))
-                .withColumn(other_sub, F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col(other_n) - 1).cast("bigint"))))
-                .select("lc", "rc", "ls", "rs", ident, vec))
-
-    left = side("lc", "ln", "ls", "rn", "rs", "id", "v")
-    right = side("rc", "rn", "rs", "ln", "ls", "rid", "rv")
-    return cogrouped(left, right, ["lc", "rc", "ls", "rs"], task, schema)
-
-
-def neighbour_counts(vectors: DataFrame, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, n): vectors within the radius of each vector, itself included."""
-
-    def count(a, b):
-        n = _close(a, b, similarity).sum(axis=1) if len(a[0]) and len(b[0]) else np.zeros(len(a[0]), dtype=int)
-        return pa.RecordBatch.from_arrays([pa.array(a[0], pa.string()), pa.array(n, pa.int64())], names=["id", "n"])
-
-    parts = near_blocks(vectors, similarity, count, "id string, n bigint", block_rows)
-    return parts.groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def close_edges(vectors: DataFrame, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Which rows of two (ids, matrix) blocks lie within the radius."""
+    return np.round(a[1] @ b[1].T, 9) >= similarity
+
+
+def neighbour_counts(vectors: DataFrame, similarity: float, block_rows: int = BLOCK_ROWS, group: str | None = None) -> DataFrame:
+    """(id, n): vectors within the radius of each vector, itself included; with ``group`` only those of its group."""
+
+    def add(n, a, b):
+        more = _close(a, b, similarity).sum(axis=1)
+        return (more if n is None else n + more), None
+
+    def total(n, a):
+        return None if n is None else pa.RecordBatch.from_arrays([pa.array(a[0], pa.string()), pa.array(n, pa.int64())], names=["id", "n"])
+
+    return block_product(vectors, vectors, block_rows, add, total, "id string, n bigint", group=group)
+
+
+def close_edges(vectors: DataFrame, similarity: float, block_rows: int = BLOCK_ROWS, group: str | None = None) -> DataFrame:
     """Edges with the same connected components as "closer than the radius".
 
-    Every block pair returns a spanning forest of its part only, so a dense group
+    Every batch returns a spanning forest of its part only, so a dense group
     of any size costs a linear number of edges, never all its pairs.
     """
 
-    def forest(a, b):
-        if len(a[0]) and len(b[0]):
-            rows, cols = kernels.spanning_forest(_close(a, b, similarity))
-        else:
-            rows = cols = np.zeros(0, dtype=int)
-        left = np.asarray(a[0], dtype=object)[rows] if len(rows) else []
-        right = np.asarray(b[0], dtype=object)[cols] if len(cols) else []
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
+    def forest(state, a, b):
+        rows, cols = kernels.spanning_forest(_close(a, b, similarity))
+        left, right = np.asarray(a[0], dtype=object)[rows], np.asarray(b[0], dtype=object)[cols]
+        return state, pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
 
-    edges = near_blocks(vectors, similarity, forest, "a string, b string", block_rows)
+    edges = block_product(vectors, vectors, block_rows, forest, lambda state, a: None, "a string, b string", group=group)
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -139,14 +88,11 @@ def density_cluster(embeddings: DataFrame, similarity: float, min_size: int = C.
     ``similarity`` is the cosine of the radius.  With ``group`` the rows of every
     value of that column are clustered among themselves only.
     """
-    if group is not None:
-        tagged = embeddings.withColumn("question_id", F.concat(F.col(group), F.lit(GROUP_END), F.col("question_id")))
-        placed = density_cluster(tagged, similarity, min_size, min_samples, block_rows)
-        return placed.select(*[F.substring_index(c, GROUP_END, -1).alias(c) for c in ("question_id", "cluster")])
-    vectors = embeddings.select(F.col("question_id").alias("id"), F.col("vector").alias("v"))
-    dense = neighbour_counts(vectors, similarity, block_rows).where(F.col("n") >= min_samples).select("id")
+    own = [] if group is None else [group]
+    vectors = embeddings.select(F.col("question_id").alias("id"), F.col("vector").alias("v"), *own)
+    dense = neighbour_counts(vectors, similarity, block_rows, group).where(F.col("n") >= min_samples).select("id")
     core = cut(vectors.join(dense, "id"))
-    grouped = components(close_edges(core, similarity, block_rows))
+    grouped = components(close_edges(core, similarity, block_rows, group))
     placed = core.select("id").join(grouped, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     large = placed.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
     kept = placed.join(large, "root").select(F.col("id").alias("question_id"), F.col("root").alias("cluster"))

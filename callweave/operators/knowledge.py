@@ -134,13 +134,13 @@ def related(edges: DataFrame) -> DataFrame:
     """
     weight = compact_weight(F.col("weight"))
     reason = F.coalesce("reason", F.lit(""))
-    common = ["relation", weight.alias("weight"), reason.alias("reason"), F.struct("src_id", "dst_id").alias("seq")]
-    out = edges.select(F.col("src_id").alias("node_id"), note_name(F.col("dst_type"), F.col("dst_id")).alias("other"),
-                       F.lit("out").alias("direction"), *common)
-    into = edges.where(F.col("src_id") != F.col("dst_id")).select(
-        F.col("dst_id").alias("node_id"), note_name(F.col("src_type"), F.col("src_id")).alias("other"),
-        F.lit("in").alias("direction"), *common)
-    return out.unionByName(into).groupBy("node_id", "relation", "other", "direction").agg(
+    def end(node: str, kind: str, other: str, direction: str) -> Column:
+        return F.struct(F.col(node).alias("node_id"), note_name(F.col(kind), F.col(other)).alias("other"), F.lit(direction).alias("direction"))
+
+    ends = F.array(end("src_id", "dst_type", "dst_id", "out"), end("dst_id", "src_type", "src_id", "in"))
+    both = edges.select("relation", weight.alias("weight"), reason.alias("reason"), F.struct("src_id", "dst_id").alias("seq"),
+                        F.inline(F.when(F.col("src_id") == F.col("dst_id"), F.slice(ends, 1, 1)).otherwise(ends)))
+    return both.groupBy("node_id", "relation", "other", "direction").agg(
         F.min_by(F.struct("weight", "reason"), "seq").alias("b")).select(
         "node_id", "direction", "relation", "other", "b.weight", "b.reason")
 

@@ -16,9 +16,7 @@ from callweave import constants as C
 from callweave.functions import kernels
 from callweave.functions import vec as V
 
-BROADCAST_ROWS = 4096         # rows of a matrix that may be sent to every task
-BROADCAST_CELLS = 4_000_000   # and its numbers (32 MB)
-BLOCK_ROWS = 2048             # rows of one side of a block product
+BLOCK_ROWS = 1024  # left rows a task holds at a time
 
 NEAREST = "left_id string, right_id string, score double, position bigint"
 
@@ -43,89 +41,84 @@ def _scores(left: np.ndarray, right: np.ndarray, left_ids, right_ids, skip_self:
     return scores
 
 
-def _answer(left_ids, right_ids, scores, k) -> pa.RecordBatch:
-    rows, cols, position = kernels.top_k(scores, k)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(left_ids, dtype=object)[rows], pa.string()),
-         pa.array(np.asarray(right_ids, dtype=object)[cols], pa.string()),
-         pa.array(scores[rows, cols], pa.float64()), pa.array(position + 1, pa.int64())],
-        names=["left_id", "right_id", "score", "position"])
-
-
 def _side(df: DataFrame, ident: str, vector: str) -> DataFrame:
     return df.select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, *, left_id="question_id", left_vector="vector",
-            right_id="question_id", right_vector="vector", skip_self=False, unit=True,
-            broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact ``k`` nearest right rows of every left row by cosine (dot product if not ``unit``).
-
-    A right side that proves small (its rows are fetched up to the limit, no further) is sent to every task once and
-    multiplied with each Arrow batch of the left side: no shuffle at all.  Beyond
-    that both sides are hashed into blocks, every pair of blocks is one bounded
-    matrix product in its own task, and only the ``k`` best per row and block
-    pair are merged.
-    """
+            right_id="question_id", right_vector="vector", skip_self=False, unit=True, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact ``k`` nearest right rows of every left row by cosine (dot product if not ``unit``)."""
     lhs, rhs = _side(left, left_id, left_vector), _side(right, right_id, right_vector)
-    table = rhs.limit(broadcast_rows + 1).toArrow()
-    if table.num_rows <= broadcast_rows and len(table.column("v").combine_chunks().flatten()) <= BROADCAST_CELLS:
-        table = table.sort_by("id")
-        ids = table.column("id").to_pylist()
-        shared = left.sparkSession.sparkContext.broadcast((ids, kernels.matrix(table.column("v"), unit)))
-
-        def per_batch(batches):
-            right_ids, right_m = shared.value
-            for batch in batches:
-                if batch.num_rows == 0 or not right_ids:
-                    continue
-                left_ids = batch.column("id").to_pylist()
-                left_m = kernels.matrix(batch.column("v"), unit)
-                yield _answer(left_ids, right_ids, _scores(left_m, right_m, left_ids, right_ids, skip_self), k)
-
-        return lhs.mapInArrow(per_batch, NEAREST)
-
-    merged = block_product(
-        lhs, rhs, block_rows, rhs.count(),
-        lambda a, b: _answer(a[0], b[0], _scores(a[1], b[1], a[0], b[0], skip_self), k), NEAREST, unit)
-    order = W.partitionBy("left_id").orderBy(F.desc("score"), F.asc("right_id"))
-    return merged.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).withColumn(
-        "position", F.col("position").cast("bigint"))
-
-
-def block_count(rows: int, most: int, parallelism: int) -> int:
-    """Blocks of at most ``most`` rows, and enough pairs of them to use every core on mid-size input."""
-    return max(1, math.ceil(rows / most), min(math.ceil(rows / 512), math.isqrt(parallelism)))
-
-
-def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, right_rows: int, task, schema: str, unit=True) -> DataFrame:
-    """Run ``task((ids, matrix), (ids, matrix))`` for every pair of hash blocks of two (id, v) tables."""
-    cores = lhs.sparkSession.sparkContext.defaultParallelism
-    left_blocks = block_count(lhs.count(), block_rows, cores)
-    right_blocks = block_count(right_rows, block_rows, cores)
-
-    def spread(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(own_n))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other_n - 1).cast("bigint"))))
-
-    a = spread(lhs, "lb", left_blocks, "rb", right_blocks)
-    b = spread(rhs.select(F.col("id").alias("rid"), F.col("v").alias("rv")), "rb", right_blocks, "lb", left_blocks)
-    return cogrouped(a, b, ["lb", "rb"], task, schema, unit)
-
-
-def cogrouped(a: DataFrame, b: DataFrame, keys: list[str], task, schema: str, unit=True) -> DataFrame:
-    """One task call per key: left rows (id, v) against right rows (rid, rv), both in id order."""
-
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            empty = task(([], np.zeros((0, 1))), ([], np.zeros((0, 1))))
-            return pa.Table.from_batches([empty])
-        left, right = left.sort_by("id"), right.sort_by("rid")
-        return pa.Table.from_batches([task(
-            (left.column("id").to_pylist(), kernels.matrix(left.column("v"), unit)),
-            (right.column("rid").to_pylist(), kernels.matrix(right.column("rv"), unit)))])
-
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(both, schema)
+
+    def best(kept, block, batch):
+        rows, cols, _ = kernels.top_k(_scores(block[1], batch[1], block[0], batch[0], skip_self), k)
+        fresh = (rows, np.asarray(batch[0], dtype=object)[cols], _scores(block[1], batch[1], block[0], batch[0], skip_self)[rows, cols])
+        if kept is not None:
+            fresh = tuple(np.concatenate(x) for x in zip(kept, fresh))
+        order = np.lexsort((fresh[1].astype(str), -fresh[2], fresh[0]))
+        rows, ids, scores = (x[order] for x in fresh)
+        position = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        return (rows[position < k], ids[position < k], scores[position < k]), None
+
+    def answer(kept, block):
+        if kept is None:
+            return None
+        rows, ids, scores = kept
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.asarray(block[0], dtype=object)[rows], pa.string()), pa.array(ids, pa.string()), pa.array(scores, pa.float64()),
+             pa.array(np.arange(len(rows)) - np.searchsorted(rows, rows) + 1, pa.int64())], names=["left_id", "right_id", "score", "position"])
+
+    return block_product(lhs, rhs, block_rows, best, answer, NEAREST, unit)
+
+
+def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, step, end, schema: str, unit=True, group: str | None = None) -> DataFrame:
+    """Every block of left rows against all right rows, streamed past it (tables (id, v), with ``group`` only rows of one group meet).
+
+    Left rows are dealt into blocks of about ``block_rows`` and never copied; right rows go to every block of their group.  A task
+    holds one block and one Arrow batch at a time: ``step(state, (ids, matrix), (ids, matrix)) -> (state, rows or None)`` per batch,
+    in the order of right ids, and ``end(state, (ids, matrix)) -> rows or None`` after the last.  The form is the same for all sizes.
+    """
+    if group is None:
+        blocks = F.greatest(F.lit(1), F.ceil(lhs.agg(F.count(F.lit(1))).scalar() / block_rows))
+        a, b = (df.select(F.lit("").alias("g"), "id", "v").withColumn("n", blocks) for df in (lhs, rhs))
+    else:
+        counts = lhs.groupBy(F.col(group).alias("g")).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).alias("n"))
+        a, b = (df.select(F.col(group).alias("g"), "id", "v").join(counts, "g") for df in (lhs, rhs))
+    dealt = a.select("g", F.pmod(F.xxhash64("id"), F.col("n")).alias("block"), F.lit(0).alias("side"), "id", "v").unionByName(
+        b.select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("block"), F.lit(1).alias("side"), "id", "v"))
+    dealt = dealt.repartition("g", "block").sortWithinPartitions("g", "block", "side", "id")
+
+    def run(batches):
+        key, block, held, state = None, None, [], None
+
+        def side_of(parts):
+            return [i for ids, _ in parts for i in ids], np.concatenate([m for _, m in parts])
+
+        for batch in batches:
+            rows = list(zip(batch.column("g").to_pylist(), batch.column("block").to_pylist(), batch.column("side").to_pylist()))
+            first = 0
+            while first < len(rows):
+                last = first
+                while last < len(rows) and rows[last] == rows[first]:
+                    last += 1
+                part = batch.slice(first, last - first)
+                side = (part.column("id").to_pylist(), kernels.matrix(part.column("v"), unit))
+                if rows[first][:2] != key:
+                    if block is not None:
+                        yield from filter(None.__ne__, [end(state, block)])
+                    key, block, held, state = rows[first][:2], None, [], None
+                if rows[first][2] == 0:
+                    held.append(side)
+                elif held:
+                    block = side_of(held) if block is None else block
+                    state, out = step(state, block, side)
+                    if out is not None:
+                        yield out
+                first = last
+        if block is not None:
+            yield from filter(None.__ne__, [end(state, block)])
+
+    return dealt.mapInArrow(run, schema)
 
 
 def search(questions: DataFrame, embeddings: DataFrame, members: DataFrame, query: list[float], *,

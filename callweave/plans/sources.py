@@ -158,9 +158,9 @@ select call_id, disposition, round(disposition_confidence, 6) as disposition_con
 def src_analysis_json(ws):
     path = scratch(ws.spark, "analyses")
     analysis_documents(ws).write.json(path)
-    return RD.read_analyses(ws.spark, path).select(
+    return RD.read_analyses(ws.spark, path, lines=True).select(
         "call_id", "disposition", r("disposition_confidence").alias("disposition_confidence"), "sentiment", "escalation",
-        "lead.full_name", "lead.email", "lead.phone", F.size("lead.grounded_fields").cast("bigint").alias("n_grounded"))
+        "full_name", "email", "phone", F.size("grounded_fields").cast("bigint").alias("n_grounded"))
 
 
 @query("v_calls v_analyses", """

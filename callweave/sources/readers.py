@@ -129,15 +129,18 @@ def segment_utterances(segments: DataFrame) -> DataFrame:
 
 # --- call records, leads, analyses ------------------------------------------------------
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"')
+    """All cells as text, quoted line breaks kept, with ``ordinal``: the place of the row by file and row."""
+    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    return rows.withColumn("ordinal", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
 def read_cdr(spark: SparkSession, path: str, columns: dict[str, str] = C.CDR_COLUMNS) -> DataFrame:
-    """Call-detail CSV, every cell text, typed by :func:`conform_cdr`."""
+    """Call-detail CSV, every cell text, typed by :func:`conform_cdr`; ``ordinal`` orders rows for :func:`last_wins`."""
     return conform_cdr(_csv(spark, path), columns)
 
 
 def read_leads(spark: SparkSession, path: str) -> DataFrame:
+    """Leads CSV with the normalised mobile and ``ordinal`` for first-seen order."""
     return _csv(spark, path).withColumn("_norm_mobile", normalize_mobile(F.col("MOBILE_NO")))
 
 
@@ -145,10 +148,17 @@ def crosswalk(spark: SparkSession) -> DataFrame:
     return crosswalk_table(spark)
 
 
-def read_analyses(spark: SparkSession, path: str) -> DataFrame:
-    """Analysis documents with an explicit schema; the id falls back to the file stem."""
-    rows = spark.read.schema(ANALYSIS_TYPE).json(path)
-    return rows.withColumn("call_id", F.coalesce("call_id", call_id_of(F.col("_metadata.file_path"))))
+def read_analyses(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Analysis documents with an explicit schema; the id falls back to the file stem, the lead's fields become columns.
+
+    A file is one document, laid out in any way, or with ``lines`` one document per line.  Files and lines that are no JSON
+    are left out.
+    """
+    kind = T.StructType([*ANALYSIS_TYPE.fields, T.StructField("_broken", T.StringType())])
+    rows = spark.read.schema(kind).option("columnNameOfCorruptRecord", "_broken").json(path, multiLine=not lines)
+    rows = rows.withColumn("call_id", F.coalesce("call_id", call_id_of(F.col("_metadata.file_path")))).where(F.col("_broken").isNull())
+    flat = [F.col(f"lead.{name}") for name in ANALYSIS_TYPE["lead"].dataType.names]
+    return rows.select(*[c for c in ANALYSIS_TYPE.names if c != "lead"], *flat)
 
 
 # --- upload listing --------------------------------------------------------------------

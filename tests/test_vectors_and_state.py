@@ -42,7 +42,7 @@ def test_zero_vector_stays_zero(spark):
     assert row[0]["vector"] == [0.0, 0.0] and row[1]["vector"] == [0.6, 0.8] and row[1]["norm"] == 5.0
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 5, "block_rows": 16}])
+@pytest.mark.parametrize("limits", [{}, {"block_rows": 16}])
 def test_nearest_equals_brute_force(spark, limits):
     rng = np.random.default_rng(1)
     left, right = unit(rng.normal(size=(40, 8))), unit(rng.normal(size=(70, 8)))
