@@ -15,7 +15,7 @@ from callweave.operators import merges as M
 from callweave.plans.aggregates import FINDINGS, SUMMARY, SUMMARY_SELECT
 from callweave.plans.catalog import query
 from callweave.plans.graphs import RELATED, kg_edges, kg_nodes
-from callweave.plans.merges import KG_EDGES, NODE_CTES
+from callweave.plans.merges import KG_EDGES, KG_FACTS, NODE_CTES
 from callweave.plans.relational import CLEAN, r, resolved, ts_text
 from callweave.plans.text_jobs import detected_sql
 from callweave.session import scratch
@@ -244,15 +244,40 @@ def sink_findings(ws):
 STORED = ["calls", "utterances", "questions", "embeddings", "clusters", "members", "faqs", "edges", "feedback"]
 
 
+# One text column of each table, compared row by row.
+STORED_KEYS = {"calls": "id", "utterances": "utterance_id", "questions": "id", "embeddings": "question_id", "clusters": "id", "members": "question_id",
+               "faqs": "cluster_id", "edges": "source", "feedback": "id"}
+
+
 @query(" ".join(f"v_{t}" for t in STORED), " union all ".join(
-    f"select '{t}' as table_name, count(*) as n from v_{t}" for t in STORED))
+    f"select '{t}' as table_name, cast({STORED_KEYS[t]} as string) as row_key, count(*) as n from v_{t} group by 2" for t in STORED))
 def store_tables(ws):
     root = scratch(ws.spark, "store")
     for name in STORED:
+        WR.save_table(ws[f"v_{name}"].limit(0), root, name)
         WR.save_table(ws[f"v_{name}"], root, name)
     loaded = {name: WR.load_table(ws.spark, root, name) for name in STORED}
     return reduce(lambda a, b: a.unionByName(b), [
-        df.agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n, df in loaded.items()])
+        df.groupBy(F.col(STORED_KEYS[n]).cast("string").alias("row_key")).agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "row_key", "n")
+        for n, df in loaded.items()])
+
+
+@query("v_analyses v_cdr v_leads", KG_FACTS + """
+select call_id, join_phone, disposition, cast(len(lead_nos) as bigint) as n_leads, array_to_string(products, '|') as products, agent_id from facts""")
+def src_files_to_facts(ws):
+    """Written files, read back and joined: call records (last row wins), leads (first seen) and analyses."""
+    cdr, leads, analyses = (scratch(ws.spark, x) for x in ("cdr", "leads", "analyses"))
+    ws["v_cdr"].coalesce(1).sortWithinPartitions("ordinal").drop("ordinal").write.csv(cdr, header=True, emptyValue="", escape='"')
+    ws["v_leads"].coalesce(1).sortWithinPartitions("ordinal").drop("ordinal").write.csv(
+        leads, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    analysis_documents(ws).write.json(analyses)
+    ws.spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(analyses)
+    calls = K.with_join_phone(K.calls_with_cdr(RD.read_analyses(ws.spark, analyses, lines=True), RD.read_cdr(ws.spark, cdr)))
+    facts = K.match_leads(calls, RD.read_leads(ws.spark, leads))
+    own = F.lower(F.trim("product_interest"))
+    products = F.array_compact(F.concat(F.array(own), F.filter("products", lambda p: p != F.coalesce(own, F.lit("")))))
+    return facts.select("call_id", "join_phone", "disposition", F.size("lead_nos").cast("bigint").alias("n_leads"),
+                        F.array_join(products, "|").alias("products"), "agent_id")
 
 
 @query("v_calls", """

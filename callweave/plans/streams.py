@@ -14,11 +14,14 @@ from callweave.session import scratch
 from callweave.streaming import jobs as ST
 
 
-def as_stream(ws, df, parts: int = 4, files_per_batch: int | None = None):
-    """The rows of a batch frame as a file stream."""
-    path = scratch(ws.spark, "in")
-    df.repartition(parts).write.parquet(path)
-    return ST.file_stream(ws.spark, path, df.schema, files_per_batch)
+def in_two_runs(ws, df, job, parts: int = 4, files_per_batch: int | None = None, late=None):
+    """``job(stream, out, checkpoint)`` over half of the rows, then, started again, over the other half; what the second run returns."""
+    path, out, checkpoint = scratch(ws.spark, "in"), scratch(ws.spark, "out"), scratch(ws.spark, "checkpoint")
+    late = F.pmod(F.xxhash64(df.columns[0]), F.lit(2)) == 1 if late is None else late
+    for half in (~late, late):
+        df.where(half).repartition(parts).write.mode("append").parquet(path)
+        result = job(ST.file_stream(ws.spark, path, df.schema, files_per_batch), out, checkpoint)
+    return result
 
 
 @query("v_ingest_events", """
@@ -27,43 +30,44 @@ f as (select *, row_number() over (partition by route, k order by ts, request_id
 select request_id, route, k as key from f where rn = 1
 union all select request_id, route, null from n where k is null""")
 def st_ingest_dedupe(ws):
-    return ST.dedupe_requests(as_stream(ws, ws["v_ingest_events"])).select("request_id", "route", "key")
+    return in_two_runs(ws, ws["v_ingest_events"], ST.dedupe_requests, late=F.col("ts") >= "2024-01-15").select("request_id", "route", "key")
 
 
 @query("v_utterances", TURNS_SQL)
 def st_transcript_stream(ws):
-    good = ST.stream_transcripts(ws.spark, transcript_files(ws))
+    out, checkpoint, files = scratch(ws.spark, "out"), scratch(ws.spark, "checkpoint"), transcript_files(ws)
+    ST.stream_transcripts(ws.spark, files, out, checkpoint)
+    good = ST.stream_transcripts(ws.spark, files, out, checkpoint)  # started again: nothing is read twice
     return good.select("call_id", "idx", "speaker", r("start_ts").alias("start_ts"), "text", "language", r("confidence").alias("confidence"))
 
 
 @query("v_planted v_clusters", ASSIGNED + "select question_id, cluster_id, round(similarity, 6) as similarity from assigned")
 def st_assign(ws):
-    stream = as_stream(ws, ws["v_planted"].select("question_id", "vector"), 4, 2)
-    members, deferred = ST.assign_stream(stream, lambda: ws["v_clusters"])
+    members, deferred = in_two_runs(ws, ws["v_planted"].select("question_id", "vector"),
+                                    lambda stream, out, checkpoint: ST.assign_stream(stream, lambda: ws["v_clusters"], out, checkpoint), 2, 1)
     return members.unionByName(deferred.withColumn("cluster_id", F.lit(None).cast("string"))).select(
         "question_id", "cluster_id", r("similarity").alias("similarity"))
 
 
 @query("v_members", "select cluster_id, count(*) as n from v_members group by 1")
 def st_touched_fanout(ws):
-    stream = as_stream(ws, ws["v_members"].select("question_id", "cluster_id"), 4, 2)
-    return ST.touched_clusters(stream).groupBy("cluster_id").agg(F.sum("n").alias("n"))
+    return in_two_runs(ws, ws["v_members"].select("question_id", "cluster_id"), ST.touched_clusters, 4, 2).groupBy("cluster_id").agg(F.sum("n").alias("n"))
 
 
 @query("v_stage_events", """
 select call_id, status, error from (
   select *, row_number() over (partition by call_id order by ts desc, event_id desc) as rn from v_stage_events) x where rn = 1""")
 def st_call_status(ws):
-    return ST.call_status(as_stream(ws, ws["v_stage_events"], 4, 2)).select("call_id", "status", "error")
+    return in_two_runs(ws, ws["v_stage_events"], ST.call_status, 4, 2).select("call_id", "status", "error")
 
 
 @query("v_stage_events", """
 d as (select date_trunc('day', ts) as day, count(*) as touched, count(*) filter (where status = 'failed') as churned from v_stage_events group by 1)
-select strftime(day, '%Y-%m-%d') as day, touched, churned from d
-where day + interval 1 day <= (select max(ts) from v_stage_events) - interval 1 day""")
+select strftime(day, '%Y-%m-%d') as day, touched, churned from d""")
 def st_daily_growth(ws):
     rows = ws["v_stage_events"].select(F.col("ts").cast("timestamp").alias("ts"), (F.col("status") != "failed").alias("is_stable"))
-    return ST.daily_counts(as_stream(ws, rows)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "touched", "churned")
+    job = lambda stream, out, checkpoint: ST.daily_counts(stream, out, checkpoint, flush=True)
+    return in_two_runs(ws, rows, job).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "touched", "churned")
 
 
 @query("v_stage_events", """
@@ -79,7 +83,7 @@ def st_ttl_cache(ws):
 select event_id, error, case when error is null then 'good' when regexp_matches(error, '(?i)timeout|connection|rate.?limit|operationalerror|transport')
        then 'transient' else 'permanent' end as outcome from v_stage_events""")
 def st_dead_letter(ws):
-    good, dead = ST.dead_letters(as_stream(ws, ws["v_stage_events"]))
+    good, dead = in_two_runs(ws, ws["v_stage_events"], ST.dead_letters)
     return good.select("event_id", "error", F.lit("good").alias("outcome")).unionByName(
         dead.select("event_id", "error", F.col("error_class").alias("outcome")))
 

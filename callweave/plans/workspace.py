@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from callweave.plans.views import VIEWS, SparkDialect, ordered_closure
+from callweave.session import ship_package
 
 
 class Workspace:
@@ -13,6 +14,7 @@ class Workspace:
         self.folder = folder.rstrip("/")
         self._frames: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
 
     def table(self, name: str) -> DataFrame:
         """A driver table, split as the session's file settings say."""

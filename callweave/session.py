@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: str = "8", **extra: str) -> SparkSession:
@@ -31,17 +35,33 @@ def local_session(cores: str = "8", **extra: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only when the session names none (plain local runs) a temporary folder is used.
+    A local session that names none gets a temporary folder, removed at the end; on a cluster the setting is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        path = _LOCAL_DIRS.setdefault(app, _LOCAL_DIRS.get(app) or tempfile.mkdtemp(prefix="spark-"))
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
+        path = _LOCAL_DIRS[app]
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it is not installed; done once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
+        _SHIPPED.add(app)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/callweave/{name}-{uuid.uuid4().hex}"

@@ -1,9 +1,7 @@
-"""Sinks: call summary CSV, graph JSON, notes, findings and versioned tables."""
+"""Sinks: call summary CSV, graph JSON, notes, findings and tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,35 +34,11 @@ def write_findings(findings: DataFrame, path: str) -> None:
     findings.write.json(path)
 
 
-# --- versioned tables ----------------------------------------------------------------
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
-
-
-def save_table(df: DataFrame, root: str, name: str) -> str:
-    """Write a new version beside the old one, then swap the pointer in one rename.
-
-    Readers see the old version until the swap and the new one after it; a failed
-    write leaves only an unreferenced folder behind.
-    """
-    spark = df.sparkSession
-    version = uuid.uuid4().hex
-    df.write.parquet(f"{root}/{name}/{version}")
-    fs, jvm = _fs(spark, root)
-    path = jvm.org.apache.hadoop.fs.Path
-    fs.mkdirs(path(f"{root}/{name}/_versions"))
-    taken = [s.getPath().getName() for s in fs.listStatus(path(f"{root}/{name}/_versions"))]
-    number = 1 + max([int(t.split("-")[0]) for t in taken], default=0)
-    fs.mkdirs(path(f"{root}/{name}/_staged-{version}"))
-    if not fs.rename(path(f"{root}/{name}/_staged-{version}"), path(f"{root}/{name}/_versions/{number:08d}-{version}")):
-        raise RuntimeError(f"could not publish version {number} of {name}")
-    return version
+# --- tables ----------------------------------------------------------------
+def save_table(df: DataFrame, root: str, name: str) -> None:
+    """The table as plain parquet, replaced as a whole.  ``df`` must not read the table it replaces."""
+    df.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
 def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    fs, jvm = _fs(spark, root)
-    listed = fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_versions"))
-    latest = max(s.getPath().getName() for s in listed)
-    return spark.read.parquet(f"{root}/{name}/{latest.split('-', 1)[1]}")
+    return spark.read.parquet(f"{root}/{name}")

@@ -1,9 +1,10 @@
 """Structured Streaming forms of ingest, assignment, status and growth jobs.
 
 Every job reads a file stream, runs until the available input is used up and
-keeps its progress in a checkpoint folder below the shared folder.  Results of a
-micro-batch go to a folder named after the batch, written in overwrite mode, so
-a batch replayed after a failure leaves the same rows once.
+keeps its progress in the ``checkpoint`` folder it is given; its results are under ``out``.
+Started again with the same two folders it goes on where it stopped and reads new
+files only.  Results of a micro-batch go to a folder named after the batch, written
+in overwrite mode, so a batch replayed after a failure leaves the same rows once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from callweave.functions.clean import trim_blank
 from callweave.operators.asof import asof
 from callweave.operators.merges import latest_per_key
 from callweave.operators.vectors import assign
-from callweave.session import cut, scratch
+from callweave.session import cut
 from callweave.sources.readers import call_id_of, transcript_turns
 
 
@@ -44,19 +45,22 @@ def run_to_parquet(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 
 class BatchFolder:
-    """Rows appended batch by batch; ``rows()`` is everything written so far."""
+    """Rows merged batch by batch under ``path``; a batch that is replayed replaces its own rows.
 
-    def __init__(self, spark: SparkSession, name: str, schema: StructType | str):
-        self.spark, self.schema = spark, schema
-        self.path = scratch(spark, name)
-        spark.createDataFrame([], schema).write.parquet(f"{self.path}/batch=-1")
+    For jobs that merge by key in ``foreachBatch``; plain appends use the parquet sink.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
+        self.spark, self.path = spark, path
+        self.schema = spark.createDataFrame([], schema).schema
+        spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
 
     def put(self, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def rows(self, before: int | None = None) -> DataFrame:
-        everything = self.spark.read.option("basePath", self.path).schema(
-            self.spark.createDataFrame([], self.schema).schema.add("batch", LongType())).parquet(f"{self.path}/batch=*")
+        kind = StructType([*self.schema.fields]).add("batch", LongType())
+        everything = self.spark.read.option("basePath", self.path).schema(kind).parquet(f"{self.path}/batch=*")
         return (everything.where(F.col("batch") < before) if before is not None else everything).drop("batch")
 
 
@@ -93,16 +97,21 @@ def first_requests(batch: DataFrame, seen: DataFrame, hours: int = C.IDEMPOTENCY
         rest = free
 
 
-def dedupe_requests(stream: DataFrame) -> DataFrame:
-    """First request per (route, key) within 24 hours, over all micro-batches."""
-    spark = stream.sparkSession
-    kept = BatchFolder(spark, "requests", "request_id string, route string, ts timestamp_ntz, key string")
+def dedupe_requests(stream: DataFrame, out: str, checkpoint: str, late_hours: int = C.IDEMPOTENCY_HOURS) -> DataFrame:
+    """First request per (route, key) within 24 hours, over all micro-batches and runs.
+
+    A batch is compared with accepted requests of the last window only: those younger than the batch's oldest request less the
+    window.  Requests later than ``late_hours`` behind the batch before are compared with older ones no more.
+    """
+    kept = BatchFolder(stream.sparkSession, out, "request_id string, route string, ts timestamp_ntz, key string")
+    span = F.make_dt_interval(F.lit(0), F.lit(C.IDEMPOTENCY_HOURS + late_hours))
 
     def handle(batch: DataFrame, number: int) -> None:
-        rows = batch.select("request_id", "route", F.col("ts").cast("timestamp_ntz").alias("ts"), "key")
-        kept.put(first_requests(rows, kept.rows(before=number).where("key is not null")), number)
+        rows = cut(batch.select("request_id", "route", F.col("ts").cast("timestamp_ntz").alias("ts"), "key"), "batch")
+        oldest = rows.agg((F.min("ts") - span).alias("since")).scalar()
+        kept.put(first_requests(rows, kept.rows(before=number).where(F.col("key").isNotNull() & (F.col("ts") >= oldest))), number)
 
-    run_batches(stream, handle, scratch(spark, "requests-checkpoint"))
+    run_batches(stream, handle, checkpoint)
     return kept.rows()
 
 
@@ -114,68 +123,80 @@ def dedupe_arrivals(stream: DataFrame) -> DataFrame:
         ["route", "key"]).unionByName(loose.withWatermark("ts", f"{C.IDEMPOTENCY_HOURS} hours"))
 
 
-def stream_transcripts(spark: SparkSession, path: str) -> DataFrame:
+def stream_transcripts(spark: SparkSession, path: str, out: str, checkpoint: str) -> DataFrame:
     """Transcript files turned into utterances once each; later runs read new files only."""
     files = spark.readStream.option("recursiveFileLookup", "true").option("wholetext", "true").format("text").schema("value string").load(path)
     turns = transcript_turns(files.select(call_id_of(F.col("_metadata.file_path")).alias("call_id"), "value"))
-    out = scratch(spark, "utterances")
-    run_to_parquet(turns.where("reject is null").drop("reject"), out, scratch(spark, "utterances-checkpoint"))
+    run_to_parquet(turns.where("reject is null").drop("reject"), out, checkpoint)
     return spark.read.schema(turns.drop("reject").schema).parquet(out)
 
 
 # --- clusters ------------------------------------------------------------------------
-def assign_stream(stream: DataFrame, clusters: Callable[[], DataFrame], threshold: float = C.ASSIGN_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def assign_stream(stream: DataFrame, clusters: Callable[[], DataFrame], out: str, checkpoint: str,
+                  threshold: float = C.ASSIGN_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members, deferred): new vectors assigned to the clusters as they are at each batch."""
     spark = stream.sparkSession
-    members = BatchFolder(spark, "members", "question_id string, cluster_id string, similarity double")
-    deferred = BatchFolder(spark, "deferred", "question_id string, similarity double")
+    members = BatchFolder(spark, f"{out}/members", "question_id string, cluster_id string, similarity double")
+    deferred = BatchFolder(spark, f"{out}/deferred", "question_id string, similarity double")
 
     def handle(batch: DataFrame, number: int) -> None:
         placed = cut(assign(batch.select("question_id", "vector"), clusters(), threshold), "placed")
         members.put(placed.where("cluster_id is not null").select("question_id", "cluster_id", "similarity"), number)
         deferred.put(placed.where("cluster_id is null").select("question_id", "similarity"), number)
 
-    run_batches(stream, handle, scratch(spark, "assign-checkpoint"))
+    run_batches(stream, handle, checkpoint)
     return members.rows(), deferred.rows()
 
 
-def touched_clusters(stream: DataFrame) -> DataFrame:
+def touched_clusters(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Refresh requests: the clusters each batch of memberships touched (batch_id, cluster_id)."""
-    spark = stream.sparkSession
-    requests = BatchFolder(spark, "refresh", "batch_id bigint, cluster_id string, n bigint")
+    requests = BatchFolder(stream.sparkSession, out, "batch_id bigint, cluster_id string, n bigint")
 
     def handle(batch: DataFrame, number: int) -> None:
         requests.put(batch.groupBy("cluster_id").agg(F.count("*").alias("n")).select(
             F.lit(number).cast("bigint").alias("batch_id"), "cluster_id", "n"), number)
 
-    run_batches(stream, handle, scratch(spark, "refresh-checkpoint"))
+    run_batches(stream, handle, checkpoint)
     return requests.rows()
 
 
 # --- status and growth ------------------------------------------------------------------
-def call_status(stream: DataFrame) -> DataFrame:
+def call_status(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Current status per call from an event stream, safe against late and shuffled events.
 
-    The state is one struct per call (the event with the greatest time).  Each
-    batch appends the calls it changed; reading keeps the newest row per call, so
-    no batch rewrites the whole table.
+    No state is kept in the stream: each batch folds its own events to one row per call and appends them; reading keeps the
+    newest row per call.
     """
-    state = stream.groupBy("call_id").agg(F.max(F.struct("ts", "event_id", "status", "error")).alias("s")).select(
-        "call_id", "s.ts", "s.event_id", "s.status", "s.error")
-    changes = BatchFolder(stream.sparkSession, "status", state.schema)
-    run_batches(state, changes.put, scratch(stream.sparkSession, "status-checkpoint"), mode="update")
+    kind = "call_id string, ts timestamp_ntz, event_id string, status string, error string"
+    changes = BatchFolder(stream.sparkSession, out, kind)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy("call_id").agg(F.max(F.struct("ts", "event_id", "status", "error")).alias("s"))
+        changes.put(newest.select(F.col("call_id").cast("string").alias("call_id"), F.col("s.ts").cast("timestamp_ntz").alias("ts"),
+                                  F.col("s.event_id").cast("string").alias("event_id"), "s.status", "s.error"), number)
+
+    run_batches(stream, handle, checkpoint)
     return latest_per_key(changes.rows(), ["call_id"], ["ts", "event_id"])
 
 
-def daily_counts(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Touched and churned counts per day, emitted once a day can no longer change."""
-    spark = stream.sparkSession
-    counted = stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 day")).agg(
-        F.count("*").alias("touched"), F.count_if(~F.col("is_stable")).alias("churned"))
-    days = counted.select(F.col("window.start").alias("day"), "touched", "churned")
-    out = scratch(spark, "daily")
-    run_to_parquet(days, out, scratch(spark, "daily-checkpoint"))
-    return spark.read.schema(days.schema).parquet(out)
+def daily_counts(stream: DataFrame, out: str, checkpoint: str, flush: bool = False) -> DataFrame:
+    """Touched and churned counts per day, one row per day.
+
+    Each batch appends its own counts per day, which are summed on reading, so late events count whenever they come.
+    Days that may still change (younger than a day before the newest) are left out unless ``flush`` says that the input is complete.
+    """
+    parts = BatchFolder(stream.sparkSession, out, "day timestamp, touched bigint, churned bigint, newest timestamp")
+
+    def handle(batch: DataFrame, number: int) -> None:
+        parts.put(batch.groupBy(F.date_trunc("day", "ts").alias("day")).agg(
+            F.count("*").alias("touched"), F.count_if(~F.col("is_stable")).alias("churned"), F.max("ts").alias("newest")), number)
+
+    run_batches(stream, handle, checkpoint)
+    days = parts.rows().groupBy("day").agg(F.sum("touched").alias("touched"), F.sum("churned").alias("churned"))
+    if flush:
+        return days
+    newest = parts.rows().agg(F.max("newest")).scalar()
+    return days.where(F.col("day") + F.expr("interval 1 day") <= newest - F.expr("interval 1 day"))
 
 
 def cache_hits(lookups: DataFrame, puts: DataFrame, days: int = C.CACHE_TTL_DAYS) -> DataFrame:
@@ -193,15 +214,15 @@ def error_class(error) -> F.Column:
     return F.when(error.rlike(TRANSIENT), F.lit("transient")).otherwise(F.lit("permanent"))
 
 
-def dead_letters(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
+def dead_letters(stream: DataFrame, out: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
     """(good, dead): failed rows go aside with their error and its class, good rows go on."""
     spark = stream.sparkSession
-    good = BatchFolder(spark, "good", stream.schema)
-    dead = BatchFolder(spark, "dead", StructType(stream.schema.fields).add("error_class", StringType()))
+    good = BatchFolder(spark, f"{out}/good", stream.schema)
+    dead = BatchFolder(spark, f"{out}/dead", StructType(stream.schema.fields).add("error_class", StringType()))
 
     def handle(batch: DataFrame, number: int) -> None:
         good.put(batch.where("error is null"), number)
         dead.put(batch.where("error is not null").withColumn("error_class", error_class(F.col("error"))), number)
 
-    run_batches(stream, handle, scratch(spark, "dead-checkpoint"))
+    run_batches(stream, handle, checkpoint)
     return good.rows(), dead.rows()
