@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -300,13 +301,12 @@ def embed(keys: DataFrame, encoder, model: str, batch_rows: int = 512) -> DataFr
 
 def hashing_encoder(dim: int = 64):
     """Offline stand-in encoder: hashed bag of words."""
-    import zlib
 
     def encode(texts):
         out = np.zeros((len(texts), dim))
         for i, text in enumerate(texts):
             for word in text.lower().split():
-                code = zlib.crc32(word.encode("utf-8"))
+                code = int(hashlib.md5(word.encode("utf-8"), usedforsecurity=False).hexdigest()[:8], 16)
                 out[i, code % dim] += 1.0 if code & 0x10000 else -1.0
         return out
 

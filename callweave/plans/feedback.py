@@ -52,7 +52,19 @@ def fb_merge_clusters(ws):
     return clusters.select("id", "is_stable", "frequency")
 
 
-@query("v_feedback v_members v_planted")
+@query("v_feedback v_members v_planted", """
+marked as (select distinct payload->>'cluster_id' as cluster_id from v_feedback where action = 'split_cluster'),
+ins as (select m.question_id, m.cluster_id, p.vector from v_members m join v_planted p on p.question_id = m.question_id
+        where m.cluster_id in (select cluster_id from marked)),
+pairs as (select a.question_id as a, b.question_id as b from ins a join ins b on a.cluster_id = b.cluster_id
+          and round(list_cosine_similarity(a.vector, b.vector), 9) >= 0.9),
+core as (select a from pairs group by a having count(*) >= 4),
+links as (select p.a, p.b from pairs p where p.a in (select a from core) and p.b in (select a from core)),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b),
+comp as (select a, min(b) as root from reach group by a),
+big as (select root from comp group by root having count(*) >= 8)
+select i.question_id, i.cluster_id, case when c.root in (select root from big) then i.cluster_id || '/' || c.root end as piece
+from ins i left join comp c on c.a = i.question_id""")
 def fb_split(ws):
     return FB.split_clusters(ws["v_feedback"], ws["v_members"], ws["v_planted"], 0.9)
 

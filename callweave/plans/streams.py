@@ -9,7 +9,7 @@ from callweave.operators import vectors as VX
 from callweave.plans.catalog import query
 from callweave.plans.relational import r
 from callweave.plans.sources import TURNS_SQL, transcript_files
-from callweave.plans.vectors import ASSIGNED, RADIUS_COSINE
+from callweave.plans.vectors import ASSIGNED, DENSITY, RADIUS_COSINE
 from callweave.session import scratch
 from callweave.streaming import jobs as ST
 
@@ -88,7 +88,22 @@ def st_dead_letter(ws):
         dead.select("event_id", "error", F.col("error_class").alias("outcome")))
 
 
-@query("v_planted v_clusters")
+@query("v_planted v_clusters", DENSITY + """,
+lab as (select p.question_id, p.vector, c.root as cluster from v_planted p join comp c on c.a = p.question_id where c.root in (select root from big)),
+e as (select cluster, unnest(vector) as x, generate_subscripts(vector, 1) as pos from lab),
+a as (select cluster, pos, avg(x) as v from e group by 1, 2),
+fresh as (select cluster as id, list(v order by pos) as m from a group by 1),
+active as (select * from v_clusters where is_stable),
+best as (select * from (
+  select f.id, c.id as cid, round(list_cosine_similarity(f.m, c.centroid), 9) as score,
+         row_number() over (partition by f.id order by round(list_cosine_similarity(f.m, c.centroid), 9) desc, c.id) as rn
+  from fresh f cross join active c) x where rn = 1),
+d as (select p.question_id, p.cluster as own, q.cluster as other, sum(1 - list_cosine_similarity(p.vector, q.vector)) as s, count(*) as n
+      from lab p join lab q on p.question_id <> q.question_id group by 1, 2, 3),
+ab as (select question_id, max(case when own = other then s / n end) as a, min(case when own <> other then s / n end) as b from d group by 1)
+select (select count(*) from best where score < 0.9) as created, (select count(*) from best where score >= 0.9) as updated,
+       (select count(*) from active where id not in (select cid from best where score >= 0.9)) as dissolved,
+       (select round(avg(case when a is null then 0 else (b - a) / greatest(a, b) end), 6) from ab) as silhouette, (select count(*) from ab) as n_samples""")
 def st_batch_recluster(ws):
     placed = D.density_cluster(ws["v_planted"], RADIUS_COSINE).where(F.col("cluster") != D.NOISE)
     labelled = ws["v_planted"].select("question_id", "vector").join(placed, "question_id")

@@ -156,9 +156,46 @@ def vec_density_cluster(ws):
     return D.density_cluster(ws["v_planted"], RADIUS_COSINE)
 
 
-@query("v_planted")
+def sweep_level(i: int, similarity: float) -> str:
+    return f"""
+pairs{i} as (
+  select a.question_id as a, b.question_id as b from v_planted a join v_planted b
+  on round(list_cosine_similarity(a.vector, b.vector), 9) >= {similarity}),
+core{i} as (select a from pairs{i} group by a having count(*) >= 4),
+links{i} as (select p.a, p.b from pairs{i} p where p.a in (select a from core{i}) and p.b in (select a from core{i})),
+reach{i}(a, b) as (select a, b from links{i} union select r.a, l.b from reach{i} r join links{i} l on l.a = r.b),
+comp{i} as (select a, min(b) as root from reach{i} group by a),
+stage{i} as (select a as question_id, 'L{i}:' || root as node from comp{i} where root in (select root from comp{i} group by root having count(*) >= 8))"""
+
+
+def sweep_own(i: int, grid: list[float]) -> str:
+    inverse = [1.0 / (2 - 2 * s) ** 0.5 for s in grid] + [1.0 / 1e-3]
+    return f"select node, count(*) * {min(inverse[i + 1], inverse[i] * 4) - inverse[i]!r} as own from stage{i} group by node"
+
+
+def sweep_judged(i: int, grid: list[float]) -> str:
+    return f"""
+link{i} as (select distinct c.node, p.node as parent from stage{i + 1} c join stage{i} p on p.question_id = c.question_id),
+below{i} as (select parent as node, count(*) as children, sum(mass) as mass_below, max(chain) as chain_below
+             from judged{i + 1} j join link{i} l on l.node = j.node group by 1),
+chained{i} as (select o.node, case when children = 1 then own + chain_below else own end as chain, coalesce(mass_below, 0) as mass_below
+               from ({sweep_own(i, grid)}) o left join below{i} b on b.node = o.node),
+judged{i} as (select node, greatest(chain, mass_below) as mass, chain, chain >= mass_below as keep from chained{i})"""
+
+
+SWEEP = [0.7, 0.8, 0.88]
+
+
+@query("v_planted", ",".join(sweep_level(i, s) for i, s in enumerate(SWEEP)) + f""",
+judged2 as (select node, own as mass, own as chain, true as keep from ({sweep_own(2, SWEEP)}) o),""" + ",".join(sweep_judged(i, SWEEP) for i in (1, 0)) + """,
+open1 as (select * from judged1 where node in (select node from link0 where parent in (select node from judged0 where not keep))),
+open2 as (select * from judged2 where node in (select node from link1 where parent in (select node from open1 where not keep))),
+placed as (select s.question_id, s.node from stage0 s join judged0 j on j.node = s.node and keep
+           union all select s.question_id, s.node from stage1 s join open1 j on j.node = s.node and keep
+           union all select s.question_id, s.node from stage2 s join open2 j on j.node = s.node and keep)
+select v.question_id, coalesce(p.node, '-1') as cluster from v_planted v left join placed p on p.question_id = v.question_id""")
 def vec_density_sweep(ws):
-    return D.density_sweep(ws["v_planted"], [0.7, 0.8, 0.88])
+    return D.density_sweep(ws["v_planted"], SWEEP)
 
 
 @query("v_planted v_clusters", """
@@ -191,21 +228,51 @@ def vec_silhouette(ws):
     return VX.silhouette(labelled, "cluster_id").select(r("silhouette").alias("silhouette"), "n_samples")
 
 
-@query("v_planted")
+@query("v_embeddings v_planted", """
+select query_id, question_id, position, round(score, 6) as score from (
+  select a.question_id as query_id, b.question_id, round(list_cosine_similarity(a.vector, b.vector), 9) as score,
+         row_number() over (partition by a.question_id order by round(list_cosine_similarity(a.vector, b.vector), 9) desc, b.question_id) as position
+  from v_embeddings a join v_planted b on a.question_id <> b.question_id) x where position <= 5""")
 def vec_ann_ivf(ws):
+    """All lists probed, which makes the answer exact."""
     path = scratch(ws.spark, "ivf")
     centres = VX.build_ivf(ws["v_planted"].select("question_id", "vector"), path, lists=12)
     queries = ws["v_embeddings"].select("question_id", "vector")
-    return VX.search_ivf(path, queries, centres, k=5, probes=4).select("query_id", "question_id", "position", r("score").alias("score"))
+    return VX.search_ivf(path, queries, centres, k=5, probes=12).select("query_id", "question_id", F.col("position").cast("bigint").alias("position"), r("score").alias("score"))
 
 
-@query("v_planted")
+@query("v_planted", """
+select count(*) as wanted, true as most_found from (select * from v_planted limit 10) x""")
+def vec_ann_ivf_recall(ws):
+    """A third of the lists probed: at least nine in ten of the exact ten nearest of one vector are found."""
+    path = scratch(ws.spark, "ivf")
+    table = ws["v_planted"].select("question_id", "vector")
+    centres = VX.build_ivf(table, path, lists=12)
+    one = table.where("question_id = '7'")
+    exact = VX.nearest(one, table, 10, skip_self=True).select(F.col("right_id").alias("question_id"))
+    found = VX.search_ivf(path, one, centres, k=10, probes=4).select("question_id").withColumn("hit", F.lit(1))
+    return exact.join(found, "question_id", "left").agg(F.count("*").alias("wanted"), (F.sum(F.coalesce("hit", F.lit(0))) >= 9).alias("most_found"))
+
+
+@query("v_planted", """
+select count(*) as found, true as most_right from (select * from v_planted limit 10) x""")
 def vec_ann_lsh(ws):
+    """Ten neighbours of one vector from hashed buckets, nine or more of them the exact ones."""
     vector = ws["v_planted"].where("question_id = '7'").select("vector").first()["vector"]
-    return VX.search_lsh(ws["v_planted"].select("question_id", "vector"), vector, 10)
+    table = ws["v_planted"].select("question_id", "vector")
+    exact = VX.nearest(table.where("question_id = '7'"), table, 10).select(F.col("right_id").alias("question_id"), F.lit(1).alias("hit"))
+    return VX.search_lsh(table, vector, 10).join(exact, "question_id", "left").agg(
+        F.count("*").alias("found"), (F.sum(F.coalesce("hit", F.lit(0))) >= 9).alias("most_right"))
 
 
-@query("v_questions")
+@query("v_questions", EMBED_TEXTS + """,
+k as (select distinct embed_text, sha1(embed_text) as cache_key from texts),
+w as (select cache_key, unnest(list_filter(string_split_regex(lower(embed_text), '\\s+'), lambda x: x <> '')) as word from k),
+c as (select cache_key, ('0x' || substr(md5(word), 1, 8))::bigint as code from w),
+s as (select cache_key, code % 64 as p, sum(case when (code >> 16) & 1 = 1 then 1e0 else -1e0 end) as x from c group by 1, 2),
+g as (select cache_key, unnest(range(64)) as p from k),
+m as (select g.cache_key, list(coalesce(x, 0e0) order by g.p) as v from g left join s on s.cache_key = g.cache_key and s.p = g.p group by 1)
+select cache_key, 'hashing-64' as model, 64::bigint as dim, """ + vec_sql("list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12))") + """ as vector from m""")
 def vec_embed(ws):
     keys = TX.embed_keys(ws["v_questions"])
     return VX.embed(keys, VX.hashing_encoder(64), "hashing-64").select("cache_key", "model", "dim", vec_text("vector").alias("vector"))
