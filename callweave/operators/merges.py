@@ -123,3 +123,9 @@ def cascade_delete(tables: dict[str, DataFrame], doomed_calls: DataFrame) -> dic
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     tagged = [df.select(F.lit(name).alias("table_name")) for name, df in tables.items()]
     return reduce(lambda a, b: a.unionByName(b), tagged).groupBy("table_name").agg(F.count("*").alias("n"))
+
+
+def table_keys(tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+    """(table_name, row_key, n): how often each key stands in each table."""
+    tagged = [df.select(F.lit(name).alias("table_name"), F.col(keys[name]).cast("string").alias("row_key")) for name, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), tagged).groupBy("table_name", "row_key").agg(F.count("*").alias("n"))

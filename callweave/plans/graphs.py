@@ -26,10 +26,10 @@ def graph_edge_accept(ws):
 
 @query("v_edges v_clusters", """
 kept as (select * from (select *, row_number() over (order by weight desc, source, target, relation) as rn
-  from v_edges where batch = 1 and weight >= 0.5) x where rn <= 5)
+  from v_edges where weight >= 0.5) x where rn <= 5)
 select id, frequency from v_clusters where id in (select source from kept union select target from kept)""")
 def graph_memory_view(ws):
-    nodes, _ = GR.memory_view(ws["v_clusters"], ws["v_edges"].where("batch = 1"), 0.5, 5)
+    nodes, _ = GR.memory_view(ws["v_clusters"], ws["v_edges"], 0.5, 5)
     return nodes.select("id", "frequency")
 
 

@@ -154,12 +154,13 @@ def merge_graphs(ws):
 @query("v_calls v_utterances v_questions v_embeddings v_members", """
 doomed as (select id as call_id from v_calls where status in ('failed', 'pending')),
 dq as (select id as question_id from v_questions where call_id in (select call_id from doomed))
-select 'calls' as table_name, count(*) as n from v_calls where id not in (select call_id from doomed)
-union all select 'utterances', count(*) from v_utterances where call_id not in (select call_id from doomed)
-union all select 'questions', count(*) from v_questions where call_id not in (select call_id from doomed)
-union all select 'embeddings', count(*) from v_embeddings where question_id not in (select question_id from dq)
-union all select 'members', count(*) from v_members where question_id not in (select question_id from dq)""")
+select 'calls' as table_name, id as row_key, count(*) as n from v_calls where id not in (select call_id from doomed) group by 2
+union all select 'utterances', utterance_id, count(*) from v_utterances where call_id not in (select call_id from doomed) group by 2
+union all select 'questions', id, count(*) from v_questions where call_id not in (select call_id from doomed) group by 2
+union all select 'embeddings', question_id, count(*) from v_embeddings where question_id not in (select question_id from dq) group by 2
+union all select 'members', question_id, count(*) from v_members where question_id not in (select question_id from dq) group by 2""")
 def set_cascade_delete(ws):
     tables = {n: ws[f"v_{n}"] for n in ("calls", "utterances", "questions", "embeddings", "members")}
     doomed = ws["v_calls"].where(F.col("status").isin("failed", "pending"))
-    return M.table_counts(M.cascade_delete(tables, doomed))
+    keys = {"calls": "id", "utterances": "utterance_id", "questions": "id", "embeddings": "question_id", "members": "question_id"}
+    return M.table_keys(M.cascade_delete(tables, doomed), keys)

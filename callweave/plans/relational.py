@@ -42,9 +42,9 @@ def flt_call_flagged(ws):
 @query("v_questions", """
 select id, call_id, intent, language from (
   select *, row_number() over (order by extracted_at desc nulls last, id) as rn
-  from v_questions where language = 'en' and intent <> 'other') q where rn > 10 and rn <= 60""")
+  from v_questions where language = 'en') q where rn > 10 and rn <= 60""")
 def flt_questions(ws):
-    found = R.list_questions(ws["v_questions"].where("intent <> 'other'"), language="en", limit=50, offset=10)
+    found = R.list_questions(ws["v_questions"], language="en", limit=50, offset=10)
     return found.select("id", "call_id", "intent", "language")
 
 
@@ -84,9 +84,9 @@ def flt_duration_slice(ws):
 @query("v_edges", """
 select source, target, relation, weight from (
   select *, row_number() over (order by weight desc, source, target, relation) as rn
-  from v_edges where batch = 1 and weight >= 0.5) e where rn <= 12""")
+  from v_edges where weight >= 0.5) e where rn <= 12""")
 def flt_edges_weight(ws):
-    return R.heaviest_edges(ws["v_edges"].where("batch = 1"), 0.5, 12).select("source", "target", "relation", "weight")
+    return R.heaviest_edges(ws["v_edges"], 0.5, 12).select("source", "target", "relation", "weight")
 
 
 # --- joins -----------------------------------------------------------------------
@@ -278,9 +278,9 @@ def join_day_spine(ws):
 
 @query("v_edges v_clusters", """
 select id, frequency from v_clusters where id in (
-  select source from v_edges where batch = 1 and weight >= 0.7 union select target from v_edges where batch = 1 and weight >= 0.7)""")
+  select source from v_edges where weight >= 0.7 union select target from v_edges where weight >= 0.7)""")
 def join_incident_nodes(ws):
-    return R.incident_clusters(ws["v_clusters"], ws["v_edges"].where("batch = 1 and weight >= 0.7")).select("id", "frequency")
+    return R.incident_clusters(ws["v_clusters"], ws["v_edges"].where("weight >= 0.7")).select("id", "frequency")
 
 
 # --- sort, limit, sample --------------------------------------------------------------
@@ -328,13 +328,13 @@ def top_intents(ws):
 
 
 @query("v_edges v_clusters", """
-kept as (select * from v_edges where batch = 1 and weight >= 0.95),
+kept as (select * from v_edges where weight >= 0.95),
 top50 as (select * from (select *, row_number() over (order by frequency desc, id) as rn from v_clusters) c where rn <= 50)
 select id, frequency from v_clusters where id in (select source from kept union select target from kept)
 union all
 select id, frequency from top50 where not exists (select 1 from kept)""")
 def top_graph_view(ws):
-    return R.graph_view(ws["v_clusters"], ws["v_edges"].where("batch = 1"), 0.95).select("id", "frequency")
+    return R.graph_view(ws["v_clusters"], ws["v_edges"], 0.95).select("id", "frequency")
 
 
 @query("v_docs_pii", pii_sql.kept() + """

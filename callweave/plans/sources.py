@@ -15,7 +15,7 @@ from callweave.operators import merges as M
 from callweave.plans.aggregates import FINDINGS, SUMMARY, SUMMARY_SELECT
 from callweave.plans.catalog import query
 from callweave.plans.graphs import RELATED, kg_edges, kg_nodes
-from callweave.plans.merges import KG_EDGES, KG_FACTS, NODE_CTES
+from callweave.plans.merges import KG_EDGES, KG_FACTS, KG_NODES, NODE_CTES
 from callweave.plans.relational import CLEAN, r, resolved, ts_text
 from callweave.plans.text_jobs import detected_sql
 from callweave.session import scratch
@@ -212,6 +212,14 @@ def sink_graph_json(ws):
     return back.withColumn("weight", r("weight"))
 
 
+@query("v_analyses v_cdr v_leads", KG_NODES + "select id, type, label, attrs from nodes")
+def sink_graph_json_nodes(ws):
+    path = scratch(ws.spark, "graph")
+    WR.write_graph(kg_nodes(ws), kg_edges(ws), path)
+    back = ws.spark.read.schema("id string, type string, label string, attrs map<string,string>").json(f"{path}/nodes")
+    return back.withColumn("attrs", G.attribute_text(F.col("attrs")))
+
+
 NOTES_SQL = KG_EDGES + NODE_CTES + "," + RELATED + """,
 based as (select *, type || '-' || regexp_replace(regexp_replace(lower(id), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as base from nodes),
 named as (select *, case when row_number() over (partition by base order by id) = 1 then base else base || '-' || substr(sha1(type || '|' || id), 1, 6) end as name from based)

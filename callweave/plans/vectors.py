@@ -202,7 +202,7 @@ def vec_density_sweep(ws):
 e as (select label, unnest(vector) as x, generate_subscripts(vector, 1) as pos from v_planted),
 a as (select label, pos, avg(x) as v, count(*) as n from e group by 1, 2),
 fresh as (select cast(label as string) as id, list(v order by pos) as m, max(n) as n from a group by 1),
-active as (select * from v_clusters where is_stable and num <> 3),
+active as (select * from v_clusters where is_stable),
 best as (select * from (
   select f.id, f.n, c.id as cid, round(list_cosine_similarity(f.m, c.centroid), 9) as score,
          row_number() over (partition by f.id order by round(list_cosine_similarity(f.m, c.centroid), 9) desc, c.id) as rn
@@ -213,7 +213,7 @@ union all
 select 'dissolve', id, null, 0, null from active where id not in (select cid from best where score >= 0.9)""")
 def vec_reconcile(ws):
     fresh = VX.centroids(ws["v_planted"].withColumn("id", F.col("label").cast("string")), "id")
-    return VX.reconcile(fresh, ws["v_clusters"].where("num <> 3")).select(
+    return VX.reconcile(fresh, ws["v_clusters"]).select(
         "action", "cluster_id", "batch_label", "n_members", r("similarity").alias("similarity"))
 
 

@@ -366,8 +366,8 @@ def v_questions(d):
     ints = d.pick("case when vec_id % 6 = 0 then vec_id % 15 else label end", C.INTENTS)
     sec = d.strings(d.pick("(vec_id + 1) % 15", C.INTENTS), d.pick("(vec_id + 2) % 15", C.INTENTS))
     return f"""
-    select question_id as id, vec_id, cast(vec_id % 100 as string) as call_id,
-           case when vec_id % 9 = 0 then null else 'u' || question_id end as utterance_id,
+    select cast(vec_id as string) as id, vec_id, cast(vec_id % 100 as string) as call_id,
+           case when vec_id % 9 = 0 then null else 'u' || cast(vec_id as string) end as utterance_id,
            text as raw_text,
            case when vec_id % 10 = 0 then '' else trim(text) end as normalized_text,
            case when vec_id % 4 = 0 then null else 'gloss ' || cast(vec_id % 37 as string) || ' ' || text end as english_gloss,
@@ -377,7 +377,8 @@ def v_questions(d):
            lang as language, (vec_id % 100) / 100e0 as confidence,
            case when vec_id % 50 = 0 then null else {d.ts("2024-01-01 00:00:00")} + {d.minutes("vec_id")} end as extracted_at,
            vec_id % 41 = 0 as human_override
-    from v_planted join documents on vec_id = doc_id"""
+    from (select d.doc_id as vec_id, d.text, d.lang, coalesce(p.label, d.doc_id % 10) as label
+          from documents d left join v_planted p on p.vec_id = d.doc_id) x"""
 
 
 @view("v_planted")
