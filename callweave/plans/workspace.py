@@ -17,8 +17,15 @@ class Workspace:
         ship_package(spark)
 
     def table(self, name: str) -> DataFrame:
-        """A driver table, split as the session's file settings say."""
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A driver table, split as the session's file settings say.
+
+        A file with one row group is read by one task.  A session that sets ``spark.callweave.spreadTables`` (local ones do) has
+        tables dealt out to its cores; by default they are left as they are.
+        """
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if self.spark.conf.get("spark.callweave.spreadTables", "false") == "true":
+            return df.repartition(self.spark.sparkContext.defaultParallelism)
+        return df
 
     def __getitem__(self, name: str) -> DataFrame:
         """A driver table or an input view, built once per workspace."""

@@ -24,6 +24,7 @@ def local_session(cores: str = "8", **extra: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.callweave.spreadTables", "true")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
