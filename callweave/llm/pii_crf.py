@@ -27,6 +27,7 @@ KINDS = ["email", "ip", "card", "phone", "secret"]
 MOST_TOKENS = 16
 SAMPLE_ROWS = 400  # documents with stretches, those of the smallest id hashes, that the field is fitted on
 CONTEXT = 2  # words kept on either side of a word with a digit or @
+BLOCK_TOKENS = 512  # scored at once
 EPOCHS, RATE, DECAY = 40, 1.0, 1e-3
 
 # The patterns.
@@ -117,54 +118,71 @@ def features(text: str, before: str) -> list[float]:
             len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 for p in parts), any(c in "#*$%&|<>\"'" for c in text)]
 
 
+def tokens_of(text: str, low: int, high: int) -> list[tuple[int, int]]:
+    return [m.span() for m in _TOKEN.finditer(text, low, high)]
+
+
+def segments(text: str, tokens: list[tuple[int, int]], first: int, last: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Candidate segments (first, end token) that start at tokens first..last-1, in that order, and their features."""
+    spans, rows = [], []
+    for i in range(first, last):
+        a, marked = tokens[i][0], False
+        for j in range(i, min(i + MOST_TOKENS, len(tokens))):
+            x, b = tokens[j]
+            marked = marked or any("0" <= c <= "9" or c == "@" for c in text[x:b])
+            if j > i and "\n" in text[tokens[j - 1][1]: x]:
+                break  # an entity stands on one line
+            if marked:
+                spans.append((i, j + 1))
+                rows.append(features(text[a:b], text[max(0, a - 12): a]))
+    return spans, np.array(rows, dtype=np.float64).reshape(-1, len(FEATURES))
+
+
+def best_spans(text: str, low: int, high: int, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the best segmentation; a token outside entities scores 0.
+
+    Segments are scored block by block and forgotten, so memory follows the tokens, however long the stretch is.
+    """
+    tokens = tokens_of(text, low, high)
+    value = [0.0] + [-np.inf] * len(tokens)
+    back: list[tuple[int, int] | None] = [None] * (len(tokens) + 1)
+    for block in range(0, len(tokens), BLOCK_TOKENS):
+        last = min(len(tokens), block + BLOCK_TOKENS)
+        spans, rows = segments(text, tokens, block, last)
+        scores = rows @ weights.T
+        kinds, tops = scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()
+        s = 0
+        for i in range(block, last):
+            if value[i] >= value[i + 1]:
+                value[i + 1], back[i + 1] = value[i], None
+            while s < len(spans) and spans[s][0] == i:
+                end = spans[s][1]
+                if value[i] + tops[s] > value[end]:
+                    value[end], back[end] = value[i] + tops[s], (i, kinds[s])
+                s += 1
+    found, j = [], len(tokens)
+    while j > 0:
+        if back[j] is None:
+            j -= 1
+        else:
+            i, kind = back[j]
+            found.append((tokens[i][0], kind, tokens[j - 1][1]))
+            j = i
+    return found[::-1]
+
+
 class Lattice:
-    """All candidate segments of a stretch: token bounds, (first, last) token of each segment, and its features."""
-
-    def __init__(self, text: str, low: int, high: int):
-        self.tokens = [m.span() for m in _TOKEN.finditer(text, low, high)]
-        self.spans, rows = [], []
-        for i, (a, _) in enumerate(self.tokens):
-            marked = False
-            for j in range(i, min(i + MOST_TOKENS, len(self.tokens))):
-                x, b = self.tokens[j]
-                marked = marked or any("0" <= c <= "9" or c == "@" for c in text[x:b])
-                if j > i and "\n" in text[self.tokens[j - 1][1]: x]:
-                    break  # an entity stands on one line
-                if marked:
-                    self.spans.append((i, j + 1))
-                    rows.append(features(text[a:b], text[max(0, a - 12): a]))
-        self.rows = np.array(rows, dtype=np.float64).reshape(-1, len(FEATURES))
+    """All candidate segments of a short stretch, to fit on: token bounds, (first, end) token of each segment, and its features."""
+
+    def __init__(self, text: str):
+        self.tokens = tokens_of(text, 0, len(text))
+        self.spans, self.rows = segments(text, self.tokens, 0, len(self.tokens))
         self.ending: list[list[int]] = [[] for _ in range(len(self.tokens) + 1)]
         self.starting: list[list[int]] = [[] for _ in range(len(self.tokens) + 1)]
         for s, (i, j) in enumerate(self.spans):
             self.ending[j].append(s)
             self.starting[i].append(s)
 
-    def best(self, weights: np.ndarray) -> list[tuple[int, int, int]]:
-        """(start, kind, end) of the best segmentation; a token outside entities scores 0."""
-        scores = self.rows @ weights.T
-        kind = scores.argmax(axis=1) if len(scores) else np.empty(0, dtype=np.int64)
-        top = scores.max(axis=1) if len(scores) else np.empty(0)
-        value, back = [0.0], [-1]
-        for j in range(1, len(self.tokens) + 1):
-            best, how = value[j - 1], -1
-            for s in self.ending[j]:
-                v = value[self.spans[s][0]] + top[s]
-                if v > best:
-                    best, how = v, s
-            value.append(best)
-            back.append(how)
-        found, j = [], len(self.tokens)
-        while j > 0:
-            s = back[j]
-            if s < 0:
-                j -= 1
-            else:
-                i = self.spans[s][0]
-                found.append((self.tokens[i][0], int(kind[s]), self.tokens[j - 1][1]))
-                j = i
-        return found[::-1]
-
     def gradient(self, weights: np.ndarray, gold: list[tuple[int, int]]) -> np.ndarray:
         """Observed minus expected features, for gold segments (segment, kind)."""
         n, scores = len(self.tokens), self.rows @ weights.T
@@ -198,7 +216,7 @@ def fit(texts: list[str]) -> np.ndarray | None:
     examples = []
     for text in texts:
         labels = silver(text)
-        lattice = Lattice(text, 0, len(text))
+        lattice = Lattice(text)
         where = {(lattice.tokens[i][0], lattice.tokens[j - 1][1]): s for s, (i, j) in enumerate(lattice.spans)}
         gold = [(where[a, b], kind) for a, kind, b in labels if (a, b) in where]
         if len(gold) == len(labels):
@@ -221,7 +239,7 @@ def spans_of(text: str, weights: np.ndarray | None) -> tuple[list, list]:
         return base, base
     found = []
     for low, high in stretches(text):
-        found += Lattice(text, low, high).best(weights)
+        found += best_spans(text, low, high, weights)
     every, k = list(base), 0
     reach = np.maximum.accumulate([b for _, _, b in base]) if base else []
     for a, kind, b in found:

@@ -232,6 +232,15 @@ def test_pii_field_learns_from_labels():
     assert ("card", "1234567890123456") in spans and any(k == "secret" for k, _ in spans) and not any("2024" in s for _, s in spans)
 
 
+def test_pii_blocks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(7)
+    weights = rng.normal(size=(len(pii_crf.KINDS), len(pii_crf.FEATURES)))
+    text = " ".join(rng.choice(["12", "a@b.c", "+1 (2) 3", "x", "9.9.9.9", "tok = \"7f\""], 60))
+    whole = pii_crf.best_spans(text, 0, len(text), weights)
+    monkeypatch.setattr(pii_crf, "BLOCK_TOKENS", 3)
+    assert whole and pii_crf.best_spans(text, 0, len(text), weights) == whole
+
+
 def test_pii_patterns_are_linear_and_leftmost():
     big = "a" * 200_000 + "1" * 200_000 + "." * 1000 + "@" * 1000
     assert pii_crf.base_spans(big) == []
