@@ -10,6 +10,7 @@ from callweave.functions import pii
 from callweave.functions import text as T
 from callweave.functions.numbers import one_decimal
 from callweave.functions.vec import let
+from callweave.session import cut
 
 
 # --- personal data -----------------------------------------------------------------
@@ -104,7 +105,7 @@ def speaker_stats(scores: DataFrame) -> DataFrame:
 
 def label_speakers(utterances: DataFrame, brands=()) -> DataFrame:
     """Speaker roles: by speaker id where a call has any, else by parity."""
-    scores = scored(utterances, brands)
+    scores = cut(scored(utterances, brands), "scored")  # three branches read the scores: score each turn once
     best = speaker_stats(scores).groupBy("call_id").agg(
         F.min_by("speaker_id", F.struct(-F.round("score", 9), F.col("speaker_id"))).alias("agent_id"))
     routed = scores.join(best, "call_id", "left")

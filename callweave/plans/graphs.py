@@ -12,6 +12,7 @@ from callweave.plans.merges import KG_EDGES, KG_NODES, graph_calls
 from callweave.plans.relational import r
 from callweave.plans.vectors import NEIGHBOURS
 from callweave.plans.windows import ACCEPT, NODE_NAMES  # noqa: F401
+from callweave.session import cut
 
 
 @query("v_clusters", NEIGHBOURS.format(k=8) + "select source, target, round(cosine, 6) as cosine from nb where cosine >= 0.05")
@@ -41,6 +42,12 @@ def kg_edges(ws):
     return G.merge_edges_by_weight(G.call_edges(graph_calls(ws)))
 
 
+def kg_both(ws):
+    """(nodes, edges) from one table of facts."""
+    facts = cut(graph_calls(ws), "facts")
+    return G.merge_nodes(G.call_nodes(facts)), G.merge_edges_by_weight(G.call_edges(facts))
+
+
 @query("v_analyses v_cdr v_leads", KG_NODES + "select id, type, label, attrs from nodes")
 def graph_kg_nodes(ws):
     return kg_nodes(ws).select("id", "type", "label", G.attribute_text(F.col("attrs")).alias("attrs"))

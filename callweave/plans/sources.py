@@ -14,7 +14,7 @@ from callweave.operators import knowledge as G
 from callweave.operators import merges as M
 from callweave.plans.aggregates import FINDINGS, SUMMARY, SUMMARY_SELECT
 from callweave.plans.catalog import query
-from callweave.plans.graphs import RELATED, kg_edges, kg_nodes
+from callweave.plans.graphs import RELATED, kg_both
 from callweave.plans.merges import KG_EDGES, KG_FACTS, KG_NODES, NODE_CTES
 from callweave.plans.relational import CLEAN, r, resolved, ts_text
 from callweave.plans.text_jobs import detected_sql
@@ -207,7 +207,7 @@ def sink_call_summary_csv(ws):
 select src_id as source, dst_id as target, relation, round(weight, 6) as weight, reason from edges""")
 def sink_graph_json(ws):
     path = scratch(ws.spark, "graph")
-    WR.write_graph(kg_nodes(ws), kg_edges(ws), path)
+    WR.write_graph(*kg_both(ws), path)
     back = ws.spark.read.schema("source string, target string, relation string, weight double, reason string").json(f"{path}/edges")
     return back.withColumn("weight", r("weight"))
 
@@ -215,7 +215,7 @@ def sink_graph_json(ws):
 @query("v_analyses v_cdr v_leads", KG_NODES + "select id, type, label, attrs from nodes")
 def sink_graph_json_nodes(ws):
     path = scratch(ws.spark, "graph")
-    WR.write_graph(kg_nodes(ws), kg_edges(ws), path)
+    WR.write_graph(*kg_both(ws), path)
     back = ws.spark.read.schema("id string, type string, label string, attrs map<string,string>").json(f"{path}/nodes")
     return back.withColumn("attrs", G.attribute_text(F.col("attrs")))
 
@@ -235,7 +235,7 @@ from related join named on node_id = id"""
 @query("v_analyses v_cdr v_leads", NOTES_SQL)
 def sink_notes(ws):
     path = scratch(ws.spark, "notes")
-    WR.write_notes(G.notes(kg_nodes(ws), kg_edges(ws)), path)
+    WR.write_notes(G.notes(*kg_both(ws)), path)
     return ws.spark.read.schema("name string, section int, line string, text string, folder string").json(path).select("folder", "name", "section", "line", "text")
 
 
