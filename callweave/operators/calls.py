@@ -53,7 +53,7 @@ def cdr_quality(raw: DataFrame, columns: dict[str, str] = C.CDR_COLUMNS) -> Data
 
 
 def last_wins(df: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
-    """Last row per key in file order, as a combinable aggregate (no per-key sort)."""
+    """Last row per key in file order, as an aggregate that combines before the shuffle: one row per key and task travels."""
     rest = [c for c in df.columns if c != key]
     best = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(ordinal)).alias("r"))
     return best.select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
