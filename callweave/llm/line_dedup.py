@@ -7,6 +7,9 @@ that sites with one or two pages keep their text.
 Only 64-bit line hashes travel; each row is counted and marked through its own key, so a busy site or line is summed before the
 shuffle and no task holds a site.  Pages without a flagged line keep their text byte for byte.
 
+``copies`` (key, page), with ``row_key`` as key, names the rows that are one page: rows of one page count once, in a line's pages
+and in those of the site.  Without it every row is a page.
+
 A null site is a site of its own.  Null text stays null and has no lines; empty lines are kept and never counted.  Repeated
 rows are pages each.  An empty table gives an empty result.  Other columns are carried along untouched; names starting with
 ``_line_dedup_`` are reserved.
@@ -38,19 +41,27 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def row_key(site: str, text: str) -> Column:
+    return F.xxhash64(F.col(site), F.col(text))
+
+
+def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = LEAST_PAGES, copies: DataFrame | None = None) -> DataFrame:
     """(site, line): hashes of the lines on more than ``ratio`` of a site's pages."""
     key = F.xxhash64(F.col(site), F.col(site).isNull()).alias(_own("site"))
-    lines = pages.select(key, F.explode(F.array_distinct(F.transform(_filled(_lines(text)), _hash))).alias(_own("line")))
+    found = F.explode(F.array_distinct(F.transform(_filled(_lines(text)), _hash))).alias(_own("line"))
+    lines, counted = pages.select(key, found), pages.select(key)
+    if copies is not None:
+        page, row = copies.select(F.col("key").alias(_own("row")), F.col("page").alias(_own("page"))), row_key(site, text).alias(_own("row"))
+        lines, counted = (x.distinct().join(page, _own("row")).drop(_own("row")).distinct() for x in (pages.select(key, row, found), pages.select(key, row)))
     counts = lines.groupBy(_own("site"), _own("line")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    totals = pages.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    totals = counted.groupBy(_own("site")).agg(F.count(F.lit(1)).alias("total"))
     return counts.join(totals, _own("site")).where(F.col("n") > ratio * F.col("total")).select(_own("site"), _own("line"))
 
 
-def without_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def without_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = LEAST_PAGES, copies: DataFrame | None = None) -> DataFrame:
     """All rows and columns with ``text`` freed of its site's boilerplate, and the hashes dropped (``_line_dedup_drop``, null if none)."""
-    flagged = boilerplate(pages, site, text, ratio, least)
-    keyed = pages.withColumns({_own("site"): F.xxhash64(F.col(site), F.col(site).isNull()), _own("key"): F.xxhash64(F.col(site), F.col(text))})
+    flagged = boilerplate(pages, site, text, ratio, least, copies)
+    keyed = pages.withColumns({_own("site"): F.xxhash64(F.col(site), F.col(site).isNull()), _own("key"): row_key(site, text)})
     lines = keyed.select(_own("key"), _own("site"), F.explode(F.array_distinct(F.transform(_filled(_lines(text)), _hash))).alias(_own("line")))
     marks = lines.join(flagged, [_own("site"), _own("line")], "left_semi").groupBy(F.col(_own("key")).alias(_own("row"))).agg(
         F.collect_set(_own("line")).alias(_own("drop")))
@@ -60,9 +71,9 @@ def without_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = R
     return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in pages.columns], _own("drop"), F.col(text).alias(_own("before")))
 
 
-def cleaned(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def cleaned(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = LEAST_PAGES, copies: DataFrame | None = None) -> DataFrame:
     """The input's rows and columns, with boilerplate lines gone from ``text``."""
-    return without_boilerplate(pages, site, text, ratio, least).select(*pages.columns)
+    return without_boilerplate(pages, site, text, ratio, least, copies).select(*pages.columns)
 
 
 def line_counts(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
