@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import decontaminate, language_id, license_scan, line_dedup, mixing, pii_crf, quality_rules, simhash, substring_dedup, suffix_dedup
+from callweave.llm import decontaminate, language_id, license_scan, line_dedup, merkle, mixing, pii_crf, quality_rules, simhash, substring_dedup, suffix_dedup
 from callweave.llm.license_texts import TEXTS
-from callweave.session import cut
+from callweave.session import cut, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,7 @@ def _register(sql: str | None = None):
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
@@ -189,3 +190,41 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.deduplicated(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_MERKLE_FIELDS = " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+_LOWER_AZ = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TREE = """
+{p}n as (select 0 as k, g, slot, n, h from {p}0
+  union all select k + 1, g, slot // 8, (n + 7) // 8, sha256(string_agg(h, '' order by slot)) from {p}n where n > 1 group by k, g, slot // 8, n),
+{p}s as (select l.g, l.slot, a.k, coalesce(string_agg(b.h, '' order by b.slot) filter (where b.slot < a.slot), '') as lo,
+           coalesce(string_agg(b.h, '' order by b.slot) filter (where b.slot > a.slot), '') as hi
+         from {p}0 l join {p}n a on a.g = l.g and a.n > 1 and a.slot = l.slot // (8 ** a.k)::bigint
+         join {p}n b on b.g = a.g and b.k = a.k and b.slot // 8 = a.slot // 8 group by l.g, l.slot, a.k),
+{p}r as (select g, h from {p}n where n = 1)"""
+
+
+@_register(rf"""
+with recursive bits as (select i, i as x, 0 as b from range(256) t(i) union all select i, xor(x >> 1, 3988292384 * (x & 1)), b + 1 from bits where b < 8),
+crc as (select list(x order by i) as t from bits where b = 8),
+f as (select doc_id, coalesce('v' || lang, 'n') as g, sha256({_MERKLE_FIELDS.format(text="text")}) as h,
+        case when xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)),
+                                  lambda a, c: xor(t[(xor(a, c) & 255) + 1], a >> 8)), 4294967295) % 3 = 0
+             then sha256({_MERKLE_FIELDS.format(text=_LOWER_AZ)}) end as other from documents, crc),
+leaf_0 as (select *, row_number() over (partition by g order by doc_id nulls first, h) - 1 as slot, count(*) over (partition by g) as n from f),{_TREE.format(p="leaf_")},
+top_0 as (select '' as g, g as own, row_number() over (order by g) - 1 as slot, count(*) over () as n, h from leaf_r),{_TREE.format(p="top_")},
+steps as (select g, slot, k, lo, hi from leaf_s union all
+          select a0.g, a0.slot, s.k + 1000, s.lo, s.hi from leaf_0 a0 join top_0 b0 on b0.own = a0.g join top_s s on s.slot = b0.slot),
+p as (select g, slot, list({{'l': lo, 'r': hi}} order by k) as way, string_agg(lo || hi, '' order by k) as proof from steps group by g, slot),
+fold as (select a0.g, a0.slot, 0 as k, coalesce(other, h) as h, way from leaf_0 a0 left join p on p.g = a0.g and p.slot = a0.slot
+         union all select g, slot, k + 1, sha256(way[k + 1].l || h || way[k + 1].r), way from fold where k < len(way))
+select doc_id, a0.h as leaf, ar.h as subroot, br.h as root, sha256(coalesce(p.proof, '')) as proof_sha256, fold.h as folded_root, fold.h = br.h as verified
+from leaf_0 a0 join leaf_r ar on ar.g = a0.g cross join top_r br left join p on p.g = a0.g and p.slot = a0.slot
+join fold on fold.g = a0.g and fold.slot = a0.slot and fold.k = coalesce(len(fold.way), 0)""")
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    copy = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.lower_az(F.col("text"))).otherwise(F.col("text"))
+    found = merkle.manifest(docs, changed={"text": copy})
+    again = merkle.folded(F.col("other"), F.col("steps"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("steps")).alias("proof_sha256"), again.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
