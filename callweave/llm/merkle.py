@@ -101,9 +101,9 @@ def descend(levels: list[DataFrame], above: DataFrame) -> DataFrame:
     """The nodes with all steps to the root; ``above`` has the steps and whatever else belongs to the single last node of each group."""
     known = levels[-1].select("g", F.col("slot").alias("block"), F.col("h").alias("subroot")).join(above, "g")
     for nodes in reversed(levels[:-1]):
-        known = within(nodes).join(known.withColumnRenamed("steps", "more"), ["g", "block"])
+        known = within(nodes).join(known.drop("n", "h").withColumnRenamed("steps", "more"), ["g", "block"])
         known = known.withColumn("steps", F.concat("steps", "more")).drop("more", "peak", "block").withColumnRenamed("slot", "block")
-    return known.drop("n", "block")
+    return known
 
 
 def manifest(rows: DataFrame, ident: str = "doc_id", group: str = "lang", fields: list[str] | None = None, changed: dict[str, Column] | None = None) -> DataFrame:
