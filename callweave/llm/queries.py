@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import decontaminate, language_id, license_scan, line_dedup, merkle, mixing, pii_crf, quality_rules, simhash, substring_dedup, suffix_dedup
+from callweave.llm import decontaminate, language_id, license_scan, line_dedup, merkle, mixing, packing, pii_crf, quality_rules, simhash, substring_dedup, suffix_dedup
 from callweave.llm.license_texts import TEXTS
 from callweave.session import cut, ship_package
 
@@ -228,3 +228,8 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     again = merkle.folded(F.col("other"), F.col("steps"))
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("steps")).alias("proof_sha256"), again.alias("folded_root")).withColumn(
         "verified", F.col("folded_root") == F.col("root"))
+
+
+@_register()
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_table(spark, folder, "documents"))
