@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import decontaminate, language_id, license_scan, line_dedup, merkle, mixing, packing, pii_crf, quality_rules, simhash, substring_dedup, suffix_dedup
+from callweave.llm import alignment, decontaminate, language_id, license_scan, line_dedup, merkle, mixing, packing, pii_crf, quality_rules, simhash, substring_dedup, suffix_dedup
 from callweave.llm.license_texts import TEXTS
 from callweave.session import cut, ship_package
 
@@ -233,3 +233,9 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 @_register()
 def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(_table(spark, folder, "documents"))
+
+
+@_register()
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(_table(spark, folder, "documents")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
