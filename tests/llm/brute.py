@@ -151,9 +151,28 @@ def quality(table):
     return Counter(out)
 
 
-def without_boilerplate(table, ratio=0.07, least=3):
-    pages, counts = Counter(r[3] for r in table), Counter()
-    for r in table:
-        counts.update({(r[3], x.strip(" \t\r\x0b\x0c")) for x in (r[1] or "").split("\n") if x.strip(" \t\r\x0b\x0c")})
+def shingles(text, width=5):
+    w = WORD.findall(lower(text or ""))
+    return {tuple(w[k: k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def near_groups(texts):
+    """Smallest index per group of texts linked at a Jaccard similarity of 0.8 or more."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(sets)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if root[a] != root[b] and 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def without_boilerplate(table, ratio=0.07, least=3, page=None):
+    """``page`` names the page of each row; by default each row is one."""
+    page = list(range(len(table))) if page is None else page
+    blanks = " \t\r\x0b\x0c"
+    pages = Counter(site for site, _ in {(r[3], p) for r, p in zip(table, page)})
+    counts = Counter((site, line) for site, line, _ in {(r[3], x.strip(blanks), p) for r, p in zip(table, page) for x in (r[1] or "").split("\n") if x.strip(blanks)})
     bad = {k for k, n in counts.items() if n >= least and n > ratio * pages[k[0]]}
-    return [(*r[:1], None if r[1] is None else "\n".join(x for x in r[1].split("\n") if (r[3], x.strip(" \t\r\x0b\x0c")) not in bad), *r[2:]) for r in table]
+    return [(*r[:1], None if r[1] is None else "\n".join(x for x in r[1].split("\n") if (r[3], x.strip(blanks)) not in bad), *r[2:]) for r in table]

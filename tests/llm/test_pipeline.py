@@ -15,8 +15,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def plain_stages(table, items):
     one = [r for r in table if next(iter(brute.quality([r])))[-1]]
-    two = [(*r[:4], None if r[1] is None else len(r[1])) for r in brute.without_boilerplate(one)]
-    roots = brute.components([brute.fingerprint(r[1]) for r in two])
+    two = [(*r[:4], None if r[1] is None else len(r[1])) for r in brute.without_boilerplate(one, page=brute.near_groups([r[1] for r in one]))]
+    roots = brute.near_groups([r[1] for r in two])
     first = {}
     for r, root in zip(two, roots):
         if root not in first or (r[0] is None, r[0] or 0) < (first[root][0] is None, first[root][0] or 0):
