@@ -16,6 +16,7 @@ themselves are read again only for pieces on the stream.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -29,7 +30,7 @@ from callweave.session import cut
 
 CAPACITY = 2048
 END = 1
-MOST_WORDS = 400_000  # words a task remembers; it starts afresh beyond that
+MOST_WORDS = 400_000  # words a task remembers, and as many older ones that it may come back to
 
 _SIMPLE = re.compile("[!-~à-öø-ÿ]+")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+")
@@ -60,16 +61,24 @@ class WordIds(dict):
         rest = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MOST_WORDS:
+            self.older = dict(self)
             self.clear()
-        text = word.decode("utf-8")
-        if _SIMPLE.fullmatch(text) and not any(s in text for s in self.specials):
-            ids = [t.id for piece in _PIECE.findall(text.lower()) for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode("utf-8"))))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        self[word] = found = np.array(ids, dtype="<u4").tobytes()
+        found = self.older.get(word)
+        if found is None:
+            text = word.decode("utf-8")
+            if word.isalpha():  # ASCII letters: one piece of the pattern
+                ids = [t.id for t in self.model.tokenize(text.lower())]
+            elif _SIMPLE.fullmatch(text) and not ("<" in text and any(s in text for s in self.specials)):
+                ids = [t.id for piece in _PIECE.findall(text.lower()) for t in self.model.tokenize(
+                    piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode("utf-8"))))]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = found
         return found
 
 
