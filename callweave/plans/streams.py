@@ -14,12 +14,19 @@ from callweave.session import scratch
 from callweave.streaming import jobs as ST
 
 
-def in_two_runs(ws, df, job, parts: int = 4, files_per_batch: int | None = None, late=None):
-    """``job(stream, out, checkpoint)`` over half of the rows, then, started again, over the other half; what the second run returns."""
+def in_two_runs(ws, df, job, parts: int = 4, files_per_batch: int | None = None, late=None, closing: str | None = None):
+    """``job(stream, out, checkpoint)`` over half of the rows, then, started again, over the other half; what the last run returns.
+
+    With ``closing``, a time column, a third run reads one further row far in the future, which closes all that waits for the watermark.
+    """
     path, out, checkpoint = scratch(ws.spark, "in"), scratch(ws.spark, "out"), scratch(ws.spark, "checkpoint")
     late = F.pmod(F.xxhash64(df.columns[0]), F.lit(2)) == 1 if late is None else late
-    for half in (~late, late):
-        df.where(half).repartition(parts).write.mode("append").parquet(path)
+    runs = [df.where(~late).repartition(parts), df.where(late).repartition(parts)]
+    if closing:
+        end = df.agg((F.max(closing) + F.expr("interval 90 days")).cast(df.schema[closing].dataType).alias(closing))
+        runs.append(end.select(*[F.col(c) if c == closing else F.lit("" if t == "string" else None).cast(t).alias(c) for c, t in df.dtypes]))
+    for rows in runs:
+        rows.write.mode("append").parquet(path)
         result = job(ST.file_stream(ws.spark, path, df.schema, files_per_batch), out, checkpoint)
     return result
 
@@ -51,7 +58,9 @@ def st_assign(ws):
 
 @query("v_members", "select cluster_id, count(*) as n from v_members group by 1")
 def st_touched_fanout(ws):
-    return in_two_runs(ws, ws["v_members"].select("question_id", "cluster_id"), ST.touched_clusters, 4, 2).groupBy("cluster_id").agg(F.sum("n").alias("n"))
+    rows = in_two_runs(ws, ws["v_members"].select("question_id", "cluster_id", "assigned_at"), ST.touched_clusters,
+                       late=F.col("assigned_at") >= "2024-01-20", closing="assigned_at")
+    return rows.groupBy("cluster_id").agg(F.sum("n").alias("n"))
 
 
 @query("v_stage_events", """
@@ -61,20 +70,36 @@ def st_call_status(ws):
     return in_two_runs(ws, ws["v_stage_events"], ST.call_status, 4, 2).select("call_id", "status", "error")
 
 
-@query("v_stage_events", """
-d as (select date_trunc('day', ts) as day, count(*) as touched, count(*) filter (where status = 'failed') as churned from v_stage_events group by 1)
-select strftime(day, '%Y-%m-%d') as day, touched, churned from d""")
+LATE = "ts >= timestamp '2024-01-15 00:00:00' or cast(event_id as bigint) % 7 = 0"
+
+
+@query("v_stage_events", f"""
+m as (select max(ts) - interval 1 day as mark from v_stage_events where not ({LATE})),
+n as (select v.* from v_stage_events v, m where not ({LATE}) or date_trunc('day', ts) + interval 1 day > mark or mark is null)
+select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as touched, count(*) filter (where status = 'failed') as churned from n group by 1""")
 def st_daily_growth(ws):
-    rows = ws["v_stage_events"].select(F.col("ts").cast("timestamp").alias("ts"), (F.col("status") != "failed").alias("is_stable"))
-    job = lambda stream, out, checkpoint: ST.daily_counts(stream, out, checkpoint, flush=True)
-    return in_two_runs(ws, rows, job).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "touched", "churned")
+    """A seventh of the rows comes with the second run: those of days that the first run has closed no longer count."""
+    rows = ws["v_stage_events"].select(F.col("ts").cast("timestamp").alias("ts"), (F.col("status") != "failed").alias("is_stable"), "event_id")
+    return in_two_runs(ws, rows, ST.daily_counts, late=F.expr(LATE), closing="ts").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "touched", "churned")
 
 
-@query("v_stage_events", """
+CACHE = """
 select l.event_id as id, l.call_id as key, exists (
   select 1 from v_stage_events p where p.stage = 'embed' and p.call_id = l.call_id and p.ts < l.ts and p.ts > l.ts - interval 7 days) as hit
-from v_stage_events l where l.stage = 'extract'""")
+from v_stage_events l where l.stage = 'extract'"""
+
+
+@query("v_stage_events", CACHE)
 def st_ttl_cache(ws):
+    """As a stream in runs: a part of the rows comes up to half a day late, with the second run."""
+    rows = ws["v_stage_events"].where("stage in ('extract', 'embed')").select(
+        F.col("event_id").alias("id"), F.col("call_id").alias("key"), "ts", (F.col("stage") == "embed").alias("is_put"))
+    late = F.expr("ts >= timestamp '2024-01-15 12:00:00' or (ts >= timestamp '2024-01-15 00:00:00' and xxhash64(id) % 2 = 0)")
+    return in_two_runs(ws, rows, ST.cache_stream, late=late, closing="ts").where("key <> ''")
+
+
+@query("v_stage_events", CACHE)
+def st_ttl_cache_batch(ws):
     rows = ws["v_stage_events"].select(F.col("event_id").alias("id"), F.col("call_id").alias("key"), "ts", "stage")
     return ST.cache_hits(rows.where("stage = 'extract'"), rows.where("stage = 'embed'"))
 

@@ -1,27 +1,26 @@
 """Structured Streaming forms of ingest, assignment, status and growth jobs.
 
-Every job reads a file stream, runs until the available input is used up and
-keeps its progress in the ``checkpoint`` folder it is given; its results are under ``out``.
-Started again with the same two folders it goes on where it stopped and reads new
-files only.  Results of a micro-batch go to a folder named after the batch, written
-in overwrite mode, so a batch replayed after a failure leaves the same rows once.
+Every job reads a file stream, runs until the available input is used up and keeps its progress in the ``checkpoint`` folder it is
+given; its results are under ``out``.  Started again with the same two folders it goes on where it stopped and reads new files
+only.  Rows go to parquet sinks, whose log holds each batch once; what a job has to remember of a key is in the state store
+(``streaming.state``), and leaves it when the watermark says that it can't matter any more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import StructType
 
 from callweave import constants as C
 from callweave.functions.clean import trim_blank
 from callweave.operators.asof import asof
-from callweave.operators.merges import latest_per_key
 from callweave.operators.vectors import assign
-from callweave.session import cut
 from callweave.sources.readers import call_id_of, transcript_turns
+from callweave.streaming.state import ExpiringEntries, OpenWindows, with_state
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -31,37 +30,20 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return reader.parquet(path)
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Feed every available micro-batch to ``handle`` and wait for the end."""
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).foreachBatch(handle).start())
+def run_to_parquet(stream: DataFrame, out: str, checkpoint: str, partition_by: str | None = None) -> None:
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    query = (writer.partitionBy(partition_by) if partition_by else writer).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def run_to_parquet(stream: DataFrame, out: str, checkpoint: str) -> None:
-    query = (stream.writeStream.outputMode("append").format("parquet").option("path", out)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
-
-
-class BatchFolder:
-    """Rows merged batch by batch under ``path``; a batch that is replayed replaces its own rows.
-
-    For jobs that merge by key in ``foreachBatch``; plain appends use the parquet sink.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
-        self.spark, self.path = spark, path
-        self.schema = spark.createDataFrame([], schema).schema
-        spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
-
-    def put(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-
-    def rows(self, before: int | None = None) -> DataFrame:
-        kind = StructType([*self.schema.fields]).add("batch", LongType())
-        everything = self.spark.read.option("basePath", self.path).schema(kind).parquet(f"{self.path}/batch=*")
-        return (everything.where(F.col("batch") < before) if before is not None else everything).drop("batch")
+def written(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
+    """What a parquet sink holds so far; it may hold nothing yet."""
+    try:
+        return spark.read.schema(schema).parquet(out)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 # --- ingest ------------------------------------------------------------------------
@@ -71,48 +53,19 @@ def usable_key(key) -> F.Column:
     return F.when(F.length(text) <= C.IDEMPOTENCY_MAX_KEY, text)
 
 
-def first_requests(batch: DataFrame, seen: DataFrame, hours: int = C.IDEMPOTENCY_HOURS) -> DataFrame:
-    """Requests of a batch that open a new idempotency window; unkeyed ones always pass.
-
-    The first request of a (route, key) opens a window of ``hours``; repeats inside
-    it go.  Rounds are needed only when one batch spans several windows of a key.
-    """
-    life = F.make_dt_interval(F.lit(0), F.lit(hours))
-    keyed = cut(batch.withColumn("key", usable_key(F.col("key"))), "requests")
-    accepted = keyed.where("key is null")
-    opened = seen.select("route", "key", F.col("ts").alias("start"))
-    rest = keyed.where("key is not null")
-    while True:
-        # A window covers what comes from its start on; the earliest uncovered request opens the next one.
-        cover = opened.groupBy("route", "key").agg(F.max("start").alias("start"))
-        free = cut(rest.join(cover, ["route", "key"], "left").where(
-            F.col("start").isNull() | (F.col("ts") >= F.col("start") + life)).drop("start"), "open")
-        if free.isEmpty():
-            return accepted
-        first = free.groupBy("route", "key").agg(F.min_by(F.struct("request_id", "ts"), F.struct("ts", "request_id")).alias("f")).select(
-            "f.request_id", "route", "f.ts", "key")
-        first = cut(first, "first")
-        accepted = accepted.select("request_id", "route", "ts", "key").unionByName(first)
-        opened = first.select("route", "key", F.col("ts").alias("start"))
-        rest = free
-
-
 def dedupe_requests(stream: DataFrame, out: str, checkpoint: str, late_hours: int = C.IDEMPOTENCY_HOURS) -> DataFrame:
-    """First request per (route, key) within 24 hours, over all micro-batches and runs.
+    """First request per (route, key) within 24 hours, over all micro-batches and runs; requests without a usable key all pass.
 
-    A batch is compared with accepted requests of the last window only: those younger than the batch's oldest request less the
-    window.  Requests later than ``late_hours`` behind the batch before are compared with older ones no more.
+    The earliest request of a batch that no window covers opens one.  The store holds the start of a key's open window until the
+    watermark, ``late_hours`` behind the newest request, has passed its end.  Keyed requests that come later than that are not
+    taken (the query's progress counts them); how far apart they lie in the files of one batch makes no difference.
     """
-    kept = BatchFolder(stream.sparkSession, out, "request_id string, route string, ts timestamp_ntz, key string")
-    span = F.make_dt_interval(F.lit(0), F.lit(C.IDEMPOTENCY_HOURS + late_hours))
-
-    def handle(batch: DataFrame, number: int) -> None:
-        rows = cut(batch.select("request_id", "route", F.col("ts").cast("timestamp_ntz").alias("ts"), "key"), "batch")
-        oldest = rows.agg((F.min("ts") - span).alias("since")).scalar()
-        kept.put(first_requests(rows, kept.rows(before=number).where(F.col("key").isNotNull() & (F.col("ts") >= oldest))), number)
-
-    run_batches(stream, handle, checkpoint)
-    return kept.rows()
+    rows = stream.select("request_id", "route", F.col("ts").cast("timestamp").alias("ts"), usable_key(F.col("key")).alias("key"))
+    keyed = rows.where("key is not null").withWatermark("ts", f"{late_hours} hours")
+    accepted = with_state(keyed.groupBy("route", "key"), OpenWindows(C.IDEMPOTENCY_HOURS), "request_id string, route string, ts timestamp, key string")
+    found = rows.where("key is null").select("request_id", "route", "ts", "key").unionByName(accepted)
+    run_to_parquet(found, out, checkpoint)
+    return written(stream.sparkSession, out, found.schema)
 
 
 def dedupe_arrivals(stream: DataFrame) -> DataFrame:
@@ -134,69 +87,62 @@ def stream_transcripts(spark: SparkSession, path: str, out: str, checkpoint: str
 # --- clusters ------------------------------------------------------------------------
 def assign_stream(stream: DataFrame, clusters: Callable[[], DataFrame], out: str, checkpoint: str,
                   threshold: float = C.ASSIGN_THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members, deferred): new vectors assigned to the clusters as they are at each batch."""
+    """(members, deferred): new vectors assigned to the clusters as they are at each batch.
+
+    A batch fills its own partition of the table and overwrites it when it is run again.
+    """
     spark = stream.sparkSession
-    members = BatchFolder(spark, f"{out}/members", "question_id string, cluster_id string, similarity double")
-    deferred = BatchFolder(spark, f"{out}/deferred", "question_id string, similarity double")
+    schema = "question_id string, cluster_id string, similarity double, batch bigint"
 
     def handle(batch: DataFrame, number: int) -> None:
-        placed = cut(assign(batch.select("question_id", "vector"), clusters(), threshold), "placed")
-        members.put(placed.where("cluster_id is not null").select("question_id", "cluster_id", "similarity"), number)
-        deferred.put(placed.where("cluster_id is null").select("question_id", "similarity"), number)
-
-    run_batches(stream, handle, checkpoint)
-    return members.rows(), deferred.rows()
-
+        placed = assign(batch.select("question_id", "vector"), clusters(), threshold).select("question_id", "cluster_id", "similarity")
+        placed.withColumn("batch", F.lit(number).cast("bigint")).write.partitionBy("batch").mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").parquet(out)
 
-def touched_clusters(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Refresh requests: the clusters each batch of memberships touched (batch_id, cluster_id)."""
-    requests = BatchFolder(stream.sparkSession, out, "batch_id bigint, cluster_id string, n bigint")
+    query = (stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(handle).start())
+    query.awaitTermination()
+    rows = written(spark, out, spark.createDataFrame([], schema).schema).drop("batch")
+    return rows.where("cluster_id is not null"), rows.where("cluster_id is null").drop("cluster_id")
 
-    def handle(batch: DataFrame, number: int) -> None:
-        requests.put(batch.groupBy("cluster_id").agg(F.count("*").alias("n")).select(
-            F.lit(number).cast("bigint").alias("batch_id"), "cluster_id", "n"), number)
 
-    run_batches(stream, handle, checkpoint)
-    return requests.rows()
+def touched_clusters(stream: DataFrame, out: str, checkpoint: str, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Refresh requests: the clusters that memberships touched in each interval (start, cluster_id, n), once the watermark has closed it."""
+    spans = stream.withColumn("ts", F.col("assigned_at").cast("timestamp")).withWatermark("ts", late)
+    counts = spans.groupBy(F.window("ts", every).alias("w"), "cluster_id").agg(F.count("*").alias("n")).select(
+        F.col("w.start").alias("start"), "cluster_id", "n")
+    run_to_parquet(counts, out, checkpoint)
+    return written(stream.sparkSession, out, counts.schema)
 
 
 # --- status and growth ------------------------------------------------------------------
 def call_status(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Current status per call from an event stream, safe against late and shuffled events.
 
-    No state is kept in the stream: each batch folds its own events to one row per call and appends them; reading keeps the
-    newest row per call.
+    The state store is the table: it holds the newest event of every call and nothing else, and is read back from the checkpoint.  ``out``
+    is not used, as no log of changes is kept.
     """
-    kind = "call_id string, ts timestamp_ntz, event_id string, status string, error string"
-    changes = BatchFolder(stream.sparkSession, out, kind)
-
-    def handle(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy("call_id").agg(F.max(F.struct("ts", "event_id", "status", "error")).alias("s"))
-        changes.put(newest.select(F.col("call_id").cast("string").alias("call_id"), F.col("s.ts").cast("timestamp_ntz").alias("ts"),
-                                  F.col("s.event_id").cast("string").alias("event_id"), "s.status", "s.error"), number)
-
-    run_batches(stream, handle, checkpoint)
-    return latest_per_key(changes.rows(), ["call_id"], ["ts", "event_id"])
+    spark = stream.sparkSession
+    events = stream.withColumn("call_id", F.col("call_id").cast("string"))
+    newest = events.groupBy("call_id").agg(F.max(F.struct(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("event_id"), "status", "error")).alias("s"))
+    query = (newest.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    held = spark.read.format("statestore").load(checkpoint)
+    (newest_event,) = held.schema["value"].dataType.fieldNames()
+    return held.select(F.col("key").getField("call_id").alias("call_id"), F.col("value").getField(newest_event).alias("s")).select("call_id", "s.*")
 
 
-def daily_counts(stream: DataFrame, out: str, checkpoint: str, flush: bool = False) -> DataFrame:
-    """Touched and churned counts per day, one row per day.
+def daily_counts(stream: DataFrame, out: str, checkpoint: str, late: str = "1 day") -> DataFrame:
+    """Touched and churned counts per day, one row per day, written once the day is closed.
 
-    Each batch appends its own counts per day, which are summed on reading, so late events count whenever they come.
-    Days that may still change (younger than a day before the newest) are left out unless ``flush`` says that the input is complete.
+    A day closes when the watermark, ``late`` behind the newest row of the batches before, has passed its end; rows of closed days that
+    come after that no longer count.
     """
-    parts = BatchFolder(stream.sparkSession, out, "day timestamp, touched bigint, churned bigint, newest timestamp")
-
-    def handle(batch: DataFrame, number: int) -> None:
-        parts.put(batch.groupBy(F.date_trunc("day", "ts").alias("day")).agg(
-            F.count("*").alias("touched"), F.count_if(~F.col("is_stable")).alias("churned"), F.max("ts").alias("newest")), number)
-
-    run_batches(stream, handle, checkpoint)
-    days = parts.rows().groupBy("day").agg(F.sum("touched").alias("touched"), F.sum("churned").alias("churned"))
-    if flush:
-        return days
-    newest = parts.rows().agg(F.max("newest")).scalar()
-    return days.where(F.col("day") + F.expr("interval 1 day") <= newest - F.expr("interval 1 day"))
+    days = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w")).agg(
+        F.count("*").alias("touched"), F.count_if(~F.col("is_stable")).alias("churned")).select(F.col("w.start").alias("day"), "touched", "churned")
+    run_to_parquet(days, out, checkpoint)
+    return written(stream.sparkSession, out, days.schema)
 
 
 def cache_hits(lookups: DataFrame, puts: DataFrame, days: int = C.CACHE_TTL_DAYS) -> DataFrame:
@@ -207,6 +153,17 @@ def cache_hits(lookups: DataFrame, puts: DataFrame, days: int = C.CACHE_TTL_DAYS
     return found.select(F.col("tie").alias("id"), "key", F.coalesce(alive, F.lit(False)).alias("hit"))
 
 
+def cache_stream(stream: DataFrame, out: str, checkpoint: str, days: int = C.CACHE_TTL_DAYS, late: str = "1 day") -> DataFrame:
+    """Stream form of ``cache_hits`` over rows (key, ts, id, is_put): each lookup is answered once the watermark has passed it.
+
+    The store holds a key's newest entry until it expires, and the rows that wait for the watermark; rows later than ``late`` are not taken.
+    """
+    timed = stream.select("key", F.col("ts").cast("timestamp").alias("ts"), "id", "is_put").withWatermark("ts", late)
+    answers = with_state(timed.groupBy("key"), ExpiringEntries(days), "id string, key string, hit boolean")
+    run_to_parquet(answers, out, checkpoint)
+    return written(stream.sparkSession, out, answers.schema)
+
+
 TRANSIENT = r"(?i)timeout|connection|rate.?limit|operationalerror|transport"
 
 
@@ -215,14 +172,9 @@ def error_class(error) -> F.Column:
 
 
 def dead_letters(stream: DataFrame, out: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
-    """(good, dead): failed rows go aside with their error and its class, good rows go on."""
-    spark = stream.sparkSession
-    good = BatchFolder(spark, f"{out}/good", stream.schema)
-    dead = BatchFolder(spark, f"{out}/dead", StructType(stream.schema.fields).add("error_class", StringType()))
-
-    def handle(batch: DataFrame, number: int) -> None:
-        good.put(batch.where("error is null"), number)
-        dead.put(batch.where("error is not null").withColumn("error_class", error_class(F.col("error"))), number)
-
-    run_batches(stream, handle, checkpoint)
-    return good.rows(), dead.rows()
+    """(good, dead): failed rows go aside with their error and its class, good rows go on.  One sink, a folder per outcome."""
+    outcome = F.when(F.col("error").isNull(), F.lit("good")).otherwise(error_class(F.col("error")))
+    marked = stream.withColumn("error_class", outcome)
+    run_to_parquet(marked, out, checkpoint, "error_class")
+    rows = written(stream.sparkSession, out, marked.schema)
+    return rows.where("error_class = 'good'").drop("error_class"), rows.where("error_class <> 'good'")

@@ -75,16 +75,71 @@ def test_requests_are_remembered_between_runs(spark, tmp_path):
     assert run([("c", "in", datetime(2024, 1, 1, 23), "k"), ("d", "in", datetime(2024, 1, 2, 1), "k")]) == ["a", "d"]
 
 
-def test_days_are_held_back_until_flushed(spark, tmp_path):
-    source = str(tmp_path / "in")
-    rows = [(datetime(2024, 1, day, 12), day % 2 == 0) for day in (1, 1, 2, 4)]
-    frame = spark.createDataFrame(rows, "ts timestamp, is_stable boolean")
-    frame.write.parquet(source)
-    stream = ST.file_stream(spark, source, frame.schema)
-    held = ST.daily_counts(stream, str(tmp_path / "out"), str(tmp_path / "check"))
-    assert sorted((r.day.day, r.touched, r.churned) for r in held.collect()) == [(1, 2, 2), (2, 1, 0)]
-    every = ST.daily_counts(ST.file_stream(spark, source, frame.schema), str(tmp_path / "out"), str(tmp_path / "check"), flush=True)
-    assert sorted(r.day.day for r in every.collect()) == [1, 2, 4]
+def feed(spark, source, rows, kind):
+    spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+    return ST.file_stream(spark, source, spark.createDataFrame([], kind).schema)
+
+
+def test_windows_leave_the_store(spark, tmp_path):
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    kind = "request_id string, route string, ts timestamp_ntz, key string"
+
+    def run(*rows):
+        return sorted(r.request_id for r in ST.dedupe_requests(feed(spark, source, rows, kind), out, check, late_hours=2).collect())
+
+    assert run(("b", "in", datetime(2024, 1, 1, 2), "k"), ("a", "in", datetime(2024, 1, 1, 2), " k "), ("c", "in", datetime(2024, 1, 1, 3), " "),
+               ("d", "in", datetime(2024, 1, 3, 1, 59), "k"), ("e", "in", datetime(2024, 1, 3, 1), "k"), ("f", "out", datetime(2024, 1, 1, 2), "k")) == ["a", "c", "e", "f"]
+    held = spark.read.format("statestore").option("stateVarName", "start").load(check)
+    assert {r.key.route for r in held.collect()} == {"in"}  # the window of "out" is over and gone
+    # Late within the bound: covered.  Later than the bound: not taken.  No key: always passes.
+    assert run(("g", "in", datetime(2024, 1, 3, 0, 30), "k"), ("h", "in", datetime(2024, 1, 2), "z"), ("i", "in", datetime(2024, 1, 1), None)) == ["a", "c", "e", "f", "i"]
+    assert run(("j", "in", datetime(2024, 1, 4, 1), "k")) == ["a", "c", "e", "f", "i", "j"]
+
+
+def test_late_rows_of_closed_days_no_longer_count(spark, tmp_path):
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    kind = "ts timestamp, is_stable boolean"
+
+    def run(*days):
+        rows = [(datetime(2024, 1, day, 12), day % 2 == 0) for day in days]
+        return sorted((r.day.day, r.touched, r.churned) for r in ST.daily_counts(feed(spark, source, rows, kind), out, check).collect())
+
+    assert run(1, 1, 2, 4) == [(1, 2, 2), (2, 1, 0)]  # the 3rd at noon is the mark
+    assert run(3, 2, 4, 4) == [(1, 2, 2), (2, 1, 0)]  # the 2nd is closed
+    files = len(list(Path(out).glob("*.parquet")))
+    assert run(7) == [(1, 2, 2), (2, 1, 0), (3, 1, 1), (4, 3, 0)]
+    assert len(list(Path(out).glob("*.parquet"))) > files
+
+
+def test_cache_entries_expire(spark, tmp_path):
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    kind = "key string, ts timestamp, id string, is_put boolean"
+    day = lambda n, hour=0: datetime(2024, 1, n, hour)
+
+    def run(*rows):
+        return {r.id: r.hit for r in ST.cache_stream(feed(spark, source, rows, kind), out, check, days=7).collect()}
+
+    def held(name):
+        return {r.key.key for r in spark.read.format("statestore").option("stateVarName", name).load(check).collect()}
+
+    # Arrival order is not event order; an equal time is no hit.
+    assert run(("a", day(3), "a3", False), ("a", day(1), "pa", True), ("a", day(1), "a1", False), ("b", day(2), "pb", True), ("b", day(3, 6), "b3", False),
+               ("c", day(4, 1), "tick", True)) == {"a1": False, "a3": True}
+    assert held("entry") == {"a", "b"}
+    assert run(("b", day(3, 2), "b2", False), ("a", day(8), "a8", False), ("a", day(7, 23), "a7", False)) == {"a1": False, "a3": True, "b2": True, "b3": True}
+    assert run(("c", day(30), "tock", True)) == {"a1": False, "a3": True, "b2": True, "b3": True, "a7": True, "a8": False}
+    assert held("entry") == set()  # the last entry itself still waits for the mark
+
+
+def test_status_is_the_store(spark, tmp_path):
+    source, check = str(tmp_path / "in"), str(tmp_path / "check")
+    kind = "call_id string, ts timestamp, event_id string, status string, error string"
+
+    def run(*rows):
+        return {r.call_id: r.status for r in ST.call_status(feed(spark, source, rows, kind), "", check).collect()}
+
+    assert run(("1", datetime(2024, 1, 2), "e2", "done", None), ("1", datetime(2024, 1, 1), "e1", "queued", None), ("2", None, "e0", "new", "x")) == {"1": "done", "2": "new"}
+    assert run(("1", datetime(2024, 1, 1, 5), "e3", "running", None), ("3", datetime(2024, 1, 1), "e4", "new", None)) == {"1": "done", "2": "new", "3": "new"}
 
 
 def test_bad_json_neither_stops_nor_erases(spark):
