@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from callweave import constants as C
 from callweave.functions import kernels
+from callweave.operators import cover as CV
 from callweave.operators.vectors import BLOCK_ROWS, block_product
 from callweave.session import cut
 
@@ -25,8 +26,23 @@ def _close(a, b, similarity: float) -> np.ndarray:
     return np.round(a[1] @ b[1].T, 9) >= similarity
 
 
+def _in_reach(vectors: DataFrame, similarity: float, group: str | None) -> tuple[DataFrame, DataFrame, str]:
+    """Left and right side of a product of a table with itself, and the column that says which rows meet.
+
+    Without a group of its own a row goes to the cells that may hold one within the radius.
+    """
+    if group is not None:
+        return vectors, vectors, group
+    vectors = vectors.select("id", F.col("v").cast("array<double>").alias("v"))
+    over = CV.cover(vectors)
+    rows = CV.placed(vectors, over)
+    stats = CV.cell_stats(rows, over)
+    return rows, CV.sent(rows, CV.reach_within(over, stats, stats, float(np.arccos(np.clip(similarity, -1, 1))))), "cell"
+
+
 def neighbour_counts(vectors: DataFrame, similarity: float, block_rows: int = BLOCK_ROWS, group: str | None = None) -> DataFrame:
     """(id, n): vectors within the radius of each vector, itself included; with ``group`` only those of its group."""
+    left, right, group = _in_reach(vectors, similarity, group)
 
     def add(n, a, b):
         more = _close(a, b, similarity).sum(axis=1)
@@ -35,7 +51,7 @@ def neighbour_counts(vectors: DataFrame, similarity: float, block_rows: int = BL
     def total(n, a):
         return None if n is None else pa.RecordBatch.from_arrays([pa.array(a[0], pa.string()), pa.array(n, pa.int64())], names=["id", "n"])
 
-    return block_product(vectors, vectors, block_rows, add, total, "id string, n bigint", group=group)
+    return block_product(left, right, block_rows, add, total, "id string, n bigint", group=group)
 
 
 def close_edges(vectors: DataFrame, similarity: float, block_rows: int = BLOCK_ROWS, group: str | None = None) -> DataFrame:
@@ -44,13 +60,14 @@ def close_edges(vectors: DataFrame, similarity: float, block_rows: int = BLOCK_R
     Every batch returns a spanning forest of its part only, so a dense group
     of any size costs a linear number of edges, never all its pairs.
     """
+    left, right, group = _in_reach(vectors, similarity, group)
 
     def forest(state, a, b):
         rows, cols = kernels.spanning_forest(_close(a, b, similarity))
-        left, right = np.asarray(a[0], dtype=object)[rows], np.asarray(b[0], dtype=object)[cols]
-        return state, pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
+        ends = np.asarray(a[0], dtype=object)[rows], np.asarray(b[0], dtype=object)[cols]
+        return state, pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in ends], names=["a", "b"])
 
-    edges = block_product(vectors, vectors, block_rows, forest, lambda state, a: None, "a string, b string", group=group)
+    edges = block_product(left, right, block_rows, forest, lambda state, a: None, "a string, b string", group=group)
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +15,8 @@ from pyspark.sql import Window as W
 from callweave import constants as C
 from callweave.functions import kernels
 from callweave.functions import vec as V
+from callweave.operators import cover as CV
+from callweave.session import cut
 
 BLOCK_ROWS = 1024  # left rows a task holds at a time
 
@@ -47,9 +48,25 @@ def _side(df: DataFrame, ident: str, vector: str) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, *, left_id="question_id", left_vector="vector",
-            right_id="question_id", right_vector="vector", skip_self=False, unit=True, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact ``k`` nearest right rows of every left row by cosine (dot product if not ``unit``)."""
+            right_id="question_id", right_vector="vector", skip_self=False, unit=True, block_rows: int = BLOCK_ROWS,
+            pruned: bool = False) -> DataFrame:
+    """Exact ``k`` nearest right rows of every left row by cosine (dot product if not ``unit``).
+
+    With ``pruned`` both sides are laid out in cells first and a right row goes only to the cells where it can be among the nearest:
+    for two large tables.  Without, it goes to every block of left rows: for a short right side such as centroids.
+    """
     lhs, rhs = _side(left, left_id, left_vector), _side(right, right_id, right_vector)
+    group = None
+    if pruned and unit:
+        over = CV.cover(rhs)
+        lhs, rhs = CV.placed(lhs, over), CV.placed(rhs, over)
+        rhs = CV.sent(rhs, CV.reach_of_nearest(over, CV.cell_stats(lhs, over), CV.cell_stats(rhs, over), k + skip_self))
+        group = "cell"
+    return _top_k(lhs, rhs, k, block_rows, skip_self, unit, group)
+
+
+def _top_k(lhs: DataFrame, rhs: DataFrame, k: int, block_rows: int, skip_self: bool, unit: bool, group: str | None) -> DataFrame:
+    """The best ``k`` right rows of each left row (id, v), within each group where one is given."""
 
     def best(kept, block, batch):
         rows, cols, _ = kernels.top_k(_scores(block[1], batch[1], block[0], batch[0], skip_self), k)
@@ -69,7 +86,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, *, left_id="question_id",
             [pa.array(np.asarray(block[0], dtype=object)[rows], pa.string()), pa.array(ids, pa.string()), pa.array(scores, pa.float64()),
              pa.array(np.arange(len(rows)) - np.searchsorted(rows, rows) + 1, pa.int64())], names=["left_id", "right_id", "score", "position"])
 
-    return block_product(lhs, rhs, block_rows, best, answer, NEAREST, unit)
+    return block_product(lhs, rhs, block_rows, best, answer, NEAREST, unit, group)
 
 
 def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, step, end, schema: str, unit=True, group: str | None = None) -> DataFrame:
@@ -96,26 +113,25 @@ def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, step, end, sc
             return [i for ids, _ in parts for i in ids], np.concatenate([m for _, m in parts])
 
         for batch in batches:
-            rows = list(zip(batch.column("g").to_pylist(), batch.column("block").to_pylist(), batch.column("side").to_pylist()))
-            first = 0
-            while first < len(rows):
-                last = first
-                while last < len(rows) and rows[last] == rows[first]:
-                    last += 1
+            if not batch.num_rows:
+                continue
+            marks = [batch.column("g").dictionary_encode().indices.to_numpy(), batch.column("block").to_numpy(), batch.column("side").to_numpy()]
+            edges = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+            for first, last in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
                 part = batch.slice(first, last - first)
+                own = (part.column("g")[0].as_py(), int(marks[1][first]))
                 side = (part.column("id").to_pylist(), kernels.matrix(part.column("v"), unit))
-                if rows[first][:2] != key:
+                if own != key:
                     if block is not None:
                         yield from filter(None.__ne__, [end(state, block)])
-                    key, block, held, state = rows[first][:2], None, [], None
-                if rows[first][2] == 0:
+                    key, block, held, state = own, None, [], None
+                if marks[2][first] == 0:
                     held.append(side)
                 elif held:
                     block = side_of(held) if block is None else block
                     state, out = step(state, block, side)
                     if out is not None:
                         yield out
-                first = last
         if block is not None:
             yield from filter(None.__ne__, [end(state, block)])
 
@@ -235,39 +251,97 @@ def silhouette(vectors: DataFrame, label: str) -> DataFrame:
 
 
 # --- approximate search --------------------------------------------------------------------
-def build_ivf(vectors: DataFrame, path: str, lists: int, seed: int = 7) -> DataFrame:
-    """Write vectors partitioned by coarse list; returns the list centres (id, centre)."""
+def build_ivf(vectors: DataFrame, path: str, lists: int, seed: int = 7, part_rows: int = 65536) -> DataFrame:
+    """Write vectors partitioned by coarse list; returns the list centres (id, centre, parts).
+
+    A long list is dealt into parts of about ``part_rows``, so that a list with a third of all rows is many groups when it is searched.
+    """
     from pyspark.ml.clustering import KMeans
 
     data = vectors.withColumn("features", array_to_vector(V.unit(F.col("vector"))))
     model = KMeans(k=lists, seed=seed, featuresCol="features", predictionCol="list", distanceMeasure="cosine", maxIter=10).fit(data)
-    model.transform(data).drop("features").write.partitionBy("list").mode("errorifexists").parquet(path)
-    centres = [(str(i), [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return vectors.sparkSession.createDataFrame(centres, "id string, centre array<double>")
-
-
-def search_ivf(path: str, queries: DataFrame, centres: DataFrame, k: int, probes: int) -> DataFrame:
-    """Approximate top ``k`` per query: probe the nearest lists only, exact cosine inside them."""
-    stored = queries.sparkSession.read.parquet(path)
-    probed = nearest(queries, centres, probes, right_id="id", right_vector="centre").select(
-        F.col("left_id").alias("query_id"), F.col("right_id").cast("int").alias("list"))
-    wanted = queries.select(F.col("question_id").alias("query_id"), F.col("vector").alias("query_vector")).join(probed, "query_id")
-    pairs = stored.join(wanted, "list").where(F.col("question_id") != F.col("query_id")).select(
-        "query_id", "question_id", F.round(V.cosine(F.col("vector"), F.col("query_vector")), 9).alias("score"))
+    listed = model.transform(data).drop("features")
+    parts = {r["list"]: -(-r["n"] // part_rows) for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list
+    number = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(parts.items()) for x in pair]), F.col("list")) if parts else F.lit(1)
+    listed.withColumn("part", F.pmod(F.xxhash64("question_id"), number)).write.partitionBy("list").mode("errorifexists").parquet(path)
+    centres = [(str(i), [float(x) for x in c], int(parts.get(i, 0))) for i, c in enumerate(model.clusterCenters())]
+    return vectors.sparkSession.createDataFrame(centres, "id string, centre array<double>, parts bigint")
+
+
+def search_ivf(path: str, queries: DataFrame, centres: DataFrame, k: int, probes: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Approximate top ``k`` per query: probe the nearest lists only, exact cosine inside them.
+
+    Only the folders of probed lists are read (there are as many as the index has lists), and the queries of a list meet its parts as
+    block products.
+    """
+    spark = queries.sparkSession
+    side = _side(queries, "question_id", "vector")
+    probed = nearest(queries, centres.where("parts > 0"), probes, right_id="id", right_vector="centre").select(
+        F.col("left_id").alias("id"), F.col("right_id").alias("list"))
+    probed = cut(probed.join(centres.select(F.col("id").alias("list"), "parts"), "list"), "probes")
+    folders = [int(r["list"]) for r in probed.select("list").distinct().collect()]
+    stored = spark.read.parquet(path).where(F.col("list").isin(folders))
+    left = probed.join(side, "id").select("id", "v", "list", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    left = left.select("id", "v", F.concat_ws("/", "list", "part").alias("list"))
+    right = stored.select(F.col("question_id").alias("id"), F.col("vector").cast("array<double>").alias("v"), F.concat_ws("/", "list", "part").alias("list"))
+    return _first(_top_k(left, right, k, block_rows, True, True, "list"), k)
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, question_id, score, position): the best ``k`` of what several groups found, each row once."""
+    once = found.groupBy(F.col("left_id").alias("query_id"), F.col("right_id").alias("question_id")).agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("question_id"))
-    return pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    return once.withColumn("position", F.row_number().over(order).cast("bigint")).where(F.col("position") <= k)
 
 
-def search_lsh(vectors: DataFrame, query: list[float], k: int, seed: int = 7) -> DataFrame:
-    """Approximate top ``k`` of one query by random projection buckets on unit vectors."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.linalg import Vectors
+def _signs(rows: DataFrame, planes: np.ndarray, flips: int) -> DataFrame:
+    """(id, v, bucket): the bucket of a row in each table, and those that differ in one of its ``flips`` least certain bits."""
+    tables, bits, _ = planes.shape
 
-    data = vectors.withColumn("features", array_to_vector(V.unit(F.col("vector"))))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.5, numHashTables=6, seed=seed).fit(data)
-    length = math.sqrt(sum(x * x for x in query)) or 1.0
-    found = model.approxNearestNeighbors(data, Vectors.dense([x / length for x in query]), k, distCol="distance")
-    return found.select("question_id", (1.0 - F.col("distance") * F.col("distance") / 2).alias("score"))
+    def run(batches):
+        weight = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = kernels.matrix(batch.column("v"))
+            for t in range(tables):
+                margin = m @ planes[t].T
+                home = (margin >= 0) @ weight
+                near = np.argsort(np.abs(margin), axis=1)[:, :flips]
+                buckets = np.concatenate([home[:, None], home[:, None] ^ weight[near]], axis=1)
+                names = [f"{t}/{b}" for b in buckets.ravel().tolist()]
+                again = pa.array(np.repeat(np.arange(len(m)), buckets.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(again), batch.column("v").take(again), pa.array(names)], names=["id", "v", "bucket"])
+
+    return rows.mapInArrow(run, "id string, v array<double>, bucket string")
+
+
+def search_lsh(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 12, bits: int = 8, flips: int = 4, seed: int = 7,
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Approximate top ``k`` of many queries at once: tables of random sign projections, joined on (table, bucket).
+
+    A query also looks into the buckets across its least certain signs.  Queries that find fewer than ``k`` rows that way are searched
+    exactly, so every query has ``k`` rows where there are as many.
+    """
+    stored, asked = _side(vectors, "question_id", "vector"), _side(queries, "question_id", "vector")
+    size = asked.select(F.max(F.size("v"))).first()[0] or 1
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, size))
+    probes = cut(_signs(asked, planes, flips), "probes")
+    wanted = probes.select("bucket").distinct()
+    inside = _signs(stored, planes, 0).join(wanted, "bucket", "left_semi")
+    found = cut(_first(_top_k(probes, inside, k, block_rows, True, True, "bucket"), k), "found")
+    full = found.where(F.col("position") == k).select(F.col("query_id").alias("question_id"))
+    rest = nearest(queries.select("question_id", "vector").join(full, "question_id", "left_anti"), vectors, k, skip_self=True)
+    return found.join(full.withColumnRenamed("question_id", "query_id"), "query_id", "left_semi").unionByName(rest.select(
+        F.col("left_id").alias("query_id"), F.col("right_id").alias("question_id"), "score", "position"))
+
+
+def recalled(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """``found`` with ``recall``: the share of the exact neighbours (left_id, right_id) of all queries that it holds."""
+    hits = exact.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("question_id")).join(
+        found.select("query_id", "question_id", F.lit(1).alias("hit")), ["query_id", "question_id"], "left")
+    share = hits.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall")).scalar()
+    return found.withColumn("recall", share)
 
 
 # --- embedding -----------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callweave.operators import aggregates as A
+from callweave.operators import cover as CV
 from callweave.operators import density as D
 from callweave.operators import feedback as FB
 from callweave.operators import merges as M
@@ -157,11 +158,37 @@ def test_ivf_recall(spark):
     assert got.intersect(exact).count() / exact.count() >= 0.9
 
 
-def test_lsh_finds_itself_first(spark):
-    rng = np.random.default_rng(10)
-    m = planted(rng, [40, 40], spread=0.2)
-    got = VX.search_lsh(table(spark, m), [float(x) for x in m[3]], 5).orderBy(F.desc("score")).collect()
-    assert got[0].question_id == "0003" and abs(got[0].score - 1) < 1e-9
+def exact_hits(m, found, k):
+    """Share of the exact ``k`` neighbours that ``found`` rows (query_id, question_id) hold."""
+    m = m / np.clip(np.linalg.norm(m, axis=1, keepdims=True), 1e-12, None)
+    scores = np.round(m @ m.T, 9)
+    np.fill_diagonal(scores, -9)
+    asked = {r.query_id for r in found}
+    wanted = {(q, f"{j:04d}") for q in asked for j in np.lexsort((np.arange(len(m)), -scores[int(q)]))[:k]}
+    return len(wanted & {(r.query_id, r.question_id) for r in found}) / len(wanted)
+
+
+def test_lists_are_dealt_into_parts(spark):
+    m = planted(np.random.default_rng(8), [60, 300, 40, 50], spread=0.2)
+    data = table(spark, m)
+    path = scratch(spark, "ivf-parts")
+    centres = VX.build_ivf(data, path, lists=5, part_rows=32)
+    assert max(r.parts for r in centres.collect()) > 4
+    exact = VX.search_ivf(path, data, centres, k=6, probes=5, block_rows=16).collect()
+    assert exact_hits(m, exact, 6) == 1 and len(exact) == 6 * len(m)
+    some = VX.search_ivf(path, data.where("question_id < '0100'"), centres, k=6, probes=2).collect()
+    assert exact_hits(m, some, 6) >= 0.9
+
+
+def test_lsh_answers_every_query_in_full(spark):
+    m = np.vstack([planted(np.random.default_rng(9), [80, 200, 60], spread=0.15), np.eye(8)[:3], np.zeros((1, 8)), np.ones((30, 8))])
+    data = table(spark, m)
+    found = VX.search_lsh(data, data, 5, block_rows=32).collect()
+    assert len(found) == 5 * len(m) and {r.position for r in found} == {1, 2, 3, 4, 5}
+    assert exact_hits(m, [r for r in found if int(r.query_id) < 340], 5) >= 0.9
+    three = table(spark, m[:3])
+    few = VX.search_lsh(three, three, 5).collect()
+    assert len(few) == 6 and VX.search_lsh(data.limit(0), data, 5).count() == 0
 
 
 # --- state -------------------------------------------------------------------------
@@ -311,3 +338,53 @@ def test_native_dedupe_keeps_one_per_key(spark):
     ST.run_to_parquet(ST.dedupe_arrivals(stream_of(spark, df)), out, scratch(spark, "dedupe-check"))
     got = spark.read.parquet(out)
     assert got.where("key is null").count() == 8 and got.where("key is not null").count() == 4
+
+
+def clustered(n, dim=12, centres=20, seed=3):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dim)) * 3
+    rows = middle[rng.integers(0, centres, n)] + rng.normal(size=(n, dim)) * 0.25
+    rows[5], rows[6], rows[n // 2] = rows[4], 2 * rows[4], 0.0  # ties, and a vector without direction
+    return [(f"v{k:05d}", [float(x) for x in r]) for k, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("skip_self", [True, False])
+def test_pruned_neighbours_are_the_nearest(spark, skip_self):
+    left = spark.createDataFrame(clustered(400) + [("far", [1.0] + [0.0] * 11)], "question_id string, vector array<double>").repartition(3)
+    right = spark.createDataFrame(clustered(700), "question_id string, vector array<double>").repartition(4)
+    wanted = VX.nearest(left, right, 5, skip_self=skip_self)
+    got = VX.nearest(left, right, 5, skip_self=skip_self, pruned=True, block_rows=50)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+    assert VX.nearest(left, right.limit(0), 5, pruned=True).count() == 0 and VX.nearest(left.limit(0), right, 5, pruned=True).count() == 0
+
+
+def test_pruned_neighbours_move_few_rows(spark):
+    moved, scored = {}, {}
+    for n in (500, 2000):
+        df = spark.createDataFrame(clustered(n), "id string, v array<double>")
+        over = CV.cover(df)
+        side = CV.placed(df, over)
+        stats = CV.cell_stats(side, over)
+        rows = CV.sent(side, CV.reach_of_nearest(over, stats, stats, 4))
+        moved[n] = rows.count()
+        scored[n] = rows.join(side.groupBy("cell").count(), "cell").agg({"count": "sum"}).first()[0]
+    assert all(scored[n] < 0.1 * n**2 for n in scored) and moved[2000] < 12 * moved[500], (moved, scored)
+
+
+def test_density_clusters_by_cells(spark):
+    rows = clustered(600)
+    df = spark.createDataFrame(rows, "question_id string, vector array<double>")
+    got = {r.question_id: r.cluster for r in D.density_cluster(df, 0.97, 8, 4).collect()}
+    m = np.array([v for _, v in rows])
+    m = m / np.clip(np.linalg.norm(m, axis=1, keepdims=True), 1e-12, None)
+    close = np.round(m @ m.T, 9) >= 0.97
+    core = close.sum(axis=1) >= 4
+    root = np.arange(len(m))
+    for _ in range(len(m)):
+        low = np.array([min(root[np.flatnonzero(close[k] & core)]) if core[k] else k for k in range(len(m))])
+        if (low == root).all():
+            break
+        root = low
+    sizes = np.bincount(root[core], minlength=len(m))
+    wanted = {rows[k][0]: rows[root[k]][0] if core[k] and sizes[root[k]] >= 8 else "-1" for k in range(len(m))}
+    assert got == wanted and len(set(wanted.values())) > 5
