@@ -96,13 +96,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, most: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """At most ``most`` labelled rows per language, those of the smallest id hashes, outside the held-out fold."""
+    """At most ``most`` labelled rows per language, those of the smallest hashes of id and text, outside the held-out fold."""
     open_rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counts = open_rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # the labels of the model, one row each
+    own = F.xxhash64("doc_id", "text")
+    counts = open_rows.groupBy("lang").agg(F.approx_count_distinct(own).alias("n")).collect()  # the labels of the model, one row each
     if not counts:
         return open_rows.selectExpr("lang", "text", "0 as place")
-    dice = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    # A first cut by the hash leaves about twice the rows wanted, however large a language is; then the exact rank.
+    dice = F.pmod(own, F.lit(1 << 40)) / float(1 << 40)
+    # A first cut by the hash leaves about twice the different rows wanted, however large a language is; then the exact rank.
     share = F.create_map(*[F.lit(x) for row in counts for x in (row.lang, row.n)])[F.col("lang")]
     near = open_rows.withColumn("_dice", dice).where(F.col("_dice") * share < 2 * most + 100)
     near = near.selectExpr("lang", "text", "row_number() over (partition by lang order by _dice, doc_id, text) as place")
