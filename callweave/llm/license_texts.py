@@ -75,5 +75,6 @@ EQUAL_WORDS = [
 ]
 EQUAL_PHRASES = [("non infringement", "noninfringement"), ("sub license", "sublicense"), ("copyright owner", "copyright holder"),
                  ("and or", "andor"), ("per cent", "percent")]
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*"
+# A year or a sign makes it a copyright line; a wrapped sentence may begin with the word too.
+COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b[^\n]*[0-9]{4}|copyright[ \t]*(?:\(c\)|©|[\[<{])|\(c\)|©)[^\n]*"
 NOT_A_WORD = r"[^\p{L}\p{N}]+"

@@ -1,6 +1,8 @@
 """Each corpus operator against its plain version, over odd rows, and on empty tables."""
 
 import random
+import textwrap
+import zlib
 from collections import Counter
 
 import brute
@@ -271,3 +273,21 @@ def test_empty_tables(spark):
         assert got.collect() == []
     some = brute.frame(spark, brute.rows()[:3])
     assert {r.n_items for r in decontaminate.verdicts(some, items).collect()} == {0}
+
+
+def test_languages_with_few_ids_are_learned(spark):
+    open_ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 3 != 1]
+    rows = [(open_ids[0], f"the cat and the dog {k}", "en") for k in range(2000)] + [(open_ids[1], f"le chat et le chien {k}", "fr") for k in range(2000)]
+    rows += [(open_ids[2], "der hund und die katze", "de")] * 3000
+    picked = language_id.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = Counter(r.lang for r in picked.collect())
+    assert set(found) == {"en", "fr", "de"} and max(found.values()) <= language_id.ROWS_PER_LANGUAGE and min(found.values()) > 200
+
+
+@pytest.mark.parametrize("width", range(40, 110, 7))
+def test_wrapped_licences_are_known(spark, width):
+    texts = ["\n\n".join(textwrap.fill(part, width) for part in text.split("\n\n")) for text in (MIT, BSD_START + " " + BSD_END)]
+    whole = [MIT, BSD_START + " " + BSD_END]
+    df = spark.createDataFrame(list(enumerate(texts + whole)), "doc_id long, text string")
+    got = {r.doc_id: r.c for r in df.select("doc_id", license_scan.canonical(F.col("text")).alias("c")).collect()}
+    assert got[0] == got[2] and got[1] == got[3]
