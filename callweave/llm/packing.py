@@ -155,7 +155,8 @@ def packed(docs: DataFrame, ident: str = "doc_id", path: str | None = None, capa
 
     placed = cut(ranked.mapInArrow(place, _PLACED.format(id=kind)), "placed")
     result = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-    read = placed if with_ids else placed.where("sequence_id < 0")
+    # Written by itself, so that the join below knows how little it is.
+    read = placed if with_ids else cut(placed.where("sequence_id < 0"), "stream")
     found = read.join(table.select("part", "idx", "ids"), ["part", "idx"]).mapInArrow(slices, result)
     if not with_ids:
         found = found.drop("ids")
