@@ -49,8 +49,9 @@ def numbered(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     Rows are laid out by range and numbered by their place in the partition; only the counts per partition and group are summed in
     order, so no group is ever in one task.
     """
-    keys = [F.col(group), *order]
-    laid = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    # Equal rows are told apart by their place in the table, so that a range may end among them.
+    rows, keys = rows.withColumn("tie", F.monotonically_increasing_id()), [F.col(group), *order, F.col("tie")]
+    laid = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).drop("tie")
     laid = cut(laid.withColumn("at", F.monotonically_increasing_id()), "laid")
     laid = laid.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND((1 << 33) - 1))
     runs = laid.groupBy("part", group).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("own"))
