@@ -10,6 +10,7 @@ from callweave import constants as C
 from callweave.functions import vec as V
 from callweave.functions.text import first_text
 from callweave.operators import relational as R
+from callweave.session import cut
 
 NO_STRINGS = "cast(array() as array<string>)"
 
@@ -133,15 +134,42 @@ def label_spread(members: DataFrame, questions: DataFrame, clusters: DataFrame)
         F.coalesce("purity", F.lit(1.0)).alias("purity"), F.coalesce("entropy", F.lit(0.0)).alias("entropy"))
 
 
+def ranked_values(values: DataFrame, column: str, by: str | None = None) -> DataFrame:
+    """Per distinct value (nulls left out) the ranks it holds in its group: by, value, first, last, total.
+
+    Exact order statistics are then a filter (``first <= rank and rank <= last``).  Equal values are counted before the shuffle, the
+    counts are dealt out by range of (group, value), and a group's ranges are summed over one row a range, so no
+    buffer or task holds the values of a group.
+    """
+    group = F.lit(0) if by is None else F.col(by)
+    counts = values.where(F.col(column).isNotNull()).groupBy(group.alias("by"), F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = cut(counts.repartitionByRange("by", "value").withColumn("range", F.spark_partition_id()), "values")
+    ranges = dealt.groupBy("by", "range").agg(F.sum("n").alias("held"))
+    before = W.partitionBy("by").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("by", "range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"),
+                           F.sum("held").over(W.partitionBy("by")).alias("total"))
+    upto = W.partitionBy("by", "range").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    last = F.col("before") + F.sum("n").over(upto)
+    joined = dealt.alias("d").join(ranges.alias("r"), F.col("d.by").eqNullSafe(F.col("r.by")) & (F.col("d.range") == F.col("r.range"))).select(
+        "d.by", "d.range", "value", "n", "before", "total")
+    return joined.select("by", "value", (last - F.col("n") + 1).alias("first"), last.alias("last"), "total")
+
+
 def size_stats(sizes: DataFrame) -> DataFrame:
     """count, min, max, mean (2 digits), median and nearest-rank p90 of ``size``."""
     zero = F.lit(0).cast("bigint")
-    return sizes.agg(
-        F.count("*").alias("count"), F.coalesce(F.min("size"), zero).alias("min"),
-        F.coalesce(F.max("size"), zero).alias("max"),
-        F.coalesce(F.round(F.avg("size"), 2), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.median("size"), F.lit(0.0)).alias("median"),
-        F.coalesce(F.expr("percentile_disc(0.9) within group (order by size)").cast("bigint"), zero).alias("p90"))
+    ranked = ranked_values(sizes, "size")
+    holds = lambda rank: (F.col("first") <= rank) & (rank <= F.col("last"))
+    total = F.col("total")
+    low, high, p90 = (F.floor((total + 1) / 2), F.floor(total / 2) + 1, F.ceil(total * 9 / 10))
+    at = lambda rank: F.max(F.when(holds(rank), F.col("value")))
+    held = F.col("last") - F.col("first") + 1
+    return ranked.agg(
+        F.coalesce(F.sum(held), zero).alias("count"), F.coalesce(F.min("value"), zero).alias("min"),
+        F.coalesce(F.max("value"), zero).alias("max"),
+        F.coalesce(F.round(F.sum(F.col("value") * held) / F.sum(held), 2), F.lit(0.0)).alias("mean"),
+        F.coalesce((at(low) + at(high)) / 2, F.lit(0.0)).alias("median"),
+        F.coalesce(at(p90).cast("bigint"), zero).alias("p90"))
 
 
 def dispersion(members: DataFrame, embeddings: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,37 +82,63 @@ def relation_requests(candidates, clusters, members, questions, verdicts, as_of:
 
 
 # --- running a model -------------------------------------------------------------------
-def infer(requests: DataFrame, key: str, prompt: str, model, attempts: int = 3) -> DataFrame:
-    """Run ``model(str) -> str`` over every request; a failing row keeps its error and harms no other.
+def _answered(model, texts: list[str], attempts: int, pause: float, longest: float) -> list[tuple]:
+    """(answer, error, attempts) per text.
 
-    The model is called inside the tasks, batch by batch; parallelism is the
-    number of partitions.
+    A list that fails is halved until the failing text is alone; one bad text among n costs about 2 log2 n calls and spoils no
+    other.  A text alone is asked ``attempts`` times.  The wait after a failure doubles up to ``longest`` and falls back after a success.
+    """
+    done: list[tuple] = [(None, None, 0)] * len(texts)
+    waiting, failed = [(0, len(texts), 1)] if texts else [], 0
+    while waiting:
+        start, stop, tried = waiting.pop()
+        if failed and pause:
+            time.sleep(min(longest, pause * 2 ** min(failed - 1, 30)))
+        try:
+            answers = list(model(texts[start:stop]))
+            if len(answers) != stop - start:
+                raise ValueError(f"{len(answers)} answers to {stop - start} requests")
+            done[start:stop] = [(answer, None, tried) for answer in answers]
+            failed = 0
+        except Exception as exc:  # noqa: BLE001 - a failure stays with its texts
+            failed += 1
+            if stop - start > 1:
+                middle = (start + stop) // 2
+                waiting += [(middle, stop, 1), (start, middle, 1)]
+            elif tried < attempts:
+                waiting.append((start, stop, tried + 1))
+            else:
+                done[start] = (None, f"{type(exc).__name__}: {exc}", tried)
+    return done
+
+
+def infer_batches(requests: DataFrame, key: str, prompt: str, model, attempts: int = 3, size: int = 32,
+                  pause: float = 0.0, longest: float = 30.0) -> DataFrame:
+    """Run ``model(list of str) -> list of str`` over every request, up to ``size`` of them a call.
+
+    Result: the key as string, response, error, attempts.  ``attempts`` counts the calls made for a row by itself (1 where its list
+    succeeded), so it does not depend on how rows were dealt out.  A null request goes to the model as it is.  The model runs inside the
+    tasks; parallelism is the number of partitions.
     """
 
     def run(batches):
         for batch in batches:
-            keys = batch.column(key).to_pylist()
-            answers, errors, tries = [], [], []
-            for text in batch.column(prompt).to_pylist():
-                answer, error, used = None, None, 0
-                while used < attempts:
-                    used += 1
-                    try:
-                        answer, error = model(text), None
-                        break
-                    except Exception as exc:  # noqa: BLE001 - isolated per row
-                        error = f"{type(exc).__name__}: {exc}"
-                answers.append(answer)
-                errors.append(error)
-                tries.append(used)
+            texts = batch.column(prompt).to_pylist()
+            done = [row for at in range(0, len(texts), size) for row in _answered(model, texts[at:at + size], attempts, pause, longest)]
+            answers, errors, tries = zip(*done) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array(answers, pa.string()), pa.array(errors, pa.string()), pa.array(tries, pa.int64())],
+                [batch.column(key), pa.array(answers, pa.string()), pa.array(errors, pa.string()), pa.array(tries, pa.int64())],
                 names=[key, "response", "error", "attempts"])
 
     return requests.select(F.col(key).cast("string"), prompt).mapInArrow(
         run, f"{key} string, response string, error string, attempts bigint")
 
 
+def infer(requests: DataFrame, key: str, prompt: str, model, attempts: int = 3) -> DataFrame:
+    """Run ``model(str) -> str`` over every request, one call each; a failing row keeps its error and harms no other."""
+    return infer_batches(requests, key, prompt, lambda texts: [model(texts[0])], attempts, size=1)
+
+
 # --- responses -------------------------------------------------------------------------
 def _json_of(c: Column) -> Column:
     """Parsed variant of a text that is one complete JSON value, else null.
@@ -222,6 +250,9 @@ def _tokens(c: Column) -> Column:
     return F.split(c, r"[\s\p{Z}]+")
 
 
+GRAM = 3
+
+
 def _anchor(c: Column) -> Column:
     """Longest word of a text that has a blank on both sides inside it; null when there is none."""
     words = _tokens(c)
@@ -229,25 +260,32 @@ def _anchor(c: Column) -> Column:
     return F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
+def _grams(word: Column, n: int) -> Column:
+    return F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substr(word, i, F.lit(n)))).otherwise(
+        F.expr("cast(array() as array<string>)"))
+
+
 def contained_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """(call_id, inner_id, outer_id) where the inner text lies inside an outer text of the same call.
 
-    Inputs hold call_id, id, t, one row per distinct text of a call.  A word with
-    blanks around it inside the inner text must occur as a whole word in the outer
-    one, so candidates meet on (call, word) and not call by call; only texts of one
-    or two words, which have no such word, are compared within their call.
+    Inputs hold call_id, id, t, one row per distinct text of a call.  A word with blanks around it inside the inner text must
+    occur as a whole word in the outer one, so candidates meet on (call, word).  A text of one or two words has no such word, but its
+    longest word lies inside one word of the outer text: it meets the distinct words of its call on (call, first ``GRAM``
+    characters), and through their postings the texts.  No join is on the call alone.
     """
-    inner = inner.withColumn("anchor", _anchor(F.col("t")))
-    long, short = inner.where("anchor is not null"), inner.where("anchor is null").drop("anchor")
-    wanted = long.select("call_id", "anchor").distinct()
-    words = outer.select("call_id", F.col("id").alias("outer_id"), F.explode(F.array_distinct(_tokens(F.col("t")))).alias("anchor")).join(
-        wanted, ["call_id", "anchor"], "left_semi")
+    words = outer.select("call_id", F.col("id").alias("outer_id"), F.explode(F.array_distinct(_tokens(F.col("t")))).alias("word"))
     texts = outer.select("call_id", F.col("id").alias("outer_id"), F.col("t").alias("outer_text"))
-    near = long.join(words, ["call_id", "anchor"]).join(texts, ["call_id", "outer_id"])
-    direct = short.join(texts, "call_id")
-    columns = ["call_id", "id", "t", "outer_id", "outer_text"]
-    pairs = near.select(*columns).unionByName(direct.select(*columns))
-    return pairs.where(F.contains("outer_text", "t")).select("call_id", F.col("id").alias("inner_id"), "outer_id")
+    inner = inner.withColumn("anchor", _anchor(F.col("t")))
+    whole = inner.where("anchor is not null").withColumnRenamed("anchor", "word")
+    longest = F.array_max(F.transform(_tokens(F.col("t")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    part = inner.where("anchor is null").select("call_id", "id", "t", longest.alias("part")).withColumn("gram", F.substring("part", 1, GRAM))
+    parts = part.select("call_id", "part", "gram").distinct()
+    met = words.select("call_id", "word").distinct().select("call_id", "word", F.explode(F.array_distinct(F.concat(
+        *[_grams(F.col("word"), n) for n in range(1, GRAM + 1)]))).alias("gram")).join(parts, ["call_id", "gram"]).where(
+        F.contains("word", "part")).select("call_id", "part", "word")
+    wanted = whole.select("call_id", "id", "t", "word").unionByName(part.join(met, ["call_id", "part"]).select("call_id", "id", "t", "word"))
+    near = wanted.join(words, ["call_id", "word"]).select("call_id", "id", "t", "outer_id").distinct()
+    return near.join(texts, ["call_id", "outer_id"]).where(F.contains("outer_text", "t")).select("call_id", F.col("id").alias("inner_id"), "outer_id")
 
 
 def ground(questions: DataFrame, utterances: DataFrame) -> DataFrame:

@@ -86,14 +86,22 @@ def echo_model(text: str) -> str:
     return f'{{"length":{len(text)}}}'
 
 
-@query("v_utterances", chunked_sql(C.ANALYSIS_BUDGET) + """,
+INFER = chunked_sql(C.ANALYSIS_BUDGET) + """,
 b as (select call_id || '#' || chunk as request, length(block) as n from blocks)
 select request, case when n % 7 <> 0 then '{"length":' || n || '}' end as response,
-       case when n % 7 = 0 then 'TimeoutError: upstream timed out' end as error, case when n % 7 = 0 then 3 else 1 end::bigint as attempts from b""")
+       case when n % 7 = 0 then 'TimeoutError: upstream timed out' end as error, case when n % 7 = 0 then 3 else 1 end::bigint as attempts from b"""
+
+
+@query("v_utterances", INFER)
 def llm_infer(ws):
     return MJ.infer(MJ.analyze_requests(ws["v_utterances"]), "request", "block", echo_model)
 
 
+@query("v_utterances", INFER)
+def llm_infer_batches(ws):
+    return MJ.infer_batches(MJ.analyze_requests(ws["v_utterances"]), "request", "block", lambda texts: [echo_model(t) for t in texts])
+
+
 RECOVER = r"""
 cand as (
   select call_id, response, list_concat(list_transform(regexp_extract_all(response, '(?is)```(?:json)?\s*(.*?)```', 1), lambda x: trim(x, ' ' || chr(10) || chr(13) || chr(9))),

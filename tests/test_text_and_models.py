@@ -198,3 +198,59 @@ def test_failing_rows_do_not_harm_others(spark):
     df = spark.createDataFrame([("1", "a"), ("2", "bad"), ("3", "c")], "id string, prompt string")
     got = {r.id: (r.response, r.error, r.attempts) for r in MJ.infer(df, "id", "prompt", model, attempts=2).collect()}
     assert got == {"1": ("A", None, 1), "2": (None, "ValueError: no", 2), "3": ("C", None, 1)}
+
+
+def test_one_bad_text_costs_few_calls():
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        if "bad" in texts:
+            raise ValueError("no")
+        return [t.upper() for t in texts]
+
+    texts = [f"t{i}" for i in range(64)]
+    texts[37] = "bad"
+    done = MJ._answered(model, texts, 3, 0.0, 0.0)
+    assert done == [(None, "ValueError: no", 3) if t == "bad" else (t.upper(), None, 1) for t in texts]
+    assert len(calls) == 1 + 2 * 6 + 2  # the list, two halves on each of six levels, two more tries of the text alone
+    assert MJ._answered(model, [], 3, 0.0, 0.0) == []
+
+
+def test_short_answer_lists_and_growing_waits(monkeypatch):
+    waits = []
+    monkeypatch.setattr(MJ.time, "sleep", waits.append)
+    assert MJ._answered(lambda texts: texts[:1], ["a", "b", "c"], 2, 1.0, 3.0) == [("a", None, 1), ("b", None, 1), ("c", None, 1)]
+    waits.clear()
+    down = MJ._answered(lambda texts: 1 / 0, ["a", "b"], 3, 1.0, 3.0)
+    assert [d[2] for d in down] == [3, 3] and waits == [1.0, 2.0, 3.0, 3.0, 3.0, 3.0]
+
+
+def test_batches_over_partitions(spark):
+    rows = [(i, None if i % 50 == 0 else "bad" if i % 7 == 0 else f"t{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, prompt string").repartition(5)
+
+    def model(texts):
+        if "bad" in texts:
+            raise TimeoutError("late")
+        return [t and t.upper() for t in texts]
+
+    got = {int(r.id): (r.response, r.error, r.attempts) for r in MJ.infer_batches(df, "id", "prompt", model, attempts=2, size=16).collect()}
+    assert got == {i: (None, "TimeoutError: late", 2) if t == "bad" else (t and t.upper(), None, 1) for i, t in rows}
+    assert MJ.infer_batches(df.where("false"), "id", "prompt", model).collect() == []
+
+
+def test_contained_pairs_of_short_and_long_texts(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 5)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    sides = []
+    for sizes in ((1, 1, 1, 2, 2, 3, 5), (1, 2, 4, 9, 30)):
+        sides.append({(f"c{rng.randint(0, 3)}", text(rng.choice(sizes))) for _ in range(150)} | {("c0", "a"), ("c0", "bé aé")})
+    inner, outer = ([(c, f"{k}", t) for k, (c, t) in enumerate(sorted(side))] for side in sides)
+    frames = [spark.createDataFrame(rows, "call_id string, id string, t string") for rows in (inner, outer)]
+    got = sorted(tuple(r) for r in MJ.contained_pairs(*frames).collect())
+    assert got == sorted((c, i, o) for c, i, t in inner for d, o, u in outer if c == d and t in u)
+    plan = MJ.contained_pairs(*frames)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) >= 4 and all(" AND " in line for line in joins)  # none meets on the call alone

@@ -388,3 +388,22 @@ def test_density_clusters_by_cells(spark):
     sizes = np.bincount(root[core], minlength=len(m))
     wanted = {rows[k][0]: rows[root[k]][0] if core[k] and sizes[root[k]] >= 8 else "-1" for k in range(len(m))}
     assert got == wanted and len(set(wanted.values())) > 5
+
+
+def test_order_statistics_without_a_buffer(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 1, 1, rng.randint(0, 50), None])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    got = A.ranked_values(df, "v", "g").collect()
+    for group in ("a", "b", None):
+        wanted = sorted(v for g, v in rows if g == group and v is not None)
+        held = [r for r in got if r.by == group]
+        assert {r.total for r in held} == {len(wanted)}
+        listed = [r.value for r in sorted(held, key=lambda r: r.first) for _ in range(r.last - r.first + 1)]
+        assert listed == wanted
+    for values in ([], [4], [4, 1], [3, 1, 1, 1, 9, 2, 2], list(range(10)), [7] * 20):
+        row = A.size_stats(spark.createDataFrame([(v,) for v in values], "size long")).first()
+        s, n = sorted(values), len(values)
+        wanted = (n, s[0], s[-1], round(sum(s) / n, 2), (s[(n - 1) // 2] + s[n // 2]) / 2, s[(9 * n + 9) // 10 - 1]) if s else (0, 0, 0, 0.0, 0.0, 0)
+        assert tuple(row) == wanted
+    assert "percentile" not in A.size_stats(df.select(F.col("v").alias("size")))._jdf.queryExecution().executedPlan().toString()
