@@ -11,7 +11,7 @@ shuffle and no task holds a site.  Pages without a flagged line keep their text
 and in those of the site.  Without it every row is a page.
 
 A null site is a site of its own.  Null text stays null and has no lines; empty lines are kept and never counted.  Repeated
-rows are pages each.  An empty table gives an empty result.  Other columns are carried along untouched; names starting with
+rows are pages each.  An empty table gives an empty result.  Very long texts are one cell each, read once a pass.  Other columns are carried along untouched; names starting with
 ``_line_dedup_`` are reserved.
 """
 
@@ -42,7 +42,7 @@ def _hash(line: Column) -> Column:
 
 
 def row_key(site: str, text: str) -> Column:
-    return F.xxhash64(F.col(site), F.col(text))
+    return F.xxhash64(F.col(site), F.col(site).isNull(), F.col(text), F.col(text).isNull())
 
 
 def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = LEAST_PAGES, copies: DataFrame | None = None) -> DataFrame:
@@ -91,10 +91,38 @@ def host(url: Column) -> Column:
     return F.when(name != "", name)
 
 
+UNSEEN = "<\uffff"  # U+FFFF is no character; it stands behind the "<" of an opening that nothing closes
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _upto(text: Column, end: str, before, after) -> Column:
+    """``before`` of the text through the last match of ``end``, then ``after`` of the rest."""
+    return _let(F.struct(text.alias("text"), F.regexp_extract(text, f"(?is)^.*{end}", 0).alias("head")), lambda x: F.concat(
+        before(x["head"]), after(F.substr(x["text"], F.length(x["head"]) + 1))))
+
+
 def visible_lines(html: Column) -> Column:
-    """The text blocks of a page, one per line: scripts, styles and comments removed, a line for each block element."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->|<!doctype[^>]*>", "")
-    text = F.regexp_replace(text, r"[\n\r]+", " ")
-    text = F.regexp_replace(text, r"(?i)</?(p|div|li|ul|ol|nav|header|footer|article|section|h[1-6]|br|tr|table|title|body|head|html)\b[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    return F.regexp_replace(text, r" *\n[ \n]*", "\n")
+    """The text blocks of a page, one per line: scripts, styles and comments removed, a line for each block element.
+
+    An opening that nothing closes stays as text.  Such openings lie behind the last closing, where they are not searched for, so
+    the time is linear in the page whatever it holds.  A page of null is null, an empty one empty; a U+FFFF behind a "<" is dropped.
+    """
+    same = lambda x: x
+    hide = lambda opening: lambda x: F.regexp_replace(x, f"(?i)<(?={opening})", UNSEEN)
+
+    def unscripted(text: Column) -> Column:
+        text = _upto(text, r"</(?:script|style)\s*>", same, hide(r"(?:script|style)\b"))
+        text = _upto(text, "-->", same, hide("!--"))
+        text = F.regexp_replace(text, r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->|<!doctype[^>]*>", "")
+        return F.replace(text, F.lit(UNSEEN), F.lit("<"))
+
+    def untagged(text: Column) -> Column:
+        text = F.regexp_replace(text, r"(?i)</?(p|div|li|ul|ol|nav|header|footer|article|section|h[1-6]|br|tr|table|title|body|head|html)\b[^>]*>", "\n")
+        return F.regexp_replace(text, r"<[^>]*>", "")
+
+    text = F.regexp_replace(_upto(html, ">", unscripted, same), r"[\n\r]+", " ")
+    return F.regexp_replace(_upto(text, ">", untagged, same), r"(?<! ) *\n[ \n]*", "\n")

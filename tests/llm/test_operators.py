@@ -1,7 +1,9 @@
 """Each corpus operator against its plain version, over odd rows, and on empty tables."""
 
 import random
+import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -168,6 +170,30 @@ def test_hosts_and_visible_lines(spark):
     assert got.a == "ab.example.org" and got.b is None and got.h.split("\n") == ["", "Ab c", "d e", ""]
 
 
+def plain_visible(html):
+    text = re.sub(r"<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->|<!doctype[^>]*>", "", html, flags=re.I | re.S)
+    text = re.sub(r"[\n\r]+", " ", text)
+    text = re.sub(r"</?(p|div|li|ul|ol|nav|header|footer|article|section|h[1-6]|br|tr|table|title|body|head|html)\b[^>]*>", "\n", text, flags=re.I)
+    return re.sub(r" *\n[ \n]*", "\n", re.sub(r"<[^>]*>", "", text))
+
+
+def test_visible_lines_of_broken_pages(spark):
+    rng = random.Random(8)
+    bits = ["<script>", "</script >", "<STYLE x", "</style>", "<!--", "-->", "<!doctype", ">", "<", "<p>", "</div>", "<b", " ", "\n", "a", "é", "- ", "<!-->", "br"]
+    pages = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))) for k in range(3000)] + [(-1, None), (-2, "")]
+    frame = spark.createDataFrame(pages, "k long, html string").select("k", line_dedup.visible_lines(F.col("html")).alias("text"))
+    assert {r.k: r.text for r in frame.collect()} == {k: None if html is None else plain_visible(html) for k, html in pages}
+
+
+@pytest.mark.parametrize("bit", ["<", "<script>", "<!--", "<!doctype ", "<p ", "<style", " ", "<!-->", "</script", "<script>-->"])
+def test_pages_of_openings_take_linear_time(spark, bit):
+    n = 400_000 // len(bit)
+    rows = spark.range(1).select(F.concat(F.lit("x"), F.repeat(F.lit(bit), F.lit(n)), F.lit("y")).alias("html"))
+    start = time.monotonic()
+    text = rows.select(line_dedup.visible_lines(F.col("html")).alias("text")).first().text
+    assert time.monotonic() - start < 20 and text[0] == "x" and text[-1] == "y"
+
+
 def test_license_scan(spark):
     texts = [(1, MIT), (2, "Copyright (c) 2020 A B\n\n" + MIT.upper().replace(",", " ;")), (3, MIT + " extra"), (4, f"{BSD_START}\n\n{BSD_END}"),
              (5, "prose\nReleased under the MIT Licence.\nlicensed under CC BY-NC 4.0\nMIT"), (6, None), (7, ""), (None, "(c) me")]
