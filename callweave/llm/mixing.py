@@ -127,7 +127,7 @@ def mix(docs: DataFrame, key: Column | None = None) -> tuple[DataFrame, DataFram
     groups = max(1, round(n_docs ** 0.5))
     dice = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
     lined = sizes.withColumn("_dice", dice).withColumn("_group", F.pmod(F.col("_dice"), F.lit(groups)))
-    lined = _running(lined, ["source"], "_group", ["_dice", "doc_id", "size"], F.col("size"), "_start")
+    lined = _running(lined, ["source"], "_group", ["_dice", "doc_id", "size", "key"], F.col("size"), "_start")
     lined = lined.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select(
         "key", "doc_id", "d.source", "size", "source_size", "target", "_start", "place")
     lined = cut(lined, "lined")

@@ -5,7 +5,8 @@ with a version; a verdict under any policy, and what each rule contributes to it
 without reading a text again.  Everything is a DataFrame expression; nothing is shuffled but the bit patterns of an ablation.
 
 Null text counts as empty.  Rows are judged one by one, so repeated rows, ties and null ids need no rule, and an empty table
-gives an empty ledger.  Only ``doc_id`` and ``text`` are read (other columns can be carried along by name).
+gives an empty ledger.  Only ``doc_id`` and ``text`` are read.  Other columns can be carried along by name; where their names may be
+those of measurements, carry the row as one struct.
 """
 
 from __future__ import annotations

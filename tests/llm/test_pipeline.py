@@ -5,6 +5,7 @@ from collections import Counter
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from callweave.llm.queries import QUERIES
@@ -123,3 +124,20 @@ def test_pii_query(spark, folder, corpus):
 def test_language_query(spark, folder, corpus):
     rows = QUERIES["op5_language_id"](spark, folder).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r[0] for r in corpus)
+
+
+def test_stages_with_clashing_columns(spark, data):
+    folder, _ = data
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["n_words", "_text", "_words", "_lines", "fail_bits", "key", "component", "page", "n", "total", "SIZE", "taken", "target", "source_size", "_taken", "_own",
+             "n_hit", "contaminated", "digest", "cell"]
+    wide, plain = docs, docs
+    for k, name in enumerate(names):
+        wide = wide.withColumn(name, F.lit(k))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        wide, plain = (cut(stage(spark, d, folder), "clash") for d in (wide, plain))
+        assert wide.columns == COLUMNS + names
+        assert Counter(map(tuple, wide.select(*COLUMNS).collect())) == Counter(map(tuple, plain.collect()))
+    mixed = cut(corpus_pipeline.mixture(spark, wide, folder), "clash")
+    assert mixed.columns == COLUMNS + [n for n in names if n.lower() not in corpus_pipeline.MIXED] + corpus_pipeline.MIXED
+    assert mixed.count() == wide.count() and mixed.where("size > 0 and taken > 0").count() > 0
