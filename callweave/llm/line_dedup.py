@@ -99,10 +99,9 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _upto(text: Column, end: str, before, after) -> Column:
-    """``before`` of the text through the last match of ``end``, then ``after`` of the rest."""
-    return _let(F.struct(text.alias("text"), F.regexp_extract(text, f"(?is)^.*{end}", 0).alias("head")), lambda x: F.concat(
-        before(x["head"]), after(F.substr(x["text"], F.length(x["head"]) + 1))))
+def _upto(text: Column, rest, before, after) -> Column:
+    """``after`` of the end of a text that ``rest`` gives, behind ``before`` of all that precedes it."""
+    return _let(text, lambda t: _let(rest(t), lambda end: F.concat(before(F.substr(t, F.lit(1), F.length(t) - F.length(end))), after(end))))
 
 
 def visible_lines(html: Column) -> Column:
@@ -112,11 +111,12 @@ def visible_lines(html: Column) -> Column:
     the time is linear in the page whatever it holds.  A page of null is null, an empty one empty; a U+FFFF behind a "<" is dropped.
     """
     same = lambda x: x
-    hide = lambda opening: lambda x: F.regexp_replace(x, f"(?i)<(?={opening})", UNSEEN)
+    behind = lambda mark: lambda x: F.substring_index(x, mark, -1)
+    behind_script = lambda x: F.regexp_replace(x, r"(?is)^.*</(?:script|style)\s*>", "")
 
     def unscripted(text: Column) -> Column:
-        text = _upto(text, r"</(?:script|style)\s*>", same, hide(r"(?:script|style)\b"))
-        text = _upto(text, "-->", same, hide("!--"))
+        text = _upto(text, behind_script, same, lambda x: F.regexp_replace(x, r"(?i)<(?=(?:script|style)\b)", UNSEEN))
+        text = _upto(text, behind("-->"), same, lambda x: F.replace(x, F.lit("<!--"), F.lit(f"{UNSEEN}!--")))
         text = F.regexp_replace(text, r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->|<!doctype[^>]*>", "")
         return F.replace(text, F.lit(UNSEEN), F.lit("<"))
 
@@ -124,5 +124,5 @@ def visible_lines(html: Column) -> Column:
         text = F.regexp_replace(text, r"(?i)</?(p|div|li|ul|ol|nav|header|footer|article|section|h[1-6]|br|tr|table|title|body|head|html)\b[^>]*>", "\n")
         return F.regexp_replace(text, r"<[^>]*>", "")
 
-    text = F.regexp_replace(_upto(html, ">", unscripted, same), r"[\n\r]+", " ")
-    return F.regexp_replace(_upto(text, ">", untagged, same), r"(?<! ) *\n[ \n]*", "\n")
+    text = F.regexp_replace(_upto(html, behind(">"), unscripted, same), r"[\n\r]+", " ")
+    return F.regexp_replace(_upto(text, behind(">"), untagged, same), r"(?<! ) *\n[ \n]*", "\n")
