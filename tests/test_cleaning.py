@@ -144,3 +144,13 @@ def test_self_loop_is_listed_once(spark):
     edges = spark.createDataFrame([("call:1", "call", "call:1", "call", "similar_to", 1.0, None)],
                                   "src_id string, src_type string, dst_id string, dst_type string, relation string, weight double, reason string")
     assert [(r.direction, r.weight) for r in G.related(edges).collect()] == [("out", "1")]
+
+
+def test_note_joins_never_broadcast_a_table_that_grows(spark):
+    calls = spark.range(50).select(F.concat(F.lit("call:"), "id").alias("id"), F.lit("call").alias("type"), F.lit("Call").alias("label"))
+    edges = calls.select(F.col("id").alias("src_id"), F.col("type").alias("src_type"), F.lit("agent:a").alias("dst_id"), F.lit("agent").alias("dst_type"),
+                         F.lit("handled_by").alias("relation"), F.lit(1.0).alias("weight"), F.lit(None).cast("string").alias("reason"))
+    nodes = calls.unionByName(spark.createDataFrame([("agent:a", "agent", "a")], "id string, type string, label string"))
+    notes = G.notes(nodes, edges)
+    assert "Broadcast" not in notes._jdf.queryExecution().executedPlan().toString()
+    assert notes.where("section = 1").count() == 100
