@@ -108,6 +108,51 @@ def reach_within(over: Cover, left: tuple, right: tuple, angle: float) -> np.nda
     return (least <= angle + SLACK) & (left[1] > 0)[:, None] & (right[1] > 0)[None, :]
 
 
+def parts(rows: DataFrame, part_rows: int) -> DataFrame:
+    """Placed rows with ``part``: each cell dealt into parts of about ``part_rows``, every row in one of them."""
+    counts = rows.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / part_rows)).alias("parts"))
+    return rows.join(counts, "cell").withColumn("part", F.concat_ws("/", "cell", F.pmod(F.xxhash64("id"), F.col("parts")))).drop("parts")
+
+
+def tracts(stats: tuple, most: int = 32) -> np.ndarray:
+    """A number for each cell: cells of like radius share one until they hold a share of all rows, so there are few for any number of cells."""
+    order = np.argsort(stats[0], kind="stable")
+    before = np.cumsum(stats[1][order]) - stats[1][order]
+    tract = np.empty(len(order), dtype=np.int32)
+    tract[order] = before * most // max(1, int(stats[1].sum()))
+    return tract
+
+
+def in_tracts(rows: DataFrame, tract: np.ndarray) -> DataFrame:
+    return rows.select("id", "v", F.element_at(F.lit(tract.tolist()), F.col("cell") + 1).cast("int").alias("tract"))
+
+
+def visits(rows: DataFrame, over: Cover, right: tuple, tract: np.ndarray) -> DataFrame:
+    """Rows (id, v, limit), once for each tract with a cell that may hold a row within the angle ``limit`` of this row: (id, v, tract).
+
+    A row is judged by its own angles to the pivots, so strays, whose cells are wide, go to few of the tight ones.
+    """
+    radius, filled = right[0], right[1] > 0
+    member = tract[:, None] == np.arange(tract.max() + 1)[None, :]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, limit = kernels.matrix(batch.column("v")), batch.column("limit").to_numpy()
+            far = np.zeros((len(m), over.odd + 1))
+            if over.odd:
+                far[:, :-1] = np.arccos(np.clip(m @ over.pivots.T, -1, 1)) - radius[None, :-1]
+            far[np.linalg.norm(m, axis=1) <= 0.5] = 0.0
+            near = (far <= limit[:, None] + 2 * SLACK) & filled[None, :]
+            row, to = np.nonzero(near.astype(np.float32) @ member.astype(np.float32))
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(taken), batch.column("v").take(taken), pa.array(to.astype(np.int32))],
+                                             names=["id", "v", "tract"])
+
+    return rows.select("id", "v", "limit").mapInArrow(run, "id string, v array<double>, tract int")
+
+
 def sent(right: DataFrame, reach: np.ndarray) -> DataFrame:
     """Right rows, once for each left cell they can matter to: (id, v, ..., cell of the left)."""
     left, own = np.nonzero(reach)

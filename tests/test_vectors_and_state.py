@@ -407,3 +407,25 @@ def test_order_statistics_without_a_buffer(spark):
         wanted = (n, s[0], s[-1], round(sum(s) / n, 2), (s[(n - 1) // 2] + s[n // 2]) / 2, s[(9 * n + 9) // 10 - 1]) if s else (0, 0, 0, 0.0, 0.0, 0)
         assert tuple(row) == wanted
     assert "percentile" not in A.size_stats(df.select(F.col("v").alias("size")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_density_steps_hold_in_parts(spark):
+    """Rows settled in their part, counted out, linked by pivots and linked across cells give the answer of all pairs."""
+    rng = np.random.default_rng(31)
+    chain = unit(np.c_[np.cos(np.linspace(0, 2.5, 60)), np.sin(np.linspace(0, 2.5, 60)), np.zeros((60, 6))])
+    m = np.concatenate([planted(rng, [40, 30], 0.05), chain, unit(rng.normal(size=(50, 8))), np.zeros((2, 8))])
+    df = table(spark, m).select(F.col("question_id").alias("id"), F.col("vector").alias("v"))
+    ids = [r.id for r in df.collect()]
+    vectors = np.array([r.v for r in df.collect()])
+    near = np.round(vectors @ vectors.T, 9) >= 0.97
+    dense = {i for i, n in zip(ids, near.sum(axis=1)) if n >= 4}
+    assert {r.id for r in D.dense_rows(df, 0.97, 4, 16).collect()} == dense
+    core = df.where(F.col("id").isin(sorted(dense)))
+    linked = {r.id: r.root for r in D.components(D.linking_edges(core, 0.97, 16)).collect()}
+    want = {i: i for i in dense}
+    while True:
+        again = {i: min(want[j] for j, ok in zip(ids, near[k]) if ok and j in dense) for k, i in enumerate(ids) if i in dense}
+        if again == want:
+            break
+        want = again
+    assert {i: linked.get(i, i) for i in dense} == want
