@@ -1,5 +1,6 @@
 """Written files that feed the jobs, streams that go on where they stopped, and JSON that is none."""
 
+import glob
 import json
 import os
 import shutil
@@ -17,6 +18,8 @@ from callweave.operators import calls as K
 from callweave.operators import density as D
 from callweave.operators import merges as M
 from callweave.operators import relational as R
+from callweave.plans import sources as SO
+from callweave.plans.workspace import Workspace
 from callweave.sources import readers as RD
 from callweave.streaming import jobs as ST
 
@@ -179,3 +182,25 @@ def test_arrow_query_runs_from_another_folder(tmp_path, folder):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "rows " in done.stdout, done.stderr[-800:]
     shutil.rmtree(tmp_path, ignore_errors=True)
+
+
+def test_files_to_facts_writes_tables_in_ranges(spark, folder, monkeypatch):
+    """Call records and leads go to several files, in the order of their rows."""
+    monkeypatch.setattr(SO.RD, "read_leads", lambda s, path, plain=SO.RD.read_leads: paths.append(path) or plain(s, path))
+    monkeypatch.setattr(SO.RD, "read_cdr", lambda s, path, plain=SO.RD.read_cdr: paths.append(path) or plain(s, path))
+    paths = []
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled",)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = SO.src_files_to_facts(Workspace(spark, folder))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    ws = Workspace(spark, folder)
+    for path, view in zip(paths, ("v_cdr", "v_leads")):
+        files = sorted(glob.glob(f"{path.removeprefix('file://')}/part-*.csv"))
+        assert len(files) > 1
+        rows = [r for f in files for r in spark.read.csv(f, header=True, escape='"', multiLine=True).collect()]
+        want = ws[view].orderBy("ordinal").drop("ordinal").collect()
+        assert [r[0] for r in rows] == [r[0] for r in want]
+    assert len(got.collect()) == ws["v_analyses"].count()
