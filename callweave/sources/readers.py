@@ -37,6 +37,17 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
         call_id_of(F.col("_metadata.file_path")).alias("call_id"), "value")
 
 
+BUNDLE = "call_id string, value string"
+
+
+def bundled_files(spark: SparkSession, path: str) -> DataFrame:
+    """(call_id, value): the files of a folder of bundles, JSON lines that hold the call id and the text of one file each.
+
+    A file a call costs a listing, an opening and a task's attention each; uploads by the hundred thousand are bundled first.
+    """
+    return spark.read.schema(BUNDLE).json(path)
+
+
 def speaker_label(c: Column) -> Column:
     token = F.upper(trim_blank(c))
     return (F.when(token.isin(C.AGENT_ALIASES), F.lit("AGENT")).when(token.isin(C.CUSTOMER_ALIASES), F.lit("CUSTOMER"))
@@ -71,13 +82,13 @@ def transcript_turns(files: DataFrame) -> DataFrame:
         F.when(F.col("words").startswith("["), F.col("words")).alias("words"), reject.alias("reject"))
 
 
-def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(utterances, rejects) of a folder of transcript JSON files."""
-    turns = transcript_turns(whole_files(spark, path))
+def read_transcripts(spark: SparkSession, path: str, bundled: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(utterances, rejects) of a folder of transcript JSON files, or of bundles of them."""
+    turns = transcript_turns((bundled_files if bundled else whole_files)(spark, path))
     return turns.where("reject is null").drop("reject"), turns.where("reject is not null").select("call_id", "idx", "reject")
 
 
-def read_line_transcripts(spark: SparkSession, path: str) -> DataFrame:
+def read_line_transcripts(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
     """``SPEAKER [mm:ss]: text`` files; a turn ends where the next one starts.
 
     Lines of one file stay together in one row, so order is the file's own.
@@ -89,7 +100,7 @@ def read_line_transcripts(spark: SparkSession, path: str) -> DataFrame:
     turns = F.transform(marked, lambda x, i: F.struct(
         i.cast("bigint").alias("idx"), speaker_label(F.regexp_extract(x, shape, 1)).alias("speaker"), seconds(x).alias("start_ts"),
         seconds(F.get(marked, i + 1)).alias("end_ts"), F.regexp_extract(x, shape, 4).alias("text")))
-    rows = whole_files(spark, path).select("call_id", F.inline(turns))
+    rows = (bundled_files if bundled else whole_files)(spark, path).select("call_id", F.inline(turns))
     return rows.withColumn("end_ts", F.coalesce("end_ts", "start_ts"))
 
 

@@ -19,7 +19,7 @@ from callweave import constants as C
 from callweave.functions.clean import trim_blank
 from callweave.operators.asof import asof
 from callweave.operators.vectors import assign
-from callweave.sources.readers import call_id_of, transcript_turns
+from callweave.sources.readers import BUNDLE, call_id_of, transcript_turns
 from callweave.streaming.state import ExpiringEntries, OpenWindows, with_state
 
 
@@ -76,10 +76,14 @@ def dedupe_arrivals(stream: DataFrame) -> DataFrame:
         ["route", "key"]).unionByName(loose.withWatermark("ts", f"{C.IDEMPOTENCY_HOURS} hours"))
 
 
-def stream_transcripts(spark: SparkSession, path: str, out: str, checkpoint: str) -> DataFrame:
-    """Transcript files turned into utterances once each; later runs read new files only."""
-    files = spark.readStream.option("recursiveFileLookup", "true").option("wholetext", "true").format("text").schema("value string").load(path)
-    turns = transcript_turns(files.select(call_id_of(F.col("_metadata.file_path")).alias("call_id"), "value"))
+def stream_transcripts(spark: SparkSession, path: str, out: str, checkpoint: str, bundled: bool = False) -> DataFrame:
+    """Transcript files, or bundles of them, turned into utterances once each; later runs read new files only."""
+    if bundled:
+        files = spark.readStream.schema(BUNDLE).json(path)
+    else:
+        files = spark.readStream.option("recursiveFileLookup", "true").option("wholetext", "true").format("text").schema("value string").load(path)
+        files = files.select(call_id_of(F.col("_metadata.file_path")).alias("call_id"), "value")
+    turns = transcript_turns(files)
     run_to_parquet(turns.where("reject is null").drop("reject"), out, checkpoint)
     return spark.read.schema(turns.drop("reject").schema).parquet(out)
 

@@ -429,3 +429,18 @@ def test_density_steps_hold_in_parts(spark):
             break
         want = again
     assert {i: linked.get(i, i) for i in dense} == want
+
+
+def test_bundled_transcripts_equal_files(spark, tmp_path):
+    texts = {"call_7": '[{"text":" kya\\nhua ","language":"HI"},{"text":""},"x"]', "call_8": '{"turns": []}', "call_9": "AGENT [00:05]: hi\nCUSTOMER [01:10]: yes"}
+    (tmp_path / "files").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "files" / f"{name}.txt").write_text(text, encoding="utf-8")
+    bundle, files = str(tmp_path / "bundle"), str(tmp_path / "files")
+    spark.createDataFrame(list(texts.items()), RD.BUNDLE).write.json(bundle)
+    for one, other in zip(RD.read_transcripts(spark, bundle, bundled=True), RD.read_transcripts(spark, files)):
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    lines, plain = RD.read_line_transcripts(spark, bundle, bundled=True), RD.read_line_transcripts(spark, files)
+    assert sorted(map(str, lines.collect())) == sorted(map(str, plain.collect())) and lines.count() == 2
+    out, check = scratch(spark, "bundled"), scratch(spark, "bundled-check")
+    assert [ST.stream_transcripts(spark, bundle, out, check, bundled=True).count() for _ in range(2)] == [1, 1]
