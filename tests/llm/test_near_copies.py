@@ -116,3 +116,30 @@ def test_lines_stage_keeps_what_is_copied(spark):
     assert [got[k].text for k in range(len(texts))] == wanted and all(r.n_chars == len(r.text) for r in got.values())
     left = corpus_pipeline.near_copies(spark, docs, "").collect()
     assert len(left) == 32 and {r.text for r in left} >= {base, near[0]}
+
+
+def test_a_common_passage_brings_no_pairs(spark, monkeypatch):
+    """Four hundred texts share a passage of half their words and are near to nobody: their count of pairs stays below their number."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [passage + " " + " ".join(f"t{n}x{rng.random()}" for _ in range(rng.randint(40, 70))) for n in range(400)]
+    texts += [edited(rng, texts[k], 4) for k in range(0, 40, 2)]
+    seen, plain = [], (minhash.proposed, minhash.stragglers)
+    monkeypatch.setattr(minhash, "proposed", lambda *a: seen.append(plain[0](*a)) or seen[-1])
+    monkeypatch.setattr(minhash, "stragglers", lambda *a: seen.append(plain[1](*a)) or seen[-1])
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], SCHEMA).repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash.grouped(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == groups(texts)
+    assert len(seen) == 2 and seen[1].count() < len(texts) < 400 * 399 / 50
+
+
+def test_stage_links_by_fingerprints_first(spark, monkeypatch):
+    """With no bands at all the stage still finds what SimHash links, and verifies it."""
+    rng = random.Random(12)
+    base = [f"v{rng.randint(0, 900)}" for _ in range(3000)]
+    near = base[:1500] + ["x"] + base[1501:]
+    other = [f"w{rng.randint(0, 900)}" for _ in range(3000)]
+    texts = [" ".join(base), " ".join(near), " ".join(other), "a b", "c d", "", None]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], SCHEMA)
+    monkeypatch.setattr(minhash, "proposed", lambda met: met.select(F.col("digest").alias("a"), F.col("digest").alias("b")).limit(0))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 2, 3, 4, 5]
