@@ -46,8 +46,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8) stays: the one with the smallest id (ties by content)."""
-    found = minhash.grouped(docs, key=_key(docs))
+    """One document of each group of near copies (5-word shingles, similarity 0.8) stays: the one with the smallest id (ties by content).
+
+    SimHash groups first, as op6 does (fingerprints within two bits), and its links are verified; bands find the copies further apart.
+    """
+    found = minhash.grouped(docs, key=_key(docs), simhash=True)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("key").alias("key"))).alias("first"))
     kept = first.select(F.col("first.key").alias(KEY))
     rows = docs.withColumn(KEY, _key(docs)).join(kept, KEY, "left_semi")
