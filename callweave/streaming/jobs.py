@@ -53,16 +53,21 @@ def usable_key(key) -> F.Column:
     return F.when(F.length(text) <= C.IDEMPOTENCY_MAX_KEY, text)
 
 
+KEY_BUCKETS = 1024  # a checkpoint keeps the number it began with
+
+
 def dedupe_requests(stream: DataFrame, out: str, checkpoint: str, late_hours: int = C.IDEMPOTENCY_HOURS) -> DataFrame:
     """First request per (route, key) within 24 hours, over all micro-batches and runs; requests without a usable key all pass.
 
     The earliest request of a batch that no window covers opens one.  The store holds the start of a key's open window until the
     watermark, ``late_hours`` behind the newest request, has passed its end.  Keyed requests that come later than that are not
-    taken (the query's progress counts them); how far apart they lie in the files of one batch makes no difference.
+    taken (the query's progress counts them); how far apart they lie in the files of one batch makes no difference.  Keys share
+    ``KEY_BUCKETS`` entries of the store.
     """
     rows = stream.select("request_id", "route", F.col("ts").cast("timestamp").alias("ts"), usable_key(F.col("key")).alias("key"))
     keyed = rows.where("key is not null").withWatermark("ts", f"{late_hours} hours")
-    accepted = with_state(keyed.groupBy("route", "key"), OpenWindows(C.IDEMPOTENCY_HOURS), "request_id string, route string, ts timestamp, key string")
+    buckets = keyed.withColumn("bucket", F.pmod(F.xxhash64("route", "key"), F.lit(KEY_BUCKETS)))
+    accepted = with_state(buckets.groupBy("bucket"), OpenWindows(C.IDEMPOTENCY_HOURS), "request_id string, route string, ts timestamp, key string")
     found = rows.where("key is null").select("request_id", "route", "ts", "key").unionByName(accepted)
     run_to_parquet(found, out, checkpoint)
     return written(stream.sparkSession, out, found.schema)

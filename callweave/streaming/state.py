@@ -29,38 +29,60 @@ def _fires(micros: int) -> int:
 
 
 class OpenWindows(StatefulProcessor):
-    """Lets through the first row of each window of ``hours`` that a row opens; rows (request_id, route, ts, key) by (route, key)."""
+    """Lets through the first row of each window of ``hours`` that a row opens for its (route, key); rows (request_id, route, ts, key) by bucket.
+
+    A bucket holds the starts of all its keys' open windows as one value, so the store is asked once a bucket and batch, not for every key.
+    """
 
     def __init__(self, hours: int):
         self.life = hours * HOUR
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.start = handle.getValueState("start", "start bigint")
+        self.open = handle.getValueState("open", "routes array<string>, keys array<string>, starts array<bigint>")
+
+    def _held(self) -> dict[tuple[str | None, str], int]:
+        if not self.open.exists():
+            return {}
+        routes, keys, starts = self.open.get()
+        return dict(zip(zip(routes, keys), starts))
+
+    def _hold(self, starts: dict[tuple[str | None, str], int]) -> None:
+        if starts:
+            self.open.update(([route for route, _ in starts], [key for _, key in starts], list(starts.values())))
+            self.handle.registerTimer(_fires(min(starts.values()) + self.life))
+        else:
+            self.open.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Within a batch only the earliest row of each instant can open a window.
-        firsts: dict[int, str] = {}
+        firsts: dict[tuple[str | None, str], dict[int, str]] = {}
         for frame in rows:
-            for at, name in zip(_micros(frame["ts"]), frame["request_id"]):
-                if at not in firsts or name < firsts[at]:
-                    firsts[at] = name
-        start = self.start.get()[0] if self.start.exists() else None
-        opened = []
-        for at in sorted(firsts):
-            if start is None or at >= start + self.life:
-                start = at
-                opened.append((firsts[at], at))
+            routes = frame["route"].astype(object).where(frame["route"].notna(), None)
+            for route, name, at, own in zip(routes, frame["key"], _micros(frame["ts"]), frame["request_id"]):
+                seen = firsts.setdefault((route, name), {})
+                if at not in seen or own < seen[at]:
+                    seen[at] = own
+        starts, opened = self._held(), []
+        for whose, seen in firsts.items():
+            start = starts.get(whose)
+            for at in sorted(seen):
+                if start is None or at >= start + self.life:
+                    start = at
+                    opened.append((seen[at], whose[0], at, whose[1]))
+            starts[whose] = start
         if opened:
-            self.start.update((start,))
-            self.handle.registerTimer(_fires(start + self.life))
-            yield pd.DataFrame({"request_id": [name for name, _ in opened], "route": key[0],
-                                "ts": pd.to_datetime([at for _, at in opened], unit="us"), "key": key[1]})
+            self._hold(starts)
+            names, routes, times, keys = zip(*opened)
+            yield pd.DataFrame({"request_id": names, "route": routes, "ts": pd.to_datetime(times, unit="us"), "key": keys})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # Rows still to come lie after the watermark, so they would open a window of their own.
-        if self.start.exists() and self.start.get()[0] + self.life <= timerValues.getCurrentWatermarkInMs() * 1000:
-            self.start.clear()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = self._held()
+        left = {whose: start for whose, start in held.items() if start + self.life > now}
+        if len(left) < len(held):
+            self._hold(left)
         yield from ()
 
     def close(self) -> None:

@@ -204,3 +204,51 @@ def test_files_to_facts_writes_tables_in_ranges(spark, folder, monkeypatch):
         want = ws[view].orderBy("ordinal").drop("ordinal").collect()
         assert [r[0] for r in rows] == [r[0] for r in want]
     assert len(got.collect()) == ws["v_analyses"].count()
+
+
+def test_open_windows_ask_the_store_once_a_bucket():
+    import pandas as pd
+
+    from callweave.streaming.state import HOUR, OpenWindows
+
+    class Store:
+        def __init__(self):
+            self.value, self.calls, self.timers = None, 0, []
+
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            self.calls += 1
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return 25 * HOUR // 1000
+
+    store, windows = Store(), OpenWindows(24)
+    windows.init(store)
+
+    def feed(hour, keys):
+        frame = pd.DataFrame({"request_id": [f"{hour}-{route}-{k}" for route, k in keys], "route": [route for route, _ in keys],
+                              "ts": pd.to_datetime(hour * HOUR, unit="us"), "key": [k for _, k in keys]})
+        return sorted(x for part in windows.handleInputRows((0,), iter([frame]), store) for x in part["request_id"])
+
+    many = [(route, f"k{k}") for k in range(200) for route in ("in", None)]
+    assert len(feed(0, many)) == 400 and store.calls <= 3 and store.timers == [24 * HOUR // 1000]
+    assert feed(3, many[:10] + [("out", "k0")]) == ["3-out-k0"]
+    list(windows.handleExpiredTimer((0,), store, None))
+    assert [len(x) for x in store.value] == [1, 1, 1] and store.timers[-1] == 27 * HOUR // 1000
+    assert len(feed(26, [("out", "k0"), ("in", "k0")])) == 1
