@@ -159,3 +159,29 @@ def sent(right: DataFrame, reach: np.ndarray) -> DataFrame:
     pairs = right.sparkSession.createDataFrame(pa.table({"cell": pa.array(own.astype(np.int32)), "to": pa.array(left.astype(np.int32))}))
     targets = pairs.groupBy("cell").agg(F.collect_list("to").alias("to"))
     return right.join(targets, "cell").drop("cell", "angle").withColumn("cell", F.explode("to")).drop("to")
+
+
+def neighbourhoods(over: Cover, stats: tuple, least_rows: int, most: int = 32) -> np.ndarray:
+    """A number for each cell: cells that lie one after the other on a way from pivot to nearest pivot share one until they hold a share of all rows."""
+    way, left = [], set(range(over.odd))
+    while left:
+        rest = np.array(sorted(left))
+        way.append(int(rest[(over.pivots[rest] @ over.pivots[way[-1]]).argmax()] if way else rest[0]))
+        left.remove(way[-1])
+    way = np.array([*way, over.odd])
+    before = np.cumsum(stats[1][way]) - stats[1][way]
+    total = int(stats[1].sum())
+    tracts = min(most, max(1, -(-total // max(1, least_rows))))
+    tract = np.empty(len(way), dtype=np.int32)
+    tract[way] = np.minimum(before * tracts // max(1, total), tracts - 1)
+    return tract
+
+
+def gathered(left: DataFrame, right: DataFrame, reach: np.ndarray, tract: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Left rows with the tract of their cell, right rows once for each tract with a cell that they can matter to: (id, v, cell, tract)."""
+    meets = np.zeros((tract.max() + 1, reach.shape[1]), dtype=bool)
+    np.logical_or.at(meets, tract, reach)
+    targets = [np.flatnonzero(meets[:, c]).tolist() for c in range(reach.shape[1])]
+    to = F.element_at(F.lit(tract.tolist()), F.col("cell") + 1).cast("int")
+    pairs = right.sparkSession.createDataFrame([(c, t) for c, t in enumerate(targets) if t], "cell int, to array<int>")
+    return left.select("id", "v", "cell", to.alias("tract")), right.join(pairs, "cell").select("id", "v", "cell", F.explode("to").alias("tract"))

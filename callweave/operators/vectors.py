@@ -18,7 +18,11 @@ from callweave.functions import vec as V
 from callweave.operators import cover as CV
 from callweave.session import cut
 
-BLOCK_ROWS = 1024  # left rows a task holds at a time
+BLOCK_ROWS = 1024  # left rows of one product
+HELD_ROWS = 16384  # left rows a task holds at most; right rows are copied once for so many
+SPREAD = 32  # blocks that left rows are dealt into while fewer than ``HELD_ROWS`` are in each
+SCORES = 1 << 21  # entries of one product
+CELL_ROWS = 256  # left rows of one product where only some cells meet
 
 NEAREST = "left_id string, right_id string, score double, position bigint"
 
@@ -38,8 +42,12 @@ def pair_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 # --- nearest neighbours ----------------------------------------------------------------
 def _scores(left: np.ndarray, right: np.ndarray, left_ids, right_ids, skip_self: bool) -> np.ndarray:
     scores = np.round(left @ right.T, 9)
-    if skip_self:
-        scores[np.asarray(left_ids)[:, None] == np.asarray(right_ids)[None, :]] = -np.inf
+    both = set(left_ids).intersection(right_ids) if skip_self else ()
+    if both:
+        rows, cols = (np.array([k for k, i in enumerate(ids) if i in both]) for ids in (left_ids, right_ids))
+        own = np.asarray(left_ids, dtype=object)[rows][:, None] == np.asarray(right_ids, dtype=object)[cols][None, :]
+        row, col = np.nonzero(own)
+        scores[rows[row], cols[col]] = -np.inf
     return scores
 
 
@@ -56,21 +64,25 @@ def nearest(left: DataFrame, right: DataFrame, k: int, *, left_id="question_id",
     for two large tables.  Without, it goes to every block of left rows: for a short right side such as centroids.
     """
     lhs, rhs = _side(left, left_id, left_vector), _side(right, right_id, right_vector)
-    group = None
+    group = reach = None
     if pruned and unit:
         over = CV.cover(rhs)
         lhs, rhs = CV.placed(lhs, over), CV.placed(rhs, over)
-        rhs = CV.sent(rhs, CV.reach_of_nearest(over, CV.cell_stats(lhs, over), CV.cell_stats(rhs, over), k + skip_self))
-        group = "cell"
-    return _top_k(lhs, rhs, k, block_rows, skip_self, unit, group)
+        stats = CV.cell_stats(lhs, over)
+        reach = CV.reach_of_nearest(over, stats, CV.cell_stats(rhs, over), k + skip_self)
+        lhs, rhs = CV.gathered(lhs, rhs, reach, CV.neighbourhoods(over, stats, block_rows))
+        group = "tract"
+    return _top_k(lhs, rhs, k, block_rows, skip_self, unit, group, reach)
 
 
-def _top_k(lhs: DataFrame, rhs: DataFrame, k: int, block_rows: int, skip_self: bool, unit: bool, group: str | None) -> DataFrame:
+def _top_k(lhs: DataFrame, rhs: DataFrame, k: int, block_rows: int, skip_self: bool, unit: bool, group: str | None,
+           reach: np.ndarray | None = None) -> DataFrame:
     """The best ``k`` right rows of each left row (id, v), within each group where one is given."""
 
     def best(kept, block, batch):
-        rows, cols, _ = kernels.top_k(_scores(block[1], batch[1], block[0], batch[0], skip_self), k)
-        fresh = (rows, np.asarray(batch[0], dtype=object)[cols], _scores(block[1], batch[1], block[0], batch[0], skip_self)[rows, cols])
+        scores = _scores(block[1], batch[1], block[0], batch[0], skip_self)
+        rows, cols, _ = kernels.top_k(scores, k)
+        fresh = (rows, np.asarray(batch[0], dtype=object)[cols], scores[rows, cols])
         if kept is not None:
             fresh = tuple(np.concatenate(x) for x in zip(kept, fresh))
         order = np.lexsort((fresh[1].astype(str), -fresh[2], fresh[0]))
@@ -86,32 +98,43 @@ def _top_k(lhs: DataFrame, rhs: DataFrame, k: int, block_rows: int, skip_self: b
             [pa.array(np.asarray(block[0], dtype=object)[rows], pa.string()), pa.array(ids, pa.string()), pa.array(scores, pa.float64()),
              pa.array(np.arange(len(rows)) - np.searchsorted(rows, rows) + 1, pa.int64())], names=["left_id", "right_id", "score", "position"])
 
-    return block_product(lhs, rhs, block_rows, best, answer, NEAREST, unit, group)
+    return block_product(lhs, rhs, block_rows, best, answer, NEAREST, unit, group, reach)
 
 
-def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, step, end, schema: str, unit=True, group: str | None = None) -> DataFrame:
+def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, step, end, schema: str, unit=True, group: str | None = None,
+                  reach: np.ndarray | None = None) -> DataFrame:
     """Every block of left rows against all right rows, streamed past it (tables (id, v), with ``group`` only rows of one group meet).
 
-    Left rows are dealt into blocks of about ``block_rows`` and never copied; right rows go to every block of their group.  A task
-    holds one block and one Arrow batch at a time: ``step(state, (ids, matrix), (ids, matrix)) -> (state, rows or None)`` per batch,
-    in the order of right ids, and ``end(state, (ids, matrix)) -> rows or None`` after the last.  The form is the same for all sizes.
+    Left rows are dealt into at most ``SPREAD`` blocks, or as many as it takes to have no more than ``HELD_ROWS`` in one, and never
+    copied; right rows go to every block of their group.  A task holds one block and one Arrow batch at a time and multiplies
+    them piece by piece, at most ``block_rows`` left rows and ``SCORES`` entries at once: ``step(state, (ids, matrix), (ids, matrix))
+    -> (state, rows or None)``, with a state for each piece of left rows and right rows in the order of their ids, and
+    ``end(state, (ids, matrix)) -> rows or None`` after the last.  With ``reach``, which left ``cell`` meets which right one, pieces
+    are of neighbouring cells and right rows that none of them can need are left out.
     """
-    if group is None:
-        blocks = F.greatest(F.lit(1), F.ceil(lhs.agg(F.count(F.lit(1))).scalar() / block_rows))
-        a, b = (df.select(F.lit("").alias("g"), "id", "v").withColumn("n", blocks) for df in (lhs, rhs))
-    else:
-        counts = lhs.groupBy(F.col(group).alias("g")).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).alias("n"))
-        a, b = (df.select(F.col(group).alias("g"), "id", "v").join(counts, "g") for df in (lhs, rhs))
-    dealt = a.select("g", F.pmod(F.xxhash64("id"), F.col("n")).alias("block"), F.lit(0).alias("side"), "id", "v").unionByName(
-        b.select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("block"), F.lit(1).alias("side"), "id", "v"))
-    dealt = dealt.repartition("g", "block").sortWithinPartitions("g", "block", "side", "id")
+    both = dealt(lhs, rhs, block_rows, group, reach is not None)
+    rows = block_rows if reach is None else min(block_rows, CELL_ROWS)
+
+    def pieces(parts):
+        """Pieces of a block, each with its state and the right cells it meets."""
+        ids, m, cells = [i for part in parts for i in part[0]], np.concatenate([part[1] for part in parts]), np.concatenate([part[2] for part in parts])
+        order = np.argsort(cells, kind="stable")
+        for at in range(0, len(ids), rows):
+            take = order[at: at + rows]
+            yield [None, ([ids[k] for k in take], m[take]), None if reach is None else reach[np.unique(cells[take])].any(axis=0)]
+
+    def met(piece, side):
+        """What a piece meets of some right rows, in their order."""
+        ids, m, cells = side
+        if piece[2] is not None:
+            own = np.flatnonzero(piece[2][cells])
+            ids, m = [ids[k] for k in own], m[own]
+        width = max(1, SCORES // len(piece[1][0]))
+        for at in range(0, len(ids), width):
+            yield ids[at: at + width], m[at: at + width]
 
     def run(batches):
-        key, block, held, state = None, None, [], None
-
-        def side_of(parts):
-            return [i for ids, _ in parts for i in ids], np.concatenate([m for _, m in parts])
-
+        key, block, held = None, None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -120,22 +143,43 @@ def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, step, end, sc
             for first, last in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
                 part = batch.slice(first, last - first)
                 own = (part.column("g")[0].as_py(), int(marks[1][first]))
-                side = (part.column("id").to_pylist(), kernels.matrix(part.column("v"), unit))
+                side = (part.column("id").to_pylist(), kernels.matrix(part.column("v"), unit), part.column("cell").to_numpy())
                 if own != key:
-                    if block is not None:
-                        yield from filter(None.__ne__, [end(state, block)])
-                    key, block, held, state = own, None, [], None
+                    yield from filter(None.__ne__, [end(state, left) for state, left, _ in block or []])
+                    key, block, held = own, None, []
                 if marks[2][first] == 0:
                     held.append(side)
                 elif held:
-                    block = side_of(held) if block is None else block
-                    state, out = step(state, block, side)
-                    if out is not None:
-                        yield out
-        if block is not None:
-            yield from filter(None.__ne__, [end(state, block)])
-
-    return dealt.mapInArrow(run, schema)
+                    block = [*pieces(held)] if block is None else block
+                    for piece in block:
+                        for right in met(piece, side):
+                            piece[0], out = step(piece[0], piece[1], right)
+                            if out is not None:
+                                yield out
+        yield from filter(None.__ne__, [end(state, left) for state, left, _ in block or []])
+
+    return both.mapInArrow(run, schema)
+
+
+def dealt(lhs: DataFrame, rhs: DataFrame, block_rows: int, group: str | None = None, cells: bool = False) -> DataFrame:
+    """(g, block, side, id, v, cell) of both sides, each block in one partition and left rows (side 0) before right ones."""
+    most = F.lit(max(HELD_ROWS, block_rows))
+
+    def blocks(count: Column, total: Column) -> Column:
+        shared = F.least(F.ceil(count / block_rows), F.ceil(count * SPREAD / F.greatest(total, F.lit(1))))
+        return F.greatest(F.lit(1), F.ceil(count / most), shared)
+
+    cell = F.col("cell") if cells else F.lit(0)
+    if group is None:
+        total = lhs.agg(F.count(F.lit(1))).scalar()
+        a, b = (df.select(F.lit("").alias("g"), "id", "v", cell.alias("cell")).withColumn("n", blocks(total, total)) for df in (lhs, rhs))
+    else:
+        sizes = cut(lhs.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("rows")), "sizes")
+        counts = sizes.select("g", blocks(F.col("rows"), sizes.agg(F.sum("rows")).scalar()).alias("n"))
+        a, b = (df.select(F.col(group).alias("g"), "id", "v", cell.alias("cell")).join(counts, "g") for df in (lhs, rhs))
+    both = a.select("g", F.pmod(F.xxhash64("id"), F.col("n")).alias("block"), F.lit(0).alias("side"), "id", "v", "cell").unionByName(
+        b.select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("block"), F.lit(1).alias("side"), "id", "v", "cell"))
+    return both.repartition("g", "block").sortWithinPartitions("g", "block", "side", "id")
 
 
 def search(questions: DataFrame, embeddings: DataFrame, members: DataFrame, query: list[float], *,

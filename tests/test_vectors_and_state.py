@@ -15,7 +15,7 @@ from callweave.operators import merges as M
 from callweave.operators import relational as R
 from callweave.operators import vectors as VX
 from callweave.operators.asof import asof
-from callweave.session import scratch
+from callweave.session import FREE_SHUFFLES, cut, scratch
 from callweave.sources import readers as RD
 from callweave.sources import writers as WR
 from callweave.streaming import jobs as ST
@@ -444,3 +444,35 @@ def test_bundled_transcripts_equal_files(spark, tmp_path):
     assert sorted(map(str, lines.collect())) == sorted(map(str, plain.collect())) and lines.count() == 2
     out, check = scratch(spark, "bundled"), scratch(spark, "bundled-check")
     assert [ST.stream_transcripts(spark, bundle, out, check, bundled=True).count() for _ in range(2)] == [1, 1]
+
+
+def test_right_rows_are_copied_for_whole_blocks_and_for_tracts_of_cells(spark, monkeypatch):
+    """Copies of right rows follow what a task can hold, not pieces of a product or single cells."""
+    rng = np.random.default_rng(12)
+    left, right = (table(spark, rng.normal(size=(n, 6))) for n in (900, 300))
+    sides = [VX._side(x, "question_id", "vector") for x in (left, right)]
+    assert VX.dealt(*sides, 4).where("side = 1").count() <= 300 * VX.SPREAD
+    over = CV.cover(sides[1])
+    lhs, rhs = (CV.placed(x, over) for x in sides)
+    stats = CV.cell_stats(lhs, over)
+    tract = CV.neighbourhoods(over, stats, 300)
+    reach = CV.reach_of_nearest(over, stats, CV.cell_stats(rhs, over), 4)
+    a, b = CV.gathered(lhs, rhs, reach, tract)
+    assert len(set(tract.tolist())) <= 3 < over.odd and a.count() == 900 and b.count() <= 300 * 3
+    key = lambda df: sorted((r.left_id, r.position, r.right_id) for r in df.collect())
+    exact = key(VX.nearest(left, right, 4))
+    monkeypatch.setattr(VX, "HELD_ROWS", 60)
+    monkeypatch.setattr(VX, "SPREAD", 2)
+    assert key(VX.nearest(left, right, 4, block_rows=20)) == exact and VX.dealt(*sides, 20).where("side = 1").count() == 300 * 15
+    assert key(VX.nearest(left, right, 4, block_rows=20, pruned=True)) == exact
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    def files():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {str(f) for f in list(manager.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+
+    before = files()
+    kept = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    left = {f for f in files() - before if f.endswith(".data")}
+    assert left == set() and kept.count() == 7 and spark.conf.get(FREE_SHUFFLES) == "false"
