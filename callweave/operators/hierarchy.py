@@ -153,8 +153,8 @@ def _search(spark, now: DataFrame, known: DataFrame, over: CV.Cover, radius: tup
     same = pure[:, None] & pure[None, :] & (kinds[:, None, 0] == kinds[None, :, 0])
     reach = (least <= limit[:, None] + CV.SLACK) & ~same & (limit[:, None] >= 0) & (radius[1] > 0)[None, :]
     wide = F.concat("v", F.array("core", F.col("comp").cast("double"))).alias("v")  # the product carries one list a row
-    left = open_.select(F.lpad(F.col("a").cast("string"), 19, "0").alias("id"), wide, "cell")
-    right = CV.sent(now.select(F.lpad(F.col("a").cast("string"), 19, "0").alias("id"), wide, "cell", "angle"), reach)
+    left, right = (rows.select(F.lpad(F.col("a").cast("string"), 19, "0").alias("id"), wide, "cell") for rows in (open_, now))
+    left, right = CV.gathered(left, right, reach, CV.neighbourhoods(over, radius, block_rows))
 
     def lightest(state, a, b):
         w = np.maximum(np.maximum(a[1][:, -2, None], b[1][None, :, -2]), _distance(a[1][:, :-2] @ b[1][:, :-2].T))
@@ -174,7 +174,7 @@ def _search(spark, now: DataFrame, known: DataFrame, over: CV.Cover, radius: tup
         return pa.RecordBatch.from_arrays([pa.array(a[1][ok, -1].astype(np.int64)), pa.array(state[0][ok]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))],
                                           names=["comp", "w", "lo", "hi"])
 
-    return block_product(left, right, block_rows, lightest, answer, f"comp bigint, {EDGE}", unit=False, group="cell")
+    return block_product(left, right, block_rows, lightest, answer, f"comp bigint, {EDGE}", unit=False, group="tract", reach=reach)
 
 
 # --- merge tree ---------------------------------------------------------------------------
