@@ -91,6 +91,7 @@ def host(url: Column) -> Column:
     return F.when(name != "", name)
 
 
+FEW = 32  # openings that are searched for one by one
 UNSEEN = "<\uffff"  # U+FFFF is no character; it stands behind the "<" of an opening that nothing closes
 
 
@@ -99,6 +100,11 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _times(text: Column, *marks: str) -> Column:
+    """How often the marks, of which no two overlap, stand in a text."""
+    return sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(m), F.lit("")))) / len(m) for m in marks)
+
+
 def _upto(text: Column, rest, before, after) -> Column:
     """``after`` of the end of a text that ``rest`` gives, behind ``before`` of all that precedes it."""
     return _let(text, lambda t: _let(rest(t), lambda end: F.concat(before(F.substr(t, F.lit(1), F.length(t) - F.length(end))), after(end))))
@@ -107,22 +113,34 @@ def _upto(text: Column, rest, before, after) -> Column:
 def visible_lines(html: Column) -> Column:
     """The text blocks of a page, one per line: scripts, styles and comments removed, a line for each block element.
 
-    An opening that nothing closes stays as text.  Such openings lie behind the last closing, where they are not searched for, so
-    the time is linear in the page whatever it holds.  A page of null is null, an empty one empty; a U+FFFF behind a "<" is dropped.
+    An opening that nothing closes stays as text.  A search for its end reads the rest of the page, so pages with more than ``FEW``
+    openings take a path of their own: there the openings behind the last closing, which nothing closes, are not searched for.  The time is linear in
+    the page whatever it holds, and both paths give the same text.  A page of null is null, an empty one empty; a U+FFFF behind a "<" may be dropped.
     """
     same = lambda x: x
     behind = lambda mark: lambda x: F.substring_index(x, mark, -1)
     behind_script = lambda x: F.regexp_replace(x, r"(?is)^.*</(?:script|style)\s*>", "")
 
+    def bare(text: Column) -> Column:
+        return F.regexp_replace(text, r"(?is)<(?:(?:script|style)\b.*?</(?:script|style)\s*>|!--.*?-->|!doctype[^>]*>)", "")
+
     def unscripted(text: Column) -> Column:
         text = _upto(text, behind_script, same, lambda x: F.regexp_replace(x, r"(?i)<(?=(?:script|style)\b)", UNSEEN))
         text = _upto(text, behind("-->"), same, lambda x: F.replace(x, F.lit("<!--"), F.lit(f"{UNSEEN}!--")))
-        text = F.regexp_replace(text, r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->|<!doctype[^>]*>", "")
-        return F.replace(text, F.lit(UNSEEN), F.lit("<"))
+        return F.replace(bare(text), F.lit(UNSEEN), F.lit("<"))
 
     def untagged(text: Column) -> Column:
-        text = F.regexp_replace(text, r"(?i)</?(p|div|li|ul|ol|nav|header|footer|article|section|h[1-6]|br|tr|table|title|body|head|html)\b[^>]*>", "\n")
+        text = F.regexp_replace(text, r"(?i)</?(?:p|div|li|ul|ol|nav|header|footer|article|section|h[1-6]|br|tr|table|title|body|head|html)\b[^>]*>", "\n")
         return F.regexp_replace(text, r"<[^>]*>", "")
 
-    text = F.regexp_replace(_upto(html, behind(">"), unscripted, same), r"[\n\r]+", " ")
-    return F.regexp_replace(_upto(text, behind(">"), untagged, same), r"(?<! ) *\n[ \n]*", "\n")
+    def unbroken(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\r")), F.regexp_replace(text, r"[\n\r]+", " ")).otherwise(text)
+
+    def unblanked(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit(" \n")), F.regexp_replace(text, r"(?<! ) +\n", "\n")).otherwise(text)
+
+    # Bound names also keep the optimiser from trying both paths on a constant page.
+    text = _let(html, lambda x: F.when(_times(x, "<s", "<S", "<!") <= FEW, bare(x)).otherwise(_upto(x, behind(">"), unscripted, same)))
+    text = _let(_let(text, unbroken), lambda x: F.when(_times(F.substring_index(x, ">", -1), "<") <= FEW, untagged(x)).otherwise(
+        _upto(x, behind(">"), untagged, same)))
+    return _let(F.regexp_replace(text, r"\n[ \n]+", "\n"), unblanked)

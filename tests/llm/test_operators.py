@@ -185,6 +185,35 @@ def test_visible_lines_of_broken_pages(spark):
     assert {r.k: r.text for r in frame.collect()} == {k: None if html is None else plain_visible(html) for k, html in pages}
 
 
+def test_pages_with_few_and_many_openings_agree_with_the_plain_form(spark):
+    rng = random.Random(9)
+    bits = ["<script>", "</script>", "<STYLE x", "<!--", "-->", "<!doctype", ">", "<", "<p>", "<b", "  ", "\n", "\r\n", " \n ", "a"]
+    pages = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(60, 260)))) for k in range(600)]
+    pages += [(-n, "<p>a </p>" * 3 + bit * n + tail) for n in (31, 32, 33, 40) for bit, tail in (("<!-- ", "x"), ("<script>", " \n</script>b"), ("<", " "), ("<p", "\n"))]
+    frame = spark.createDataFrame(pages, "k long, html string").select("html", line_dedup.visible_lines(F.col("html")).alias("text"))
+    assert {r.html: r.text for r in frame.collect()} == {html: plain_visible(html) for _, html in pages}
+
+
+def test_ordinary_pages_cost_less_than_the_plain_replacements(spark):
+    page = "<!DOCTYPE html><html><head><style>p{}</style><script>x</script></head><body><!-- ad -->" + "<p>Some <b>words</b> of a page, and more of them.</p>" * 80 + "</body></html>"
+    pages = spark.range(6000).repartition(8).select(F.concat(F.lit(page), F.col("id").cast("string")).alias("html"))
+    plain = F.col("html")
+    for pattern, by in ((r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->|<!doctype[^>]*>", ""), (r"[\n\r]+", " "),
+                        (r"(?i)</?(p|div|li|ul|ol|nav|header|footer|article|section|h[1-6]|br|tr|table|title|body|head|html)\b[^>]*>", "\n"),
+                        (r"<[^>]*>", ""), (r"(?<! ) *\n[ \n]*", "\n")):
+        plain = F.regexp_replace(plain, pattern, by)
+
+    def seconds(text):
+        took = []
+        for _ in range(4):
+            start = time.monotonic()
+            pages.select(text.alias("text")).write.format("noop").mode("overwrite").save()
+            took.append(time.monotonic() - start)
+        return min(took)
+
+    assert seconds(line_dedup.visible_lines(F.col("html"))) < seconds(plain)
+
+
 @pytest.mark.parametrize("bit", ["<", "<script>", "<!--", "<!doctype ", "<p ", "<style", " ", "<!-->", "</script", "<script>-->"])
 def test_pages_of_openings_take_linear_time(spark, bit):
     n = 400_000 // len(bit)
