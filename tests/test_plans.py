@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from callweave.functions.clean import normalize_mobile
 from callweave.operators import calls as CA
+from callweave.operators import knowledge as G
+from callweave.plans.merges import graph_calls
+from callweave.plans.workspace import Workspace
 
 QUERIES = driver.queries()
 JOINS = ["join_calls_cdr", "join_calls_leads", "join_interval_bars", "join_max_overlap", "join_grounding", "join_day_spine", "agg_call_summary",
@@ -69,3 +72,15 @@ def test_summary_with_one_busy_mobile(spark):
 def test_mobile_expression_stays_small(spark):
     plan = spark.range(1).select(normalize_mobile(F.col("id")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") <= 6
+
+
+def test_graph_steps_are_dealt_out_and_parse_nothing_twice(spark, folder):
+    ws = Workspace(spark, folder)
+    calls = graph_calls(ws)
+    packed = calls.repartition(2, "call_id")
+    for made in (G.call_edges(packed), G.call_nodes(packed)):
+        assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "start_time" not in plan(calls)
+    exploded = [line for line in plan(G.related(G.merge_edges_by_weight(G.call_edges(calls)))).splitlines() if "Generate inline" in line]
+    assert exploded and "regexp_replace" not in exploded[0]
