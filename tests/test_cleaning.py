@@ -9,6 +9,7 @@ from callweave.functions import clean as K
 from callweave.functions import numbers as N
 from callweave.operators import calls as CA
 from callweave.operators import knowledge as G
+from callweave.sources import writers as WR
 
 
 def values(spark, rows, fn, kind="string"):
@@ -154,3 +155,34 @@ def test_note_joins_never_broadcast_a_table_that_grows(spark):
     notes = G.notes(nodes, edges)
     assert "Broadcast" not in notes._jdf.queryExecution().executedPlan().toString()
     assert notes.where("section = 1").count() == 100
+
+
+def _hub_graph(spark):
+    edge = "src_id string, src_type string, dst_id string, dst_type string, relation string, weight double, reason string"
+    calls = spark.range(40).select(F.concat(F.lit("call:"), "id", F.when(F.col("id") % 2 == 0, "!").otherwise("")).alias("id"), F.lit("call").alias("type"), F.lit("Call").alias("label"))
+    extra = spark.createDataFrame([("call:1?", "call", "Twin"), ("agent:a", "agent", "a")], "id string, type string, label string")
+    edges = calls.unionByName(extra.where("type = 'call'")).select(F.col("id").alias("src_id"), F.col("type").alias("src_type"), F.lit("agent:a").alias("dst_id"),
+        F.lit("agent").alias("dst_type"), F.lit("handled_by").alias("relation"), F.lit(0.5).alias("weight"), F.col("id").alias("reason"))
+    return calls.unionByName(extra), edges.unionByName(spark.createDataFrame([("call:gone", "call", "agent:a", "agent", "handled_by", 1.0, None)], edge))
+
+
+def test_notes_of_a_hub_in_parts_keep_the_first_of_equal_rows(spark):
+    nodes, edges = _hub_graph(spark)
+    rows = [r for r in G.notes(nodes, edges).where("section = 1").collect() if r.id == "agent:a"]
+    assert len(rows) == 41  # call:1 and call:1? have one name, the first is kept; an end without a node is listed, but has no note
+    assert [r.text for r in rows if "[[call-call-1]]" in r.text] == ["| handled_by | [[call-call-1]] | 0.5 | call:1 |"]
+
+
+def test_lines_of_notes_are_shuffled_once_and_written_compressed(spark, tmp_path):
+    nodes, edges = _hub_graph(spark)
+    notes = G.notes(nodes, edges)
+    plan = notes._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange" in x]
+    assert len(dealt) == 2, plan  # one of the lines, one of the notes' names
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    WR.write_notes(notes, str(tmp_path / "notes"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    files = [p.name for p in (tmp_path / "notes").glob("folder=*/*") if not p.name.startswith(".")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    back = spark.read.json(str(tmp_path / "notes"))
+    assert sorted(r.text for r in back.collect()) == sorted(r.text for r in notes.collect())
