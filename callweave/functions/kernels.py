@@ -36,6 +36,19 @@ def top_k(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return rows[keep], cols[keep], position[keep]
 
 
+ROUGH_COLUMNS = 2048  # right rows of one rough product, which then stays in a core's cache
+
+
+def rough(m: np.ndarray) -> np.ndarray:
+    """The matrix in single precision, for products that only say what needs the exact one; vectors that are no numbers count as zero."""
+    return np.nan_to_num(m.astype(np.float32))
+
+
+def rough_slack(dim: int) -> float:
+    """No product of two unit vectors in single precision is further than this from the exact one (twice the bound on its rounding)."""
+    return (dim + 8) * 2.0 ** -23
+
+
 def spanning_forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row/column index pairs of a spanning forest of the bipartite graph ``close``.
 

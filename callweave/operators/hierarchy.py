@@ -2,8 +2,9 @@
 
 The core distance of a vector is the distance to its ``min_samples``-th other vector, and two vectors reach each other at the greatest of
 their distance and both core distances (Euclidean, between unit vectors).  The tree grows in rounds: every component takes its
-lightest edge to another one, among them in the order (weight, ids), so that no cycle can close.  Candidates come from lists of nearest
-neighbours and from the pivots of a ball cover; they bound what is left to search, which is done cell by cell.
+lightest edge to another one, among them in the order (weight, ids), so that no cycle can close; the largest component takes none, as the
+others reach it.  Candidates come from lists of nearest neighbours and from the pivots of a ball cover; they bound what is left to search, which
+is done cell by cell, by products in single precision that say which rows need the exact one.
 
 Merging goes up the tree in buckets of edges by weight, each component of a bucket on its own; edges of one weight count as one merge.
 A cluster is born where at least ``min_size`` vectors are together, and ends where it meets another one.  Its mass is the sum over its vectors
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from callweave import constants as C
 from callweave.functions import vec as V
+from callweave.functions import kernels
 from callweave.operators import cover as CV
 from callweave.operators.density import NOISE, components
 from callweave.operators.vectors import BLOCK_ROWS, block_product, nearest
@@ -84,19 +86,24 @@ def spanning_tree(points: DataFrame, lists: DataFrame, block_rows: int = BLOCK_R
     tree: list[DataFrame] = []
     while True:
         now = cut(fixed.join(comps, "a"), "round")
-        if now.select("comp").distinct().limit(2).count() < 2:
+        most = now.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(2).collect()
+        if len(most) < 2:
             break
+        largest = most[0].comp
         own = now.select("a", "comp")
         lists = cut(lists.select("a", "b", "w").join(own, "a").join(own.withColumnsRenamed({"a": "b", "comp": "into"}), "b").where("comp <> into"), "lists")
-        from_lists = lists.select("comp", "w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        known = cut(_best(from_lists.unionByName(_to_pivots(now, over))), "bounds")
-        found = known.unionByName(_search(spark, now, known, over, radius, least, block_rows))
+        # An edge of a list is one of both its ends, so what a search can still find is in neither's list.
+        from_lists = lists.select(F.explode(F.array("comp", "into")).alias("comp"), "w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        known = cut(_best(from_lists.where(F.col("comp") != largest).unionByName(_to_pivots(now, over, largest))), "bounds")
+        found = known.unionByName(_search(spark, now, known, over, radius, least, block_rows, largest))
         chosen = cut(_best(found), "chosen")
         edges = cut(chosen.select("w", "lo", "hi").distinct(), "edges")
         tree.append(edges)
         ends = edges.join(own.withColumnsRenamed({"a": "lo", "comp": "x"}), "lo").join(own.withColumnsRenamed({"a": "hi", "comp": "y"}), "hi")
         steps = chosen.join(ends.select("lo", "hi", "x", "y"), ["lo", "hi"])
-        comps = own.join(_roots(steps.select("comp", (F.col("x") + F.col("y") - F.col("comp")).alias("up"))), "comp").select("a", F.col("up").alias("comp"))
+        steps = steps.select("comp", (F.col("x") + F.col("y") - F.col("comp")).alias("up")).unionByName(
+            spark.createDataFrame([(largest, largest)], "comp bigint, up bigint"))
+        comps = own.join(_roots(steps), "comp").select("a", F.col("up").alias("comp"))
     out = spark.createDataFrame([], EDGE)
     for edges in tree:
         out = out.unionByName(edges)
@@ -104,7 +111,7 @@ def spanning_tree(points: DataFrame, lists: DataFrame, block_rows: int = BLOCK_R
 
 
 def _roots(steps: DataFrame) -> DataFrame:
-    """(comp, up): where the way from each component ends, when each points to one other and only pairs point to each other."""
+    """(comp, up): where the way from each component ends, when each points to one other or itself and only pairs point to each other."""
     back = steps.select(F.col("comp").alias("up"), F.col("up").alias("back"))
     way = cut(steps.join(back, "up").select("comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("up")), F.col("comp")).otherwise(F.col("up")).alias("up")), "way")
     while True:
@@ -114,8 +121,8 @@ def _roots(steps: DataFrame) -> DataFrame:
             return way
 
 
-def _to_pivots(now: DataFrame, over: CV.Cover) -> DataFrame:
-    """The lightest edge from the vectors of each component to a pivot of another one, component by component and batch by batch."""
+def _to_pivots(now: DataFrame, over: CV.Cover, largest: int) -> DataFrame:
+    """The lightest edge from the vectors of each component but one to a pivot of another one, component by component and batch by batch."""
     wanted = now.sparkSession.createDataFrame([(int(n),) for n in over.names], "a bigint")
     rows = {r.a: r for r in now.join(F.broadcast(wanted), "a").select("a", "core", "comp").collect()} if over.names else {}
     names = np.array([int(n) for n in over.names], dtype=np.int64)
@@ -135,16 +142,19 @@ def _to_pivots(now: DataFrame, over: CV.Cover) -> DataFrame:
             frame = pd.DataFrame({"comp": comp[ok], "w": best[ok], "lo": np.minimum(a, to)[ok], "hi": np.maximum(a, to)[ok]})
             yield pa.RecordBatch.from_pandas(frame.sort_values(["comp", "w", "lo", "hi"]).drop_duplicates("comp"), preserve_index=False)
 
-    return now.select("a", "comp", "core", "v").mapInArrow(run, f"comp bigint, {EDGE}")
+    return now.where(F.col("comp") != largest).select("a", "comp", "core", "v").mapInArrow(run, f"comp bigint, {EDGE}")
 
 
-def _search(spark, now: DataFrame, known: DataFrame, over: CV.Cover, radius: tuple, least: np.ndarray, block_rows: int) -> DataFrame:
-    """Edges no heavier than the known bounds of their components, in the cells that can hold one."""
+def _search(spark, now: DataFrame, known: DataFrame, over: CV.Cover, radius: tuple, least: np.ndarray, block_rows: int,
+            largest: int) -> DataFrame:
+    """Edges no heavier than the known bounds of their components, all but the largest, in the cells that can hold one."""
     bounded = now.join(known.select("comp", F.col("w").alias("bound")), "comp", "left").withColumn("bound", F.coalesce("bound", F.lit(2.0)))
-    open_ = bounded.where("core <= bound and beyond <= bound")  # all others have every such edge in their lists
+    open_ = bounded.where((F.col("comp") != largest) & F.expr("core <= bound and beyond <= bound"))  # all others have every such edge in their lists
+    widest = -1.0
     limit, kinds = np.full(over.odd + 1, -1.0), np.zeros((over.odd + 1, 2), dtype=np.int64)
     for r in open_.groupBy("cell").agg(F.max("bound").alias("bound")).collect():
         limit[r.cell] = 2 * np.arcsin(min(1.0, r.bound / 2))
+        widest = max(widest, r.bound)
     if limit.max() < 0:
         return spark.createDataFrame([], f"comp bigint, {EDGE}")
     for r in now.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).collect():
@@ -152,29 +162,50 @@ def _search(spark, now: DataFrame, known: DataFrame, over: CV.Cover, radius: tup
     pure = kinds[:, 0] == kinds[:, 1]
     same = pure[:, None] & pure[None, :] & (kinds[:, None, 0] == kinds[None, :, 0])
     reach = (least <= limit[:, None] + CV.SLACK) & ~same & (limit[:, None] >= 0) & (radius[1] > 0)[None, :]
-    wide = F.concat("v", F.array("core", F.col("comp").cast("double"))).alias("v")  # the product carries one list a row
-    left, right = (rows.select(F.lpad(F.col("a").cast("string"), 19, "0").alias("id"), wide, "cell") for rows in (open_, now))
+    # The product carries one list a row, which ends with core, component, and bound (left) or floor (right): no edge that the list of its row lacks is lighter.
+    floor = F.greatest("core", "beyond")
+    name, comp = F.lpad(F.col("a").cast("string"), 19, "0").alias("id"), F.col("comp").cast("double")
+    left = open_.select(name, F.concat("v", F.array(F.col("core"), comp, F.col("bound"))).alias("v"), "cell")
+    right = now.where(floor <= widest).select(name, F.concat("v", F.array(F.col("core"), comp, floor)).alias("v"), "cell")
     left, right = CV.gathered(left, right, reach, CV.neighbourhoods(over, radius, block_rows))
 
     def lightest(state, a, b):
-        w = np.maximum(np.maximum(a[1][:, -2, None], b[1][None, :, -2]), _distance(a[1][:, :-2] @ b[1][:, :-2].T))
-        w[a[1][:, -1, None] == b[1][None, :, -1]] = np.inf
-        to = w.argmin(axis=1)  # right rows come in the order of their ids
-        best, names = w[np.arange(len(w)), to], np.asarray(b[0], dtype=object)[to]
-        if state is None:
-            return (best, names), None
-        nearer = best < state[0]
-        return (np.where(nearer, best, state[0]), np.where(nearer, names, state[1])), None
+        x, (core, comp, bound) = a[1][:, :-3], a[1][:, -3:].T
+        best, names, limit = (np.full(len(x), np.inf), np.full(len(x), None, dtype=object), bound) if state is None else state
+        kinds, kind = np.unique(comp, return_inverse=True)
+        keep = b[1][:, -1] <= limit.max()
+        if len(kinds) == 1:
+            keep &= b[1][:, -2] != kinds[0]
+        ids, m = np.asarray(b[0], dtype=object)[keep], b[1][keep]
+        quick, slack = kernels.rough(x), kernels.rough_slack(x.shape[1])
+        for at in range(0, len(m), kernels.ROUGH_COLUMNS):
+            y, (cores, others, _) = m[at: at + kernels.ROUGH_COLUMNS, :-3], m[at: at + kernels.ROUGH_COLUMNS, -3:].T
+            scores = quick @ kernels.rough(y).T
+            if len(kinds) > 1:
+                scores[comp[:, None] == others[None, :]] = -2.0
+            rows = np.flatnonzero(scores.max(axis=1) >= 1 - limit ** 2 / 2 - slack)
+            if not len(rows):
+                continue
+            w = np.maximum(np.maximum(core[rows, None], cores[None, :]), _distance(x[rows] @ y.T))
+            w[comp[rows, None] == others[None, :]] = np.inf
+            to = w.argmin(axis=1)  # right rows come in the order of their ids
+            w = w[np.arange(len(w)), to]
+            nearer = w < best[rows]
+            best[rows[nearer]], names[rows[nearer]] = w[nearer], ids[at + to[nearer]]
+            lowest = np.full(len(kinds), np.inf)
+            np.minimum.at(lowest, kind, np.minimum(limit, best))
+            limit = lowest[kind]  # one edge of each component is wanted; as light ones still are, for their ids
+        return (best, names, limit), None
 
     def answer(state, a):
         if state is None:
             return None
         ok = np.isfinite(state[0])
         x, y = np.array(a[0], dtype=np.int64)[ok], state[1][ok].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a[1][ok, -1].astype(np.int64)), pa.array(state[0][ok]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))],
+        return pa.RecordBatch.from_arrays([pa.array(a[1][ok, -2].astype(np.int64)), pa.array(state[0][ok]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))],
                                           names=["comp", "w", "lo", "hi"])
 
-    return block_product(left, right, block_rows, lightest, answer, f"comp bigint, {EDGE}", unit=False, group="tract", reach=reach)
+    return block_product(left, right, block_rows, lightest, answer, f"comp bigint, {EDGE}", unit=False, group="tract", reach=reach, apart=-2)
 
 
 # --- merge tree ---------------------------------------------------------------------------

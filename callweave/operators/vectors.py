@@ -22,6 +22,7 @@ BLOCK_ROWS = 1024  # left rows of one product
 HELD_ROWS = 16384  # left rows a task holds at most; right rows are copied once for so many
 SPREAD = 32  # blocks that left rows are dealt into while fewer than ``HELD_ROWS`` are in each
 SCORES = 1 << 21  # entries of one product
+APART_ROWS = 64  # left rows that each value of ``apart`` has in the mean, where pieces hold one
 CELL_ROWS = 256  # left rows of one product where only some cells meet
 
 NEAREST = "left_id string, right_id string, score double, position bigint"
@@ -79,16 +80,41 @@ def _top_k(lhs: DataFrame, rhs: DataFrame, k: int, block_rows: int, skip_self: b
            reach: np.ndarray | None = None) -> DataFrame:
     """The best ``k`` right rows of each left row (id, v), within each group where one is given."""
 
-    def best(kept, block, batch):
-        scores = _scores(block[1], batch[1], block[0], batch[0], skip_self)
+    def merged(kept, block, batch, taken):
+        """What is kept of the rows ``taken`` (all: None) with the best of this batch."""
+        left, names = (block[1], block[0]) if taken is None else (block[1][taken], [block[0][i] for i in taken])
+        scores = _scores(left, batch[1], names, batch[0], skip_self)
         rows, cols, _ = kernels.top_k(scores, k)
-        fresh = (rows, np.asarray(batch[0], dtype=object)[cols], scores[rows, cols])
+        fresh = (rows if taken is None else taken[rows], np.asarray(batch[0], dtype=object)[cols], scores[rows, cols])
         if kept is not None:
             fresh = tuple(np.concatenate(x) for x in zip(kept, fresh))
         order = np.lexsort((fresh[1].astype(str), -fresh[2], fresh[0]))
         rows, ids, scores = (x[order] for x in fresh)
         position = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        return (rows[position < k], ids[position < k], scores[position < k]), None
+        return rows[position < k], ids[position < k], scores[position < k]
+
+    def best(kept, block, batch):
+        if not unit:
+            return merged(kept, block, batch, None), None
+        # Once a row has k, a product in single precision tells whether anything here can come among them.
+        left, n = kernels.rough(block[1]), len(block[0])
+        for at in range(0, len(batch[0]), kernels.ROUGH_COLUMNS):
+            part = batch[0][at: at + kernels.ROUGH_COLUMNS], batch[1][at: at + kernels.ROUGH_COLUMNS]
+            if kept is None:
+                kept = merged(None, block, part, None)
+                continue
+            first, count = np.searchsorted(kept[0], np.arange(n)), np.bincount(kept[0], minlength=n)
+            least = np.full(n, -np.inf)
+            full = count == k
+            least[full] = kept[2][first[full] + k - 1] - kernels.rough_slack(left.shape[1])
+            taken = np.flatnonzero((left @ kernels.rough(part[1]).T).max(axis=1) >= least)
+            if len(taken):
+                own = np.isin(kept[0], taken)
+                fresh = merged(tuple(x[own] for x in kept), block, part, taken)
+                fresh = tuple(np.concatenate((x[~own], y)) for x, y in zip(kept, fresh))
+                order = np.argsort(fresh[0], kind="stable")
+                kept = tuple(x[order] for x in fresh)
+        return kept, None
 
     def answer(kept, block):
         if kept is None:
@@ -102,7 +128,7 @@ def _top_k(lhs: DataFrame, rhs: DataFrame, k: int, block_rows: int, skip_self: b
 
 
 def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, step, end, schema: str, unit=True, group: str | None = None,
-                  reach: np.ndarray | None = None) -> DataFrame:
+                  reach: np.ndarray | None = None, apart: int | None = None) -> DataFrame:
     """Every block of left rows against all right rows, streamed past it (tables (id, v), with ``group`` only rows of one group meet).
 
     Left rows are dealt into at most ``SPREAD`` blocks, or as many as it takes to have no more than ``HELD_ROWS`` in one, and never
@@ -110,7 +136,8 @@ def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, step, end, sc
     them piece by piece, at most ``block_rows`` left rows and ``SCORES`` entries at once: ``step(state, (ids, matrix), (ids, matrix))
     -> (state, rows or None)``, with a state for each piece of left rows and right rows in the order of their ids, and
     ``end(state, (ids, matrix)) -> rows or None`` after the last.  With ``reach``, which left ``cell`` meets which right one, pieces
-    are of neighbouring cells and right rows that none of them can need are left out.
+    are of neighbouring cells and right rows that none of them can need are left out.  With ``apart``, a column of the left matrix,
+    pieces hold one value of it wherever a block has few of them.
     """
     both = dealt(lhs, rhs, block_rows, group, reach is not None)
     rows = block_rows if reach is None else min(block_rows, CELL_ROWS)
@@ -118,9 +145,13 @@ def block_product(lhs: DataFrame, rhs: DataFrame, block_rows: int, step, end, sc
     def pieces(parts):
         """Pieces of a block, each with its state and the right cells it meets."""
         ids, m, cells = [i for part in parts for i in part[0]], np.concatenate([part[1] for part in parts]), np.concatenate([part[2] for part in parts])
-        order = np.argsort(cells, kind="stable")
-        for at in range(0, len(ids), rows):
-            take = order[at: at + rows]
+        order, starts = np.argsort(cells, kind="stable"), np.arange(0, len(ids), rows)
+        if apart is not None and len(ids) >= APART_ROWS * len(np.unique(m[:, apart])):
+            order = np.lexsort((cells, m[:, apart]))
+            runs = [0, *(np.flatnonzero(np.diff(m[order, apart])) + 1).tolist(), len(ids)]
+            starts = np.concatenate([np.arange(first, last, rows) for first, last in zip(runs[:-1], runs[1:])])
+        for at, to in zip(starts, [*starts[1:], len(ids)]):
+            take = order[at:to]
             yield [None, ([ids[k] for k in take], m[take]), None if reach is None else reach[np.unique(cells[take])].any(axis=0)]
 
     def met(piece, side):

@@ -89,3 +89,30 @@ def test_few_vectors(spark):
     assert H.density_tree(spark.createDataFrame([], kind)).count() == 0
     one = H.density_tree(spark.createDataFrame([("a", [1.0, 0.0])], kind)).collect()
     assert [(r.question_id, r.cluster) for r in one] == [("a", "-1")]
+
+
+def test_largest_component_is_not_searched(spark, monkeypatch):
+    """Two groups far apart: when only they are left, the smaller one alone looks for the way to the other."""
+    rng = np.random.default_rng(3)
+    m = np.concatenate([np.eye(8)[0] + 0.05 * rng.standard_normal((60, 8)), np.eye(8)[1] + 0.05 * rng.standard_normal((20, 8))])
+    df = spark.createDataFrame([(str(i), [float(x) for x in v]) for i, v in enumerate(m)], "question_id string, vector array<double>")
+    searched, product = [], H.block_product
+
+    def counted(left, right, *args, **kwargs):
+        searched.append(left.count())
+        return product(left, right, *args, **kwargs)
+
+    monkeypatch.setattr(H, "block_product", counted)
+    points, lists = H.neighbour_lists(H.distinct_vectors(df)[0], 3)
+    tree = H.spanning_tree(points, lists).collect()
+    assert searched and max(searched) <= 20
+    rows = {r.a: (np.array(r.v), r.core) for r in points.collect()}
+    names = sorted(rows)
+    v, core = np.array([rows[a][0] for a in names]), np.array([rows[a][1] for a in names])
+    w = np.maximum(np.maximum(core[:, None], core[None, :]), np.sqrt(np.maximum(0, 2 - 2 * np.round(v @ v.T, 9))))
+    edges, up = [], list(range(len(names)))
+    for x, lo, hi in sorted((w[i, j], i, j) for i in range(len(names)) for j in range(i + 1, len(names))):
+        if up[lo] != up[hi]:
+            up = [up[lo] if u == up[hi] else u for u in up]
+            edges.append((round(x, 7), names[lo], names[hi]))
+    assert sorted((round(r.w, 7), r.lo, r.hi) for r in tree) == sorted(edges)

@@ -476,3 +476,25 @@ def test_cut_leaves_no_shuffle_files(spark):
     kept = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
     left = {f for f in files() - before if f.endswith(".data")}
     assert left == set() and kept.count() == 7 and spark.conf.get(FREE_SHUFFLES) == "false"
+
+
+def test_neighbours_closer_than_single_precision_keep_their_order(spark):
+    """More right rows than one rough product holds, with scores that differ in the eighth place, and a vector that is no number."""
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((5000, 8))
+    m[::500] = np.eye(8)[0]
+    m[::500, 1] = 1e-4 + 1e-6 * np.arange(10)
+    rows = [(f"{i:05d}", [float(x) for x in v]) for i, v in enumerate(m)]
+    right = spark.createDataFrame([*rows, ("none", [float("nan")] * 8)], "question_id string, vector array<double>").coalesce(1)
+    left = spark.createDataFrame([*rows[:300:50], rows[4500]], "question_id string, vector array<double>")
+    found = {}
+    for r in VX.nearest(left, right, 6, skip_self=True).collect():
+        found.setdefault(r.left_id, []).append((r.position, r.right_id, r.score))
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for ident in found:
+        scores = np.round(unit @ unit[int(ident)], 9)
+        scores[int(ident)] = -np.inf
+        want = sorted(range(len(m)), key=lambda k: (-scores[k], k))[:6]
+        assert [x[1] for x in sorted(found[ident])] == [f"{k:05d}" for k in want]
+        assert [x[2] for x in sorted(found[ident])] == pytest.approx([scores[k] for k in want], abs=1e-12)
+    assert len(found) == 7
